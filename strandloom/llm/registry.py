@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import documents
 
 
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.mixing import mix
+
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.quality import assess, learn
+
+    docs = documents(spark, sf_dir)
+    return assess(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.simhash import near_duplicates
 
