@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import documents
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.warc import round_trip
+
+    return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.mixing import mix
 
@@ -30,6 +36,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.packing import pack
+
+    return pack(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
