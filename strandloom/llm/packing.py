@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END_ID = 1
-SENTENCE_CUT, HARD_CUT, GAP = 4.0, 24.0, 256
+SENTENCE_CUT, HARD_CUT, GAP = 1.0, 8.0, 64
 #: Words that an encoder remembers; longer words aren't remembered at all.
 CACHE, LONG_WORD = 300_000, 64
 
