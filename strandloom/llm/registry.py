@@ -29,6 +29,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.linededup import line_duplicates
+
+    return line_duplicates(documents(spark, sf_dir)).drop("text_hash")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.simhash import near_duplicates
 
