@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,17 +141,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def _cut(kinds: list[str], text: str, taken: str, size: str):
-    import re
-
     word = re.compile(rb"[^\x20\x09-\x0D]+")
 
     def repeat(batches):
         for b in batches:
             out, texts = [], []
-            for i, (t, n, s) in enumerate(zip(b[text], b[taken], b[size])):
-                n, s = int(n), int(s)
-                if s == 0:
-                    continue
+            for i, (t, n, s) in enumerate(zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in (text, taken, size)))):
                 out += [i] * (n // s)
                 texts += [t] * (n // s)
                 if n % s:
@@ -159,9 +156,8 @@ def _cut(kinds: list[str], text: str, taken: str, size: str):
                             break
                     out.append(i)
                     texts.append(raw[: m.end()].decode())
-            rows = b.iloc[out][kinds].reset_index(drop=True)
-            rows[text] = texts
-            yield rows
+            rows = b.select(kinds).take(pa.array(out, pa.int64()))
+            yield rows.set_column(kinds.index(text), rows.schema.field(text), pa.array(texts, rows.schema.field(text).type))
 
     return repeat
 
@@ -180,5 +176,5 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     d = d.withColumn(row, F.row_number().over(Window.partitionBy(doc_id, h + "_").orderBy(text)))
     j = d.join(m, d[doc_id].eqNullSafe(m["_id"]) & (d[h + "_"] == m[h]) & (d[row] == m[row + "_"]))
     j = j.select(*docs.columns, taken, size)
-    out = j.mapInPandas(_cut(docs.columns, text, taken, size), docs.schema)
+    out = j.mapInArrow(_cut(docs.columns, text, taken, size), docs.schema)
     return out.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

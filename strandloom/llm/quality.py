@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -185,19 +186,20 @@ def assess(docs: DataFrame, trees: Trees, doc_id: str = "doc_id", text: str = "t
     With ``carry``, the rows of docs that are kept, with their own columns.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     schema = docs.schema if carry else f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [statistics(t) for t in b[text]]
+            got = [statistics(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             base = np.array([g[0] for g in got], np.int64).reshape(-1, 5)
             failed = (base[:, 0] < 50) | (100 * base[:, 4] > 50 * base[:, 0])
             score = trees.score(np.array([g[1] for g in got], float).reshape(-1, len(FEATURES)))
             kept = ~failed & (score >= threshold)
             if carry:
-                yield b[kept]
+                yield b.filter(pa.array(kept))
             else:
-                cols = dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), base.T))
-                yield pd.DataFrame({"doc_id": b[doc_id], **cols, "base_failed": failed, "score": score, "kept": kept})
+                arrays = [b.column(b.schema.get_field_index(doc_id)), *map(pa.array, base.T.copy()), pa.array(failed), pa.array(score), pa.array(kept)]
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return (docs if carry else docs.select(doc_id, text)).mapInPandas(run, schema)
+    return (docs if carry else docs.select(doc_id, text)).mapInArrow(run, schema)

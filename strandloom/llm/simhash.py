@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,17 +46,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = np.array([fingerprint(t) for t in b.iloc[:, 1]], "<u8").view("<i8")
-        yield pd.DataFrame({"doc_id": b.iloc[:, 0], "text_hash": b.iloc[:, 2], "fp": fp})
+        fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], "<u8").view("<i8")
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], ["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, fp) per row, fp as a signed long. Null text counts as empty."""
     kind = docs.schema[doc_id].dataType.simpleString()
     d = docs.select(F.col(doc_id), F.col(text), F.xxhash64(text))
-    return d.mapInPandas(_fingerprints, f"doc_id {kind}, text_hash long, fp long")
+    return d.mapInArrow(_fingerprints, f"doc_id {kind}, text_hash long, fp long")
 
 
 def _compare(bucket: int, bits: int):
