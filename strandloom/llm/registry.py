@@ -22,6 +22,14 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.langid import held_out, identify, learn
+
+    docs = documents(spark, sf_dir)
+    found = identify(docs, learn(docs.where(~held_out(docs))))
+    return found.select("doc_id", held_out(docs).alias("held_out"), "lang_pred", "score")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.quality import assess, learn
 
@@ -42,15 +50,29 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.licenses import scan
+
+    return scan(documents(spark, sf_dir))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandloom.llm.packing import pack
 
     return pack(documents(spark, sf_dir))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.media import text_media
+
+    return text_media(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from strandloom.llm.licenses import oracle
+
+    return {"op7_license": oracle()}
