@@ -84,7 +84,8 @@ def _inflated(f: BinaryIO) -> Iterator[Iterator[bytes]]:
             held = b""
             if not data:
                 raise ValueError("WARC: the archive ends within a member")
-            yield z.decompress(data, CHUNK)
+            if out := z.decompress(data, CHUNK):  # a few bytes of input may give none yet
+                yield out
         held = z.unused_data
 
     while held or (held := f.read(CHUNK)):
