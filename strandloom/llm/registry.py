@@ -68,6 +68,12 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(documents(spark, sf_dir))
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandloom.llm.lm import score
+
+    return score(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
