@@ -23,93 +23,41 @@ from pyspark.sql import functions as F
 
 END_ID = 1
 SENTENCE_CUT, HARD_CUT, GAP = 1.0, 8.0, 64
-#: Words that an encoder remembers; longer words aren't remembered at all.
-CACHE, LONG_WORD = 300_000, 64
-
-
-class _Words(dict):
-    """Word -> index of its ids in a store of arrays; encodes on first sight."""
-
-    def __init__(self, store: "Encoder", lead: str):
-        super().__init__()
-        self.store, self.lead = store, lead
-
-    def __missing__(self, word: str) -> int:
-        i = self.store.add(self.store.raw(self.lead + word))
-        if len(word) <= LONG_WORD:
-            self[word] = i
-        return i
 
 
 class Encoder:
-    """Token ids of a byte-level BPE vocabulary, word by word.
+    """Token ids of a byte-level BPE vocabulary.
 
-    Its splitting pattern always breaks before a space that follows a
-    non-space or precedes one, and around a lone line feed. So texts whose white
-    space is single spaces and line feeds are encoded by remembered words; all
-    others go through the library as a whole. Ids equal those of ``tokenizers``
-    with the JSON file of the vocabulary (add_special_tokens=False).
+    Ids equal those of ``tokenizers`` with the JSON file of the vocabulary
+    (add_special_tokens=False). With ``json_path`` that library is used; else the
+    same vocabulary as ranks, which another library encodes several times faster.
     """
 
     def __init__(self, json_path: str | None = None, ranks_path: str | None = None):
-        import public_tokenizers as public
-
         if json_path and not ranks_path:
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_file(json_path)
-            self.raw = lambda s: t.encode(s, add_special_tokens=False).ids
+            self.ids = lambda s: t.encode(s, add_special_tokens=False).ids
             self.size = t.get_vocab_size()
             decode = lambda i: t.decode([i], skip_special_tokens=False).encode()
-        else:  # the same vocabulary, several times faster
+        else:
             import base64
 
+            import public_tokenizers as public
             import tiktoken
 
             with open(ranks_path or public.path("byte_bpe_50k.tiktoken"), "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            special = {"<|endoftext|>": len(ranks)}
-            t = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-            self.raw = lambda s: t.encode(s, allowed_special="all", disallowed_special=())
+            special = "<|endoftext|>"
+            t = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={special: len(ranks)})
+            self.ids = lambda s: t.encode(s, allowed_special="all") if special in s else t.encode_ordinary(s)
             self.size = len(ranks) + 1
             decode = t.decode_single_token_bytes
         self.ends = np.array([(b := decode(i)).rstrip()[-1:] in (b".", b"!", b"?") or b"\n" in b for i in range(self.size)])
-        self.reset()
-
-    def reset(self) -> None:
-        self.head, self.body = _Words(self, ""), _Words(self, " ")
-        self.flat, self.start, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.used = self.n = 0
-        self.feed = self.add(self.raw("\n"))
-
-    def add(self, ids: list[int]) -> int:
-        k, i = len(ids), self.n
-        while self.used + k > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if i == len(self.start):
-            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
-        self.flat[self.used : self.used + k] = ids
-        self.start[i], self.count[i] = self.used, k
-        self.used, self.n = self.used + k, i + 1
-        return i
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if text.replace("\n", " ").split(" ") != text.split():
-            return np.array(self.raw(text), np.uint32)
-        if self.n > CACHE or self.used > 16 * CACHE:
-            self.reset()
-        seq: list[int] = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            seq.append(self.head[first])
-            seq.extend(map(self.body.__getitem__, rest))
-            seq.append(self.feed)
-        w = np.array(seq[:-1], np.int64)
-        count = self.count[w]
-        ends = np.cumsum(count)
-        return self.flat[np.repeat(self.start[w] - ends + count, count) + np.arange(ends[-1])]
+        return np.array(self.ids(text), np.uint32)
 
 
 def cut_positions(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
