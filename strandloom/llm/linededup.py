@@ -13,7 +13,11 @@ buckets are compared in full. Of a larger bucket, the pairs left out matter only
 if they join two components; they are compared in a second round.
 
 One 64-bit hash per shingle is computed; the minima's orders are rotations of it
-with constants mixed in, so all of this stays in generated code.
+with constants mixed in, so all of this stays in generated code. Lines of LONG
+shingles or more take their minima over a quarter of their shingles, chosen by
+hash and so alike in all lines, and their first few; lines up to a quarter longer
+than LONG take them over all. Between the two a line has both signatures, so any
+two lines of similar size share a kind. Similarity is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -25,16 +29,12 @@ from strandloom.llm.common import WORD, discard, fresh, materialize
 from strandloom.llm.components import connected_components
 
 K, ROWS, BANDS, NEAR, THRESHOLD = 7, 4, 8, 3, 0.8
+LONG, LEAD = 128, 8
 #: Candidate lines are looked up by a broadcast join up to this many, else by shuffling.
 BROADCAST_LINES = 500_000
 SPACE = " \t\n\r\x0b\x0c"
 
 
-def _id(form: Column) -> Column:
-    """128 bits of a form."""
-    return F.struct(F.xxhash64(form).alias("p"), F.xxhash64(F.lit(1), form).alias("q"))
-
-
 def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, line_no, form) for every line with a word; line_no counts all lines from 0."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
@@ -42,6 +42,11 @@ def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return d.select("doc_id", "text_hash", F.col("line_no").cast("long").alias("line_no"), F.lower(F.btrim("line", F.lit(SPACE))).alias("form"))
 
 
+def identified(occ: DataFrame) -> DataFrame:
+    """occ with the 128 bits of each form: p groups candidates, p and q together name the form."""
+    return occ.withColumns({"p": F.xxhash64("form"), "q": F.xxhash64(F.lit(1), "form")})
+
+
 def _minimum(j: int) -> Column:
     """The j-th order of a shingle hash h: a rotation with some bits flipped."""
     turn, flip = 8 * (j % 8), (0x9E3779B97F4A7C15 * (2 * j + 1) >> 5) & ((1 << 62) - 1) | (j // 8 % 4) << 62
@@ -50,74 +55,84 @@ def _minimum(j: int) -> Column:
     return F.expr(f"min({rotated} ^ {flip}L)") if flip != -(1 << 63) else F.expr(f"min({rotated})")
 
 
-def _shingle_count(form: Column) -> Column:
-    return F.greatest(F.octet_length(form) - (K - 1), F.lit(1))
+def _shingle_count(raw: Column) -> Column:
+    return F.greatest(F.octet_length(raw) - (K - 1), F.lit(1))
 
 
-def shingles(form: Column) -> Column:
-    """The set of shingle hashes of a form, as an array."""
-    raw = F.encode(form, "UTF-8")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), _shingle_count(form)), lambda i: F.xxhash64(F.substring(raw, i, F.lit(K)))))
+def shingles(raw: Column) -> Column:
+    """The set of shingle hashes of a form's bytes, as an array; raw should be a stored column."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), _shingle_count(raw)), lambda i: F.xxhash64(F.substring(raw, i, F.lit(K)))))
 
 
 def band_keys(lines: DataFrame) -> DataFrame:
-    """(id, band) rows: BANDS hashes of minima for each (id, form) of distinct lines."""
-    s = lines.select("id", F.encode("form", "UTF-8").alias("raw"), F.explode(F.sequence(F.lit(1), _shingle_count(F.col("form")))).alias("i"))
-    s = s.select("id", F.xxhash64(F.substring(F.col("raw"), F.col("i"), F.lit(K))).alias("h"))
-    m = s.groupBy("id").agg(*[_minimum(j).alias(f"m{j}") for j in range(ROWS * BANDS)])
-    bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return m.select("id", F.explode(F.array(*bands)).alias("band"))
+    """(p, band) rows: BANDS hashes of minima for each signature of distinct (p, q, raw) lines.
 
-
-def similar(pairs: DataFrame, forms: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Of (a, b) ids, those whose forms have a Jaccard similarity of threshold or more."""
-    fa = forms.select(F.col("id").alias("a"), F.col("form").alias("fa"))
-    fb = forms.select(F.col("id").alias("b"), F.col("form").alias("fb"))
-    p = pairs.join(fa, "a").join(fb, "b")
-    # The smaller set can't reach the threshold beside one with more than 1/threshold times its shingles.
-    p = p.withColumns({"sa": shingles(F.col("fa")), "sb": shingles(F.col("fb"))})
-    p = p.withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return p.where(F.col("both") >= threshold * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+    Lines must be hash-partitioned by (p, q), as a group-by leaves them; then there is no further shuffle.
+    """
+    n, i = F.col("n"), F.col("i")
+    both = (n >= LONG) & (n <= LONG * 5 // 4)
+    s = lines.select("p", "q", "raw", _shingle_count(F.col("raw")).alias("n"))
+    s = s.select("p", "q", "raw", "n", F.explode(F.sequence(F.lit(1), F.when(both, 2 * n).otherwise(n))).alias("i"))
+    s = s.withColumns({"at": F.when(i > n, i - n).otherwise(i), "sparse": (i > n) | (n > LONG * 5 // 4)})
+    s = s.select("p", "q", "sparse", "at", F.xxhash64(F.substring(F.col("raw"), F.col("at"), F.lit(K))).alias("h"))
+    s = s.where(~F.col("sparse") | (F.col("h").bitwiseAND(F.lit(3)) == 0) | (F.col("at") <= LEAD))
+    m = s.groupBy("p", "q", "sparse").agg(*[_minimum(j).alias(f"m{j}") for j in range(ROWS * BANDS)])
+    bands = [F.xxhash64(F.lit(b), "sparse", *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
+    return m.select("p", F.explode(F.array(*bands)).alias("band"))
+
+
+def similar(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): names of lines whose forms have a Jaccard similarity of threshold or more.
+
+    pairs: (a, b) with values of p; texts: (p, q, raw).
+    """
+    one = lambda side: texts.select(F.col("p").alias(side), F.struct("p", "q").alias(f"id_{side}"), F.col("raw").alias(f"raw_{side}"))
+    j = pairs.join(one("a"), "a").join(one("b"), "b")
+    # A generator is a barrier: the sets are computed once per pair, not once per use.
+    sets = F.inline(F.array(F.struct(shingles(F.col("raw_a")).alias("sa"), shingles(F.col("raw_b")).alias("sb"))))
+    j = j.select("id_a", "id_b", sets)
+    j = j.select("id_a", "id_b", F.inline(F.array(F.struct(F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("all")))))
+    return j.where(F.col("both") >= threshold * (F.col("all") - F.col("both"))).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
 def line_components(occ: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, keep) for every line form that occurs again or is linked to another.
+    """(p, q, keep) for every line form that occurs again or is linked to another.
 
-    keep: (doc_id, line_no, text_hash) of the component's first occurrence, null ids last.
+    occ: ``identified`` occurrences. keep: (doc_id, line_no, text_hash) of the
+    component's first occurrence, null ids last.
     """
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no", "text_hash")
-    lines = occ.select(_id(F.col("form")).alias("id"), "form", place.alias("place"))
-    distinct = lines.groupBy("id").agg(F.min("form").alias("form"))
+    distinct = occ.groupBy("p", "q").agg(F.encode(F.min("form"), "UTF-8").alias("raw"))
     bands = band_keys(distinct)
-    order = Window.partitionBy("band").orderBy(F.xxhash64("band", "id"), "id")
+    order = Window.partitionBy("band").orderBy(F.xxhash64("band", "p"), "p")
     whole = Window.partitionBy("band")
-    b = bands.withColumns({"n": F.count("*").over(whole), "before": F.collect_list("id").over(order.rowsBetween(-NEAR, -1)), "first": F.first("id").over(order)}).where("n > 1")
+    b = bands.withColumns({"n": F.count("*").over(whole), "before": F.collect_list("p").over(order.rowsBetween(-NEAR, -1)), "first": F.first("p").over(order)}).where("n > 1")
     b = materialize(b, "line-buckets")
-    pairs = b.select("id", F.explode(F.array_union("before", F.array("first"))).alias("other")).where("id <> other")
-    pairs = materialize(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "line-pairs")
-    wanted = b.select("id").distinct()
+    pairs = b.select("p", F.explode(F.array_union("before", F.array("first"))).alias("other")).where("p <> other")
+    pairs = materialize(pairs.select(F.least("p", "other").alias("a"), F.greatest("p", "other").alias("b")).distinct(), "line-pairs")
+    wanted = b.select("p").distinct()
     n = wanted.count()
-    texts = occ.select(_id(F.col("form")).alias("id"), "form").join(F.broadcast(wanted) if n <= BROADCAST_LINES else wanted, "id", "left_semi")
-    texts = materialize(texts.groupBy("id").agg(F.min("form").alias("form")), "line-texts")
+    texts = occ.join(F.broadcast(wanted) if n <= BROADCAST_LINES else wanted, "p", "left_semi")
+    texts = materialize(texts.groupBy("p", "q").agg(F.encode(F.min("form"), "UTF-8").alias("raw")), "line-texts")
     links = materialize(similar(pairs, texts, threshold), "line-links")
     labels = connected_components(links)
-    large = b.where(F.col("n") > NEAR + 1).select("id", "band")
+    large = b.where(F.col("n") > NEAR + 1).select("p", "band")
     if not large.isEmpty():
         # Pairs of large buckets that the first round left out and that could join two components.
-        own = large.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        own = materialize(own, "line-large")
+        own = large.join(texts.select("p", F.struct("p", "q").alias("node")), "p").join(labels, "node", "left")
+        own = materialize(own.select("band", "p", F.coalesce("label", "node").alias("label")).distinct(), "line-large")
         mixed = own.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
         own = own.join(mixed, "band", "left_semi")
-        l, r = own.select("band", F.col("id").alias("a"), F.col("label").alias("la")), own.select("band", F.col("id").alias("b"), F.col("label").alias("lb"))
+        l, r = own.select("band", F.col("p").alias("a"), F.col("label").alias("la")), own.select("band", F.col("p").alias("b"), F.col("label").alias("lb"))
         more = l.join(r, "band").where("a < b and la <> lb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
         more = materialize(similar(more, texts, threshold), "line-links")
         if not more.isEmpty():
             labels = connected_components(links.union(more))
-    found = lines.groupBy("id").agg(F.min("place").alias("place"), F.count("*").alias("n"))
-    found = found.join(labels.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or label is not null")
-    found = materialize(found.select("id", "place", F.coalesce("label", "id").alias("label")), "line-found")
+    found = occ.groupBy("p", "q").agg(F.min(place).alias("place"), F.count("*").alias("n"))
+    found = found.join(labels.select("node.p", "node.q", "label"), ["p", "q"], "left").where("n > 1 or label is not null")
+    found = materialize(found.select("p", "q", "place", F.coalesce("label", F.struct("p", "q")).alias("label")), "line-found")
     keep = found.groupBy("label").agg(F.min("place").alias("keep"))
-    out = materialize(found.join(keep, "label").select("id", "keep"), "line-components")
+    out = materialize(found.join(keep, "label").select("p", "q", "keep"), "line-components")
     discard(b, pairs, texts, links, labels, found)
     return out
 
@@ -130,9 +145,9 @@ def line_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeat a whole document share places, so each keeps what one would. Null and
     blank texts give no row.
     """
-    occ = occurrences(docs, doc_id, text)
+    occ = identified(occurrences(docs, doc_id, text))
     comp = line_components(occ, threshold)
-    o = occ.withColumn("id", _id(F.col("form"))).drop("form").join(comp, "id", "left")
+    o = occ.drop("form").join(comp, ["p", "q"], "left")
     own = F.col("keep").isNull() | ((F.col("keep.line_no") == F.col("line_no")) & F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.text_hash") == F.col("text_hash")))
     return o.select("doc_id", "text_hash", "line_no", F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_doc_id"), F.coalesce("keep.line_no", "line_no").alias("keep_line_no"), own.alias("kept"))
 
