@@ -1,11 +1,526 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL.
+
+Sequence queries run over whole texts of ``documents``; results are sums per
+record or per value, so that a table of any size gives a comparable answer.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandloom.functions import bits, encoding, hashing
+from strandloom.operators import codes, kmers, minimizers, ordered, runs, sets, simulate, succinct
+from strandloom.plans import sql
+from strandloom.sources import fasta, storage
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+K, MK, MM = 11, 13, 8
+
+
+def _query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _dna(spark: SparkSession, d: str, name: str = "documents", rec: str = "doc_id") -> DataFrame:
+    return table(spark, d, name).select(F.col(rec).alias("rec"), encoding.dna_from_text(F.col("text")).alias("seq"))
+
+
+
+def _long(e, name: str):
+    return e.cast("bigint").alias(name)
+
+
+# ---- k-mers ------------------------------------------------------------------
+
+_PER_REC = "count(*) AS n, sum(pos)::BIGINT AS positions, min(kmer) AS least, max(kmer) AS greatest"
+
+
+def _per_record(found: DataFrame) -> DataFrame:
+    return found.groupBy("rec").agg(F.count("*").alias("n"), _long(F.sum("position"), "positions"), F.min("kmer").alias("least"), F.max("kmer").alias("greatest"))
+
+
+@_query(f"WITH dna AS ({sql.dna()}) SELECT rec, {_PER_REC} FROM ({sql.kmers(K)}) GROUP BY rec")
+def kmers_forward(spark, d):
+    return _per_record(kmers.kmers(_dna(spark, d), K))
+
+
+@_query(f"WITH dna AS ({sql.dna()}), k AS (SELECT rec, pos, {sql.canonical('kmer')} AS kmer FROM ({sql.kmers(K)})) SELECT rec, {_PER_REC} FROM k GROUP BY rec")
+def kmers_canonical(spark, d):
+    return _per_record(kmers.kmers(_dna(spark, d), K, canonical=True))
+
+
+@_query(f"WITH dna AS ({sql.dna()}) SELECT rec, {_PER_REC} FROM ({sql.kmers(K)}) WHERE pos + {K} < n GROUP BY rec")
+def kmers_reference_tail(spark, d):
+    return _per_record(kmers.kmers(_dna(spark, d), K, reference_tail=True))
+
+
+@_query(f"""WITH dna AS ({sql.dna()}), w AS (SELECT *, lag(kmer) OVER (PARTITION BY rec ORDER BY pos) AS before FROM ({sql.windows(K)})),
+r AS (SELECT rec, pos, CASE WHEN strpos(kmer, 'N') = 0 THEN kmer END AS kmer FROM w WHERE strpos(kmer, 'N') = 0 OR (strpos(kmer, 'N') = {K} AND before IS NOT NULL AND strpos(before, 'N') = 0)),
+i AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY pos) - 1 AS id FROM r)
+SELECT rec, count(kmer) AS n, count(*) - count(kmer) AS breaks, sum(pos)::BIGINT AS positions, sum(id * (pos % 7))::BIGINT AS ids FROM i GROUP BY rec""")
+def kmers_with_breaks(spark, d):
+    f = kmers.kmers_with_breaks(_dna(spark, d), K)
+    return f.groupBy("rec").agg(F.count("kmer").alias("n"), (F.count("*") - F.count("kmer")).alias("breaks"), _long(F.sum("position"), "positions"), _long(F.sum(F.col("id") * (F.col("position") % 7)), "ids"))
+
+
+@_query(f"WITH dna AS ({sql.dna()}), k AS (SELECT kmer, count(*) AS multiplicity FROM (SELECT {sql.canonical('kmer')} AS kmer FROM ({sql.kmers(K)})) GROUP BY kmer) SELECT multiplicity, count(*) AS kmers FROM k GROUP BY multiplicity")
+def kmer_spectrum(spark, d):
+    return kmers.spectrum(kmers.kmers(_dna(spark, d), K, canonical=True))
+
+
+@_query(f"WITH dna AS ({sql.dna()}) SELECT rec, count(DISTINCT kmer) AS distinct_kmers FROM ({sql.kmers(K)}) GROUP BY rec")
+def kmer_distinct(spark, d):
+    return sets.unique(kmers.kmers(_dna(spark, d), K), "rec", "kmer").groupBy("rec").agg(F.count("*").alias("distinct_kmers"))
+
+
+@_query(f"WITH dna AS ({sql.dna()}), p AS (SELECT rec, {sql.pack('kmer', K)} AS v FROM ({sql.kmers(K)})) SELECT rec, sum(v)::BIGINT AS packed, min(v) AS least, max(v) AS greatest FROM p GROUP BY rec")
+def kmer_pack(spark, d):
+    p = kmers.kmers(_dna(spark, d), K).select("rec", encoding.pack(F.col("kmer")).alias("v"))
+    return p.groupBy("rec").agg(F.sum("v").alias("packed"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+
+
+@_query(f"""WITH dna AS ({sql.dna()}), parts AS (SELECT rec, unnest(string_split(s, 'N')) AS part FROM dna)
+SELECT rec, sum(length(part) * (length(part) + 1) // 2)::BIGINT AS offsets, sum(length(part))::BIGINT AS bases, max(length(part))::BIGINT AS longest FROM parts WHERE part <> '' GROUP BY rec""")
+def break_offsets(spark, d):
+    o = kmers.break_offsets(_dna(spark, d))
+    return o.groupBy("rec").agg(F.sum("offset").alias("offsets"), F.count("*").alias("bases"), F.max("offset").alias("longest"))
+
+
+@_query("""WITH w AS (SELECT doc_id, substr(text, 1, 12) AS t FROM documents), c AS (SELECT doc_id, translate(regexp_replace(translate(t, 'acgtuU', 'ACGTTT'), '[^ACGT]', 'N', 'g'), 'ACGTN', '01234') AS codes, regexp_replace(translate(t, 'acgtuU', 'ACGTTT'), '[^ACGT]', 'N', 'g') AS bases FROM w)
+SELECT doc_id, codes, translate(codes, '01234', 'ACGTN') AS decoded, translate(reverse(bases), 'ACGT', 'TGCA') AS complement FROM c""")
+def base_codes(spark, d):
+    t = table(spark, d, "documents").select("doc_id", encoding.clean(F.substring("text", 1, 12)).alias("bases"))
+    each = F.transform(F.split("bases", ""), lambda c: encoding.encode_base(c))
+    t = t.withColumn("c", F.when(F.col("bases") != "", each).otherwise(F.array().cast("array<int>")))
+    return t.select("doc_id", F.array_join(F.col("c").cast("array<string>"), "").alias("codes"), F.array_join(F.transform("c", encoding.decode_base), "").alias("decoded"), encoding.reverse_complement(F.col("bases")).alias("complement"))
+
+
+# ---- sets --------------------------------------------------------------------
+
+_ITEMS = f"dna AS ({sql.dna()}), items AS (SELECT rec, {sql.canonical('kmer')} AS kmer FROM ({sql.kmers(K)}))"
+_PAIRS = "pairs AS (SELECT doc_id AS a, lead(doc_id) OVER (ORDER BY doc_id) AS b FROM (SELECT DISTINCT doc_id FROM documents) QUALIFY lead(doc_id) OVER (ORDER BY doc_id) = doc_id + 1)"
+
+
+def _jaccard_sql(count: str) -> str:
+    return f"""WITH {_ITEMS}, {_PAIRS}, c AS (SELECT rec, kmer, {count} AS c FROM items GROUP BY ALL), size AS (SELECT rec, sum(c)::BIGINT AS n FROM c GROUP BY rec),
+i AS (SELECT a, b, sum(least(x.c, y.c))::BIGINT AS i FROM pairs JOIN c x ON x.rec = a JOIN c y ON y.rec = b AND y.kmer = x.kmer GROUP BY a, b),
+t AS (SELECT p.a, p.b, coalesce(i.i, 0) AS i, coalesce(s.n, 0) AS n1, coalesce(u.n, 0) AS n2 FROM pairs p LEFT JOIN i USING (a, b) LEFT JOIN size s ON s.rec = p.a LEFT JOIN size u ON u.rec = p.b)
+SELECT a, b, i, n1 + n2 - i AS u, n1, n2, CASE WHEN n1 + n2 - i > 0 THEN round(i::DOUBLE / (n1 + n2 - i), 9) END AS jaccard FROM t"""
+
+
+def _neighbours(spark, d) -> DataFrame:
+    """Pairs of documents with consecutive ids."""
+    ids = table(spark, d, "documents").select("doc_id").distinct()
+    return ids.join(ids.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("b")), "doc_id").select(F.col("doc_id").alias("a"), "b")
+
+
+@_query(_jaccard_sql("1"))
+def kmer_jaccard(spark, d):
+    return sets.pair_jaccard(kmers.kmers(_dna(spark, d), K, canonical=True), _neighbours(spark, d), "rec", "kmer")
+
+
+@_query(_jaccard_sql("count(*)"))
+def kmer_jaccard_multiset(spark, d):
+    return sets.pair_jaccard(kmers.kmers(_dna(spark, d), K, canonical=True), _neighbours(spark, d), "rec", "kmer", multiset=True)
+
+
+_TWO = f"dna AS ({sql.dna()}), bench AS ({sql.dna('benchmark', 'item_id')}), x AS (SELECT {sql.canonical('kmer')} AS kmer FROM ({sql.kmers(K)})), y AS (SELECT {sql.canonical('kmer')} AS kmer FROM ({sql.kmers(K, 'bench')}))"
+
+
+def _whole_sql(agg: str) -> str:
+    return f"""WITH {_TWO}, c AS (SELECT kmer, {agg}(p) AS p, {agg}(q) AS q FROM (SELECT kmer, 1 AS p, 0 AS q FROM x UNION ALL SELECT kmer, 0, 1 FROM y) GROUP BY kmer)
+SELECT sum(least(p, q))::BIGINT AS i, sum(greatest(p, q))::BIGINT AS u, sum(p)::BIGINT AS n1, sum(q)::BIGINT AS n2, round(sum(least(p, q))::DOUBLE / sum(greatest(p, q)), 9) AS jaccard FROM c"""
+
+
+def _two(spark, d) -> tuple[DataFrame, DataFrame]:
+    return kmers.kmers(_dna(spark, d), K, canonical=True), kmers.kmers(_dna(spark, d, "benchmark", "item_id"), K, canonical=True)
+
+
+@_query(_whole_sql("max"))
+def jaccard_tables(spark, d):
+    return sets.jaccard(*_two(spark, d), "kmer")
+
+
+@_query(_whole_sql("sum"))
+def jaccard_tables_multiset(spark, d):
+    return sets.jaccard(*_two(spark, d), "kmer", multiset=True)
+
+
+@_query(f"WITH {_TWO}, u AS (SELECT kmer FROM x UNION SELECT kmer FROM y) SELECT substr(kmer, 1, 2) AS prefix, count(*) AS n FROM u GROUP BY 1")
+def set_union(spark, d):
+    return sets.set_union(*_two(spark, d), "kmer").groupBy(F.substring("kmer", 1, 2).alias("prefix")).agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH dna AS ({sql.dna()}), k AS (SELECT rec, pos, kmer FROM ({sql.kmers(K)})) SELECT kmer, rec, pos AS position FROM k ORDER BY kmer, rec, pos LIMIT 100")
+def external_sort_top(spark, d):
+    """The first 100 of the sorted k-mers: the limit is the operator."""
+    return runs.sorted_prefix(kmers.kmers(_dna(spark, d), K), ["kmer", "rec", "position"], 100).select("kmer", "rec", "position")
+
+
+# ---- runs --------------------------------------------------------------------
+
+_EV = "PARTITION BY user_id ORDER BY event_id"
+
+
+@_query(f"""WITH c AS (SELECT user_id, event_id, event_type, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER ({_EV}) OR lag(event_id) OVER ({_EV}) IS NULL THEN 1 ELSE 0 END AS ch, row_number() OVER ({_EV}) - 1 AS i FROM events),
+r AS (SELECT *, sum(ch) OVER ({_EV}) AS run FROM c) SELECT user_id, min(i)::BIGINT AS "start", min(event_type) AS symbol, count(*) AS length FROM r GROUP BY user_id, run""")
+def rle_events(spark, d):
+    return runs.run_lengths(table(spark, d, "events"), ["user_id"], ["event_id"], "event_type")
+
+
+@_query(f"SELECT user_id, row_number() OVER ({_EV}) - 1 AS i, event_type AS symbol FROM events")
+def rle_expand(spark, d):
+    return runs.expand_runs(rle_events(spark, d), ["user_id"])
+
+
+@_query("SELECT o_orderkey, sum(floor(o_totalprice)::BIGINT) OVER (ORDER BY o_orderkey)::BIGINT AS prefix FROM orders")
+def prefix_sum(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.floor("o_totalprice").cast("bigint").alias("x"))
+    return ordered.prefix_sum(o, "o_orderkey", "x").select("o_orderkey", "prefix")
+
+
+@_query("SELECT o_orderkey, floor(o_totalprice)::BIGINT - coalesce(lag(floor(o_totalprice)::BIGINT) OVER (ORDER BY o_orderkey), 0) AS delta FROM orders")
+def delta(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.floor("o_totalprice").cast("bigint").alias("x"))
+    return ordered.delta(o, "o_orderkey", "x").select("o_orderkey", "delta")
+
+
+@_query(f"SELECT user_id, event_id, event_id - coalesce(lag(event_id) OVER ({_EV}), 0) AS delta, sum(event_id) OVER ({_EV} ROWS UNBOUNDED PRECEDING)::BIGINT AS prefix FROM events")
+def event_gaps(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id")
+    return runs.cumulative(runs.differences(e, ["user_id"], ["event_id"], "event_id"), ["user_id"], ["event_id"], "event_id")
+
+
+@_query(f"SELECT user_id, event_id, event_type FROM events QUALIFY lag(event_id) OVER ({_EV}) IS NULL OR event_type IS DISTINCT FROM lag(event_type) OVER ({_EV})")
+def unique_neighbours(spark, d):
+    return runs.unique_neighbours(table(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"], "event_type")
+
+
+@_query("SELECT 0 AS part, r_regionkey::BIGINT AS key, r_name AS name FROM region UNION ALL SELECT 1, n_nationkey, n_name FROM nation UNION ALL SELECT 2, s_suppkey, s_name FROM supplier")
+def append(spark, d):
+    cols = (("region", "r_regionkey", "r_name"), ("nation", "n_nationkey", "n_name"), ("supplier", "s_suppkey", "s_name"))
+    return runs.append(*[table(spark, d, t).select(F.col(k).cast("bigint").alias("key"), F.col(n).alias("name")) for t, k, n in cols])
+
+
+@_query(f"SELECT user_id, event_id, row_number() OVER ({_EV}) - 1 AS i FROM events")
+def indexed(spark, d):
+    return runs.indexed(table(spark, d, "events").select("user_id", "event_id"), ["user_id"], ["event_id"])
+
+
+@_query("SELECT user_id, event_id, " + ", ".join(f"{f}(event_id) OVER ({_EV} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)::BIGINT AS window_{n}" for f, n in (("sum", "sum"), ("min", "min"), ("max", "max"), ("last", "last"))) + " FROM events")
+def sliding_views(spark, d):
+    return runs.sliding(table(spark, d, "events").select("user_id", "event_id"), ["user_id"], ["event_id"], "event_id", 5)
+
+
+@_query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders")
+def global_index(spark, d):
+    return ordered.global_index(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+
+
+# ---- hashing and sampling ----------------------------------------------------
+
+
+@_query(f"WITH src AS (SELECT l_partkey, l_orderkey, l_partkey::uhugeint AS x FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem)), {sql.hashed('src', 'x', 42)} SELECT l_partkey, l_orderkey, {sql.signed('h1')} AS h FROM hv")
+def hash64(spark, d):
+    t = table(spark, d, "lineitem").select("l_partkey", "l_orderkey").distinct()
+    return t.withColumn("h", hashing.hash64(F.col("l_partkey"), 42))
+
+
+@_query(f"WITH src AS (SELECT o_orderkey, o_orderkey::uhugeint AS x FROM orders), {sql.hashed('src', 'x', 7)} SELECT o_orderkey, {sql.signed('h1')} AS h1, {sql.signed('h2')} AS h2 FROM hv")
+def double_hash64(spark, d):
+    t = table(spark, d, "orders").select("o_orderkey", hashing.double_hash64(F.col("o_orderkey"), 7).alias("h"))
+    return t.select("o_orderkey", "h.h1", "h.h2")
+
+
+_R1, _R2 = "13787848793156543929::uhugeint", "10723151780598845931::uhugeint"
+
+
+@_query(f"""WITH a AS (SELECT o_orderkey, ((xor(o_orderkey::uhugeint, o_orderkey::uhugeint >> 30) * {_R1}) & {sql.M64}) AS z FROM orders),
+b AS (SELECT o_orderkey, ((xor(z, z >> 27) * {_R2}) & {sql.M64}) AS z FROM a), c AS (SELECT o_orderkey, xor(z, z >> 31) AS z FROM b) SELECT o_orderkey, {sql.signed('z')} AS z FROM c""")
+def remix(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", hashing.remix(F.col("o_orderkey")).alias("z"))
+
+
+@_query(f"WITH src AS (SELECT o_orderkey, o_orderkey::uhugeint AS x FROM orders), {sql.hashed('src', 'x', 0)} SELECT o_orderkey, ((h1 * 7::uhugeint) >> 64)::BIGINT AS seven, ((h1 * 200::uhugeint) >> 64)::BIGINT AS twohundred, (((h1 & 4294967295::uhugeint) * 7::uhugeint) >> 32)::BIGINT AS low_seven FROM hv")
+def fastrange(spark, d):
+    h = table(spark, d, "orders").select("o_orderkey", hashing.hash64(F.col("o_orderkey"), 0).alias("h"))
+    return h.select("o_orderkey", hashing.fastrange(F.col("h"), 7).alias("seven"), hashing.fastrange(F.col("h"), 200).alias("twohundred"), hashing.fastrange(F.col("h"), 7, 32).alias("low_seven"))
+
+
+_RATE = 0.125
+
+
+@_query(f"""WITH dna AS ({sql.dna()}), k AS (SELECT rec, pos, {sql.canonical('kmer')} AS kmer FROM ({sql.kmers(K)})), dist AS (SELECT DISTINCT kmer AS d, {sql.pack('kmer', K)}::uhugeint AS x FROM k), {sql.hashed('dist', 'x', 42)}
+SELECT rec, count(*) AS n, sum(x)::BIGINT AS total, sum(pos)::BIGINT AS positions FROM k JOIN hv ON k.kmer = hv.d WHERE h1 < {int(_RATE * 2**64)}::uhugeint GROUP BY rec""")
+def frac_sample(spark, d):
+    s = minimizers.hash_sample(_dna(spark, d), K, _RATE)
+    return s.groupBy("rec").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.sum("position").alias("positions"))
+
+
+@_query(f"""WITH {sql.minima(MK, MM, 42)}, ch AS (SELECT *, lag(mpos) OVER (PARTITION BY rec, seg ORDER BY kpos) AS before FROM mins),
+o AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY kpos) - 1 AS id FROM ch WHERE before IS NULL OR before <> mpos)
+SELECT rec, count(*) AS n, sum({sql.pack('mmer', MM)})::BIGINT AS total, bit_xor({sql.signed('h')}) AS hashes, sum(mpos)::BIGINT AS positions, max(id) AS last_id FROM o GROUP BY rec""")
+def minimizer_rows(spark, d):
+    m = minimizers.minimizers(_dna(spark, d), MK, MM)
+    return m.groupBy("rec").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.bit_xor("hash").alias("hashes"), F.sum("position").alias("positions"), F.max("id").alias("last_id"))
+
+
+@_query(f"""WITH {sql.minima(MK, MM, 42)}, ch AS (SELECT *, CASE WHEN lag(mpos) OVER (PARTITION BY rec, seg ORDER BY kpos) = mpos THEN 0 ELSE 1 END AS c FROM mins),
+r AS (SELECT *, sum(c) OVER (PARTITION BY rec, seg ORDER BY kpos) AS run FROM ch), s AS (SELECT rec, any_value(mmer) AS mmer, min(mpos) - min(kpos) AS mm_pos, count(*) AS size, min(kpos) AS st FROM r GROUP BY rec, seg, run)
+SELECT rec, count(*) AS n, sum({sql.pack('mmer', MM)})::BIGINT AS total, sum(mm_pos)::BIGINT AS offsets, sum(size)::BIGINT AS kmers, sum(size * (st % 5))::BIGINT AS starts FROM s GROUP BY rec""")
+def super_kmer_rows(spark, d):
+    s = minimizers.super_kmers(_dna(spark, d), MK, MM)
+    return s.groupBy("rec").agg(F.count("*").alias("n"), F.sum("minimizer").alias("total"), F.sum("mm_pos").alias("offsets"), F.sum("size").alias("kmers"), F.sum(F.col("size") * (F.col("start") % 5)).alias("starts"))
+
+
+def _syncmer_sql(where: str) -> str:
+    return f"WITH {sql.minima(MK, MM, 0)} SELECT rec, count(*) AS n, sum(kpos)::BIGINT AS positions, sum(mpos - kpos)::BIGINT AS offsets FROM mins WHERE mpos - kpos {where} GROUP BY rec"
+
+
+def _syncmers(spark, d, *offsets) -> DataFrame:
+    s = minimizers.syncmers(_dna(spark, d), MK, MM, *offsets)
+    return s.groupBy("rec").agg(F.count("*").alias("n"), F.sum("position").alias("positions"), F.sum("offset").alias("offsets"))
+
+
+@_query(_syncmer_sql(f"IN (0, {MK - MM})"))
+def syncmers_closed(spark, d):
+    return _syncmers(spark, d)
+
+
+@_query(_syncmer_sql("= 2"))
+def syncmers_open(spark, d):
+    return _syncmers(spark, d, 2, 2)
+
+
+@_query(f"""WITH {sql.minima(MK, MM, 0)} SELECT mpos - kpos AS "offset", count(*) AS n FROM mins GROUP BY 1""")
+def minimizer_offsets(spark, d):
+    return minimizers.minimizer_offsets(_dna(spark, d), MK, MM).groupBy("offset").agg(F.count("*").alias("n"))
+
+
+def _sampler_sql(dedup: bool) -> str:
+    return f"""WITH src AS (SELECT user_id, event_id, event_id::uhugeint AS x FROM events), {sql.hashed('src', 'x', 42)},
+w AS (SELECT user_id, event_id, min(h1 * 1099511627776::uhugeint + event_id::uhugeint) OVER f AS key, count(*) OVER f AS n FROM hv WINDOW f AS ({_EV} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+m AS (SELECT user_id, event_id AS e, (key % 1099511627776::uhugeint)::BIGINT AS event_id, key // 1099511627776::uhugeint AS h FROM w WHERE n = 4),
+c AS (SELECT *, lag(event_id) OVER (PARTITION BY user_id ORDER BY e) AS before FROM m)
+SELECT user_id, event_id, {sql.signed('h')} AS hash FROM c {'WHERE before IS NULL OR before <> event_id' if dedup else ''}"""
+
+
+def _sampler(spark, d, dedup: bool) -> DataFrame:
+    e = table(spark, d, "events").select("user_id", "event_id").withColumn("h", hashing.hash64(F.col("event_id"), 42))
+    return runs.sliding_minima(e, ["user_id"], "event_id", "h", 4, dedup)
+
+
+@_query(_sampler_sql(True))
+def minimizer_sampler(spark, d):
+    return _sampler(spark, d, True)
+
+
+@_query(_sampler_sql(False))
+def minimizer_sampler_all(spark, d):
+    return _sampler(spark, d, False)
+
+
+# ---- bits --------------------------------------------------------------------
+
+
+@_query("""SELECT o_orderkey, bit_count(o_orderkey)::INT AS ones, (bit_count(o_orderkey) % 2)::INT AS parity, CASE WHEN o_orderkey <> 0 THEN length(bin(o_orderkey)) - length(rtrim(bin(o_orderkey), '0')) END::INT AS lsb,
+CASE WHEN o_orderkey <> 0 THEN length(bin(o_orderkey)) - 1 END::INT AS msb, lpad(bin(o_orderkey), 64, '0') AS text, reverse(lpad(bin(o_orderkey), 64, '0')) AS text_reverse FROM orders""")
+def bit_scalars(spark, d):
+    x = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", bits.popcount(x).cast("int").alias("ones"), bits.parity(x).cast("int").alias("parity"), bits.lsb(x).cast("int").alias("lsb"), bits.msb(x).cast("int").alias("msb"), bits.bits_text(x).alias("text"), bits.bits_text_reverse(x).alias("text_reverse"))
+
+
+@_query("""WITH o AS (SELECT o_orderkey, o_orderkey % 20 AS pos, reverse(lpad(bin(o_orderkey), 64, '0')) AS b FROM orders)
+SELECT o_orderkey, length(replace(substr(b, 1, pos + 1), '0', ''))::INT AS rank1, (pos + 1 - length(replace(substr(b, 1, pos + 1), '0', '')))::INT AS rank0,
+list_filter(range(0, 64), lambda i: substr(b, i + 1, 1) = '1')[3]::INT AS select1, list_filter(range(0, 64), lambda i: substr(b, i + 1, 1) = '0')[3]::INT AS select0 FROM o""")
+def word_rank_select(spark, d):
+    x, p = F.col("o_orderkey"), F.col("o_orderkey") % 20
+    return table(spark, d, "orders").select("o_orderkey", bits.word_rank1(x, p).cast("int").alias("rank1"), bits.word_rank0(x, p).alias("rank0"), bits.word_select1(x, F.lit(2)).cast("int").alias("select1"), bits.word_select0(x, F.lit(2)).cast("int").alias("select0"))
+
+
+_ONES = "ones AS (SELECT DISTINCT l_orderkey AS pos FROM lineitem WHERE l_returnflag = 'R')"
+
+
+def _ones(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("pos")).distinct()
+
+
+@_query(f"WITH {_ONES}, w AS (SELECT pos // 64 AS block_idx, bit_or(CASE WHEN pos % 64 = 63 THEN -9223372036854775808 ELSE (1::BIGINT << (pos % 64)::INT) END) AS word FROM ones GROUP BY 1) SELECT block_idx, word FROM w")
+def bitvector_words(spark, d):
+    return succinct.bit_words(_ones(spark, d))
+
+
+@_query(f"WITH {_ONES} SELECT pos FROM ones")
+def bitvector_ones(spark, d):
+    return succinct.one_positions(succinct.bit_words(_ones(spark, d)))
+
+
+@_query(f"WITH {_ONES} SELECT o_orderkey, (o_orderkey IN (SELECT pos FROM ones))::INT AS bit FROM orders")
+def bitvector_at(spark, d):
+    return succinct.bits_at(succinct.bit_words(_ones(spark, d)), table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", "bit")
+
+
+@_query(f"WITH {_ONES} SELECT 1048576::BIGINT AS size, count(*) AS size1, 1048576 - count(*) AS size0 FROM ones")
+def bitvector_sizes(spark, d):
+    return succinct.vector_sizes(succinct.bit_words(_ones(spark, d)), 1048576)
+
+
+@_query(f"WITH {_ONES}, q AS (SELECT o_orderkey AS i FROM orders), e AS (SELECT pos AS k, 1 AS one, NULL::BIGINT AS i FROM ones UNION ALL SELECT i, 0, i FROM q), r AS (SELECT i, (sum(one) OVER (ORDER BY k, one) )::BIGINT AS c FROM e) SELECT i, coalesce(c, 0) AS rank1, i - coalesce(c, 0) AS rank0 FROM r WHERE i IS NOT NULL")
+def rank(spark, d):
+    return succinct.rank(_ones(spark, d), table(spark, d, "orders").select(F.col("o_orderkey").alias("i")))
+
+
+@_query(f"""WITH {_ONES}, idx AS (SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS k FROM ones), z AS (SELECT pos - k AS before, max(k) + 1 AS n FROM idx GROUP BY 1),
+q AS (SELECT p_partkey AS j FROM part) SELECT q.j, idx.pos AS select1, q.j + coalesce(z.n, 0) AS select0 FROM q LEFT JOIN idx ON idx.k = q.j ASOF LEFT JOIN z ON q.j >= z.before""")
+def select(spark, d):
+    return succinct.select(_ones(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("j")))
+
+
+@_query("SELECT p_partkey AS i, p_size::BIGINT AS x FROM part")
+def pack_unpack(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("i"), F.col("p_size").cast("bigint").alias("x"))
+    return succinct.unpack_words(succinct.pack_words(p, 7), p.select("i"), 7)
+
+
+_SEQ = "seq AS (SELECT row_number() OVER (ORDER BY l_partkey) - 1 AS idx, l_partkey AS v FROM lineitem)"
+
+
+def _seq(spark, d) -> DataFrame:
+    return succinct.elias_fano(table(spark, d, "lineitem"), "l_partkey")
+
+
+def _lookups(spark, d) -> DataFrame:
+    return table(spark, d, "part").select((F.col("p_partkey") + F.col("p_size") - 20).alias("s")).distinct()
+
+
+_LOOK = "q AS (SELECT DISTINCT p_partkey + p_size - 20 AS s FROM part)"
+
+
+@_query(f"WITH {_SEQ}, s AS (SELECT count(*) AS n, max(v) AS universe FROM seq), l AS (SELECT *, CASE WHEN universe // (n + 1) > 1 THEN length(bin(universe // (n + 1) - 1)) ELSE 0 END::BIGINT AS low_bits FROM s) SELECT n, universe, low_bits, (n * low_bits + (universe >> low_bits::INT) + n + 1)::BIGINT AS bits FROM l")
+def ef_size(spark, d):
+    return succinct.elias_fano_size(_seq(spark, d))
+
+
+@_query(f"WITH {_SEQ}, s AS (SELECT *, v - coalesce(lag(v) OVER (ORDER BY idx), 0) AS diff FROM seq) SELECT p_partkey AS i, v AS value, diff FROM part LEFT JOIN s ON idx = p_partkey")
+def ef_access(spark, d):
+    return succinct.elias_fano_at(_seq(spark, d), table(spark, d, "part").select(F.col("p_partkey").alias("i")))
+
+
+_RUNS = "r AS (SELECT v, min(idx) AS f, max(idx) AS l FROM seq GROUP BY v)"
+
+
+@_query(f"WITH {_SEQ}, {_RUNS}, {_LOOK} SELECT s, coalesce(l, -1) AS found FROM q ASOF LEFT JOIN r ON q.s > r.v")
+def ef_lt_find(spark, d):
+    return succinct.find_less(_seq(spark, d), _lookups(spark, d))
+
+
+@_query(f"WITH {_SEQ}, {_RUNS}, {_LOOK} SELECT s, coalesce(f, -1) AS found FROM q ASOF LEFT JOIN r ON q.s > r.v")
+def ef_lt_find_unique(spark, d):
+    return succinct.find_less(_seq(spark, d), _lookups(spark, d), ignore_duplicates=True)
+
+
+@_query(f"WITH {_SEQ}, {_RUNS}, {_LOOK} SELECT s, coalesce(f, (SELECT count(*) FROM seq)) AS found FROM q ASOF LEFT JOIN r ON q.s < r.v")
+def ef_gt_find(spark, d):
+    return succinct.find_greater(_seq(spark, d), _lookups(spark, d))
+
+
+@_query(f"WITH {_SEQ}, {_RUNS}, {_LOOK} SELECT s, coalesce(l, (SELECT count(*) FROM seq)) AS found FROM q ASOF LEFT JOIN r ON q.s < r.v")
+def ef_gt_find_unique(spark, d):
+    return succinct.find_greater(_seq(spark, d), _lookups(spark, d), ignore_duplicates=True)
+
+
+# ---- codes -------------------------------------------------------------------
+
+
+@_query("""WITH p AS (SELECT p_partkey AS x, length(bin(p_partkey + 1)) AS b FROM part) SELECT x, length(bin(x))::BIGINT AS binary_size, x::BIGINT AS unary_size, (2 * b - 1)::BIGINT AS gamma_size, (2 * length(bin(b)) - 1 + b - 1)::BIGINT AS delta_size FROM p""")
+def code_sizes(spark, d):
+    x = F.col("p_partkey")
+    return table(spark, d, "part").select(x.alias("x"), codes.binary_size(x).alias("binary_size"), codes.unary_size(x).alias("unary_size"), codes.gamma_size(x).alias("gamma_size"), codes.delta_size(x).alias("delta_size"))
+
+
+def _low_sql(x: str, w: str) -> str:
+    return f"substr(rpad(reverse(bin({x})), 64, '0'), 1, ({w})::INT)"
+
+
+def _gamma_sql(x: str) -> str:
+    return f"(repeat('0', length(bin({x} + 1)) - 1) || '1' || {_low_sql(f'({x} + 1)', f'length(bin({x} + 1)) - 1')})"
+
+
+@_query(f"""WITH p AS (SELECT p_partkey, p_size::BIGINT AS x FROM part) SELECT p_partkey, {_low_sql('x', '7')} AS fixed, repeat('0', x::INT) || '1' AS unary, {_low_sql('x', '6')} AS "binary", {_gamma_sql('x')} AS gamma,
+{_gamma_sql('(length(bin(x + 1)) - 1)')} || {_low_sql('(x + 1)', 'length(bin(x + 1)) - 1')} AS delta, {_gamma_sql('(x // 4)')} || {_low_sql('(x % 4)', '2')} AS rice FROM p""")
+def code_strings(spark, d):
+    x = F.col("p_size").cast("bigint")
+    return table(spark, d, "part").select("p_partkey", codes.fixed(x, 7).alias("fixed"), codes.unary(x).alias("unary"), codes.binary(x, 50).alias("binary"), codes.gamma(x).alias("gamma"), codes.delta(x).alias("delta"), codes.rice(x, 2).alias("rice"))
+
+
+@_query(f"SELECT p_brand, md5(string_agg({_gamma_sql('p_size::BIGINT')}, '' ORDER BY p_partkey)) AS digest FROM part GROUP BY p_brand")
+def code_stream(spark, d):
+    s = codes.stream(table(spark, d, "part"), ["p_brand"], "p_partkey", codes.gamma(F.col("p_size").cast("bigint")))
+    return s.select("p_brand", F.md5("bits").alias("digest"))
+
+
+@_query("WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i FROM part) SELECT p_brand, i, p_size::BIGINT AS by_gamma, p_size::BIGINT AS by_delta, p_size::BIGINT AS by_rice FROM p")
+def code_decode(spark, d):
+    p, x = table(spark, d, "part"), F.col("p_size").cast("bigint")
+    out = None
+    for name, code, args in (("gamma", codes.gamma(x), ()), ("delta", codes.delta(x), ()), ("rice", codes.rice(x, 3), (3,))):
+        s = codes.stream(p, ["p_brand"], "p_partkey", code).select("p_brand", codes.decode(F.col("bits"), name, *args).alias("v"))
+        s = s.select("p_brand", F.posexplode("v").alias("i", f"by_{name}"))
+        out = s if out is None else out.join(s, ["p_brand", "i"])
+    return out.withColumn("i", F.col("i").cast("bigint"))
+
+
+# ---- sources, storage, simulation --------------------------------------------
+
+
+@_query("SELECT count(*) AS rows, sum(16 + strlen(text))::BIGINT AS bytes FROM benchmark")
+def plain_size(spark, d):
+    t = table(spark, d, "benchmark")
+    return storage.table_bytes(t.select("item_id", "text"))
+
+
+@_query("SELECT conv_id, turn, role, text, strlen(text)::BIGINT AS size FROM conversations")
+def save_load(spark, d):
+    path = storage.scratch(spark, "save")
+    t = table(spark, d, "conversations")
+    storage.save(t.select("conv_id", F.struct("turn", "role", "text").alias("said")), path)
+    return storage.load(spark, path).select("conv_id", "said.turn", "said.role", "said.text", F.octet_length("said.text").cast("bigint").alias("size"))
+
+
+@_query(f"WITH dna AS ({sql.dna()}) SELECT 'd' || rec AS name, 'x ' || rec AS comment, md5(s) AS digest, length(s)::BIGINT AS bases FROM dna WHERE s <> ''")
+def fasta_round_trip(spark, d):
+    path = storage.scratch(spark, "fasta")
+    s = _dna(spark, d).where("seq <> ''")
+    fasta.write_fasta(s.select(F.concat(F.lit("d"), "rec").alias("name"), F.concat(F.lit("x "), "rec").alias("comment"), "seq"), path)
+    return fasta.read_fasta(spark, path).select("name", "comment", F.md5("seq").alias("digest"), F.length("seq").cast("bigint").alias("bases"))
+
+
+@_query()
+def random_sequences(spark, d):
+    """A random sequence per customer, mutated. Random, so rows are compared only."""
+    s = simulate.random_dna(table(spark, d, "customer"), 200, rec="c_custkey")
+    return simulate.mutate(s, 0.05, 0.3, 0.5)
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
