@@ -12,7 +12,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     Records are split at a > that begins a line, by the source itself, so a large
     plain file is read in parallel; a gzipped file is one task.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path)
+    raw = spark.read.text(path, lineSep="\n>")
     r = raw.select(F.regexp_replace("value", r"^>", "").alias("v")).where(F.trim("v") != "")
     head = F.regexp_extract("v", r"^([^\r\n]*)", 1)
     body = F.regexp_replace(F.regexp_replace("v", r"^[^\n]*\n?", ""), r"\s", "")
@@ -27,9 +27,9 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     A file is one row of lines here, as a quality line may begin with @: keep files
     to sizes that a task holds.
     """
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     lines = F.split(F.regexp_replace(F.regexp_replace("value", "\r", ""), r"\n+$", ""), "\n")
-    d = raw.where(F.trim("value") != "").select(lines.alias("l")).select("l", F.explode(F.sequence(F.lit(0), F.floor(F.size("l") / 4).cast("int") - 1)).alias("i"))
+    d = raw.where(F.trim("value") != "").select(lines.alias("l")).select("l", F.explode(F.sequence(F.lit(0), F.ceil(F.size("l") / 4).cast("int") - 1)).alias("i"))
     at = lambda k: F.get("l", F.col("i") * 4 + k)
     d = d.select(at(0).alias("head"), at(1).alias("seq"), at(2).alias("plus"), at(3).alias("qual"))
     ok = F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual"))
