@@ -1,11 +1,11 @@
 """Licence scan by sentence rules, with DataFrame operations only.
 
-A text is split into sentences at line feeds and after . ! ?; a sentence's normal
-form is its lower-case letters and digits with single spaces. Normal forms map to
-identifiers of known licence sentences, and the sequence of identifiers in a text
-is matched against rules: a licence's identifiers in their order, with at most
-``GAP`` other known sentences between two of them. All of it is a projection:
-no shuffle, whatever the table's size.
+A text is split into sentences at line feeds, after . ! ? and after a colon before
+a capital letter; a sentence's normal form is its lower-case letters and digits
+with single spaces. Normal forms map to identifiers of known licence sentences,
+and the sequence of identifiers in a text is matched against rules: a licence's
+identifiers in their order, with at most ``GAP`` other known sentences between two
+of them. All of it is a projection: no shuffle, whatever the table's size.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ RULES = {
     "MPL-2.0": [("mpl2-grant",)],
 }
 
-BREAK, JUNK = r"([.!?])[ \t-\r]+", "[^a-z0-9]+"
+BREAK, COLON, JUNK = r"([.!?])[ \t-\r]+", r"(:)[ \t-\r]+([A-Z])", "[^a-z0-9]+"
 
 
 def normal(sentence: str) -> str:
@@ -82,7 +82,7 @@ def pattern(rule: tuple[str, ...]) -> str:
 def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> tuple[Column, Column]:
     """(number of sentences with a letter or digit, identifiers in order) of a text."""
     known = F.create_map(*[F.lit(x) for kv in pieces(sentences).items() for x in kv])
-    split = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), BREAK, "$1\n"), "\n")
+    split = F.split(F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), COLON, "$1\n$2")), BREAK, "$1\n"), "\n")
     forms = F.filter(F.transform(split, lambda s: F.btrim(F.regexp_replace(s, JUNK, " "))), lambda s: s != "")
     longest = max(map(len, pieces(sentences)))
     named = F.array_compact(F.transform(forms, lambda s: F.when(F.length(s) <= longest, F.try_element_at(known, s))))
@@ -109,7 +109,7 @@ def oracle(table: str = "documents") -> str:
     tests = ", ".join(f"CASE WHEN sentence_ids <> '' AND regexp_matches(sentence_ids, {quote('|'.join(f'(?:{pattern(r)})' for r in rs))}) THEN {quote(k)} END" for k, rs in RULES.items())
     return f"""
 WITH known(form, name) AS (VALUES {known}),
-parts AS (SELECT rowid AS r, doc_id, string_split(regexp_replace(lower(coalesce(text, '')), '{BREAK}', '\\1\n', 'g'), chr(10)) AS s FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM {table})),
+parts AS (SELECT rowid AS r, doc_id, string_split(regexp_replace(lower(regexp_replace(coalesce(text, ''), '{COLON}', '\\1\n\\2', 'g')), '{BREAK}', '\\1\n', 'g'), chr(10)) AS s FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM {table})),
 one AS (SELECT r, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM parts),
 forms AS (SELECT r, i, trim(regexp_replace(s, '{JUNK}', ' ', 'g')) AS form FROM one),
 found AS (SELECT r, count(*) AS n, string_agg(name, ' ' ORDER BY i) AS ids FROM forms LEFT JOIN known USING (form) WHERE form <> '' GROUP BY r),
