@@ -7,10 +7,13 @@ minima of its shingle hashes; lines that share all ROWS minima of a band are
 candidates, and candidates are linked if the exact Jaccard similarity of their
 shingle sets reaches the threshold. Components of links keep the first line.
 
-In a bucket of a band, each line is compared with the NEAR lines before it in a
-seeded order and with the bucket's first, so work is linear in its size and small
-buckets are compared in full. Of a larger bucket, the pairs left out matter only
-if they join two components; they are compared in a second round.
+In a bucket of a band, the lines form a chain in the order of their hashes, the
+same in all bands, so lines that share many bands are one pair. What the chains
+leave apart is looked at again, where a bucket's lines still belong to several
+components: small buckets in full, in larger ones every other component's lines
+against the hub, the line with most links so far. A bucket goes on with the rest
+of its lines for as long as its hubs find links. Each step is linear in the size
+of a bucket; no step compares all lines of a large one with each other.
 
 One 64-bit hash per shingle is computed; the minima's orders are rotations of it
 with constants mixed in, so all of this stays in generated code. Lines of LONG
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import WORD, discard, fresh, materialize
 from strandloom.llm.components import connected_components
 
-K, ROWS, BANDS, NEAR, THRESHOLD = 7, 4, 8, 3, 0.8
+K, ROWS, BANDS, FEW, THRESHOLD = 7, 4, 8, 4, 0.8
 LONG, LEAD = 128, 8
 #: Candidate lines are looked up by a broadcast join up to this many, else by shuffling.
 BROADCAST_LINES = 500_000
@@ -95,45 +98,69 @@ def similar(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     return j.where(F.col("both") >= threshold * (F.col("all") - F.col("both"))).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
-def line_components(occ: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _apart(own: DataFrame) -> DataFrame:
+    """The rows (band, p, label, n) of buckets that have several labels."""
+    mixed = own.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    return own.join(mixed.select("band"), "band", "left_semi")
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _joined(buckets: DataFrame, texts: DataFrame, pairs: DataFrame, links: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """labels after the pairs that the chains left out; buckets: (band, p, n) of three lines or more."""
+    names = texts.select("p", F.struct("p", "q").alias("node"))
+    label = lambda own, labels: own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = materialize(_apart(label(buckets.join(names, "p"), labels)), "line-apart")
+    small = own.where(F.col("n") <= FEW).select("band", "p", "label")  # at most FEW squared pairs of a bucket
+    ask = small.join(small.toDF("band", "other", "l"), "band").where("p < other and label <> l").select(*_pair("p", "other"))
+    while not own.isEmpty():
+        degree = links.select("a").union(links.select("b")).groupBy("a").count().select(F.col("a").alias("node"), "count")
+        large = own.where(F.col("n") > FEW).select("band", "p", "node", "label").join(degree, "node", "left")
+        hub = large.groupBy("band").agg(F.max(F.struct(F.coalesce("count", F.lit(0)), "p", "node", "label")).alias("h"))
+        hub = materialize(hub.select("band", F.col("h.p").alias("hub"), F.col("h.node").alias("hub_node"), F.col("h.label").alias("hub_label")), "line-hubs")
+        at_hub = large.join(hub, "band").where("label <> hub_label").select(*_pair("p", "hub"))
+        ask = materialize(ask.union(at_hub).distinct().join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+        more = materialize(similar(ask, texts, threshold), "line-links")
+        if more.isEmpty():
+            break
+        pairs, links = pairs.union(ask), links.union(more)
+        labels = connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+        # Where the hub's component has grown, the lines outside it go on.
+        now = label(own.drop("label").join(hub, "band"), labels).join(labels.toDF("hub_node", "new"), "hub_node", "left")
+        now = now.withColumn("inside", F.col("label").eqNullSafe(F.col("new"))).join(own.select("band", "p", F.col("label").alias("old")), ["band", "p"])
+        grown = now.where("inside and old <> hub_label").select("band").distinct()
+        rest = now.where("not inside").join(grown, "band", "left_semi").select(*own.columns)
+        own, ask = materialize(_apart(rest), "line-apart"), ask.limit(0)
+    return labels
+
+
+def line_components(occ: DataFrame, places: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(p, q, keep) for every line form that occurs again or is linked to another.
 
-    occ: ``identified`` occurrences. keep: (doc_id, line_no, text_hash) of the
-    component's first occurrence, null ids last.
+    occ: ``identified`` occurrences; places: the same without the form. keep:
+    (doc_id, line_no, text_hash) of the component's first occurrence, null ids last.
     """
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no", "text_hash")
     distinct = occ.groupBy("p", "q").agg(F.encode(F.min("form"), "UTF-8").alias("raw"))
-    bands = band_keys(distinct)
-    order = Window.partitionBy("band").orderBy(F.xxhash64("band", "p"), "p")
-    whole = Window.partitionBy("band")
-    b = bands.withColumns({"n": F.count("*").over(whole), "before": F.collect_list("p").over(order.rowsBetween(-NEAR, -1)), "first": F.first("p").over(order)}).where("n > 1")
-    b = materialize(b, "line-buckets")
-    pairs = b.select("p", F.explode(F.array_union("before", F.array("first"))).alias("other")).where("p <> other")
-    pairs = materialize(pairs.select(F.least("p", "other").alias("a"), F.greatest("p", "other").alias("b")).distinct(), "line-pairs")
+    chain = Window.partitionBy("band").orderBy("p")
+    b = band_keys(distinct).withColumns({"before": F.lag("p").over(chain), "after": F.lead("p").over(chain), "at": F.row_number().over(chain)})
+    b = materialize(b.where("before is not null or after is not null"), "line-buckets")
+    pairs = materialize(b.where("before < p").select(F.col("before").alias("a"), F.col("p").alias("b")).distinct(), "line-pairs")
     wanted = b.select("p").distinct()
     n = wanted.count()
     texts = occ.join(F.broadcast(wanted) if n <= BROADCAST_LINES else wanted, "p", "left_semi")
     texts = materialize(texts.groupBy("p", "q").agg(F.encode(F.min("form"), "UTF-8").alias("raw")), "line-texts")
     links = materialize(similar(pairs, texts, threshold), "line-links")
-    labels = connected_components(links)
-    large = b.where(F.col("n") > NEAR + 1).select("p", "band")
-    if not large.isEmpty():
-        # Pairs of large buckets that the first round left out and that could join two components.
-        own = large.join(texts.select("p", F.struct("p", "q").alias("node")), "p").join(labels, "node", "left")
-        own = materialize(own.select("band", "p", F.coalesce("label", "node").alias("label")).distinct(), "line-large")
-        mixed = own.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-        own = own.join(mixed, "band", "left_semi")
-        l, r = own.select("band", F.col("p").alias("a"), F.col("label").alias("la")), own.select("band", F.col("p").alias("b"), F.col("label").alias("lb"))
-        more = l.join(r, "band").where("a < b and la <> lb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        more = materialize(similar(more, texts, threshold), "line-links")
-        if not more.isEmpty():
-            labels = connected_components(links.union(more))
-    found = occ.groupBy("p", "q").agg(F.min(place).alias("place"), F.count("*").alias("n"))
+    size = b.groupBy("band").agg(F.max("at").alias("n")).where("n > 2")
+    labels = _joined(b.select("band", "p").join(size, "band"), texts, pairs, links, connected_components(links), threshold)
+    found = places.groupBy("p", "q").agg(F.min(place).alias("place"), F.count("*").alias("n"))
     found = found.join(labels.select("node.p", "node.q", "label"), ["p", "q"], "left").where("n > 1 or label is not null")
     found = materialize(found.select("p", "q", "place", F.coalesce("label", F.struct("p", "q")).alias("label")), "line-found")
     keep = found.groupBy("label").agg(F.min("place").alias("keep"))
     out = materialize(found.join(keep, "label").select("p", "q", "keep"), "line-components")
-    discard(b, pairs, texts, links, labels, found)
+    discard(b, pairs, texts, links, found)
     return out
 
 
@@ -146,8 +173,8 @@ def line_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     blank texts give no row.
     """
     occ = identified(occurrences(docs, doc_id, text))
-    comp = line_components(occ, threshold)
-    o = occ.drop("form").join(comp, ["p", "q"], "left")
+    places = materialize(occ.drop("form"), "line-places")
+    o = places.join(line_components(occ, places, threshold), ["p", "q"], "left")
     own = F.col("keep").isNull() | ((F.col("keep.line_no") == F.col("line_no")) & F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.text_hash") == F.col("text_hash")))
     return o.select("doc_id", "text_hash", "line_no", F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_doc_id"), F.coalesce("keep.line_no", "line_no").alias("keep_line_no"), own.alias("kept"))
 
