@@ -79,6 +79,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from strandloom.llm.licenses import oracle
+    from strandloom.llm import licenses, warc
 
-    return {"op7_license": oracle()}
+    return {"op1_warc": warc.oracle(), "op7_license": licenses.oracle()}

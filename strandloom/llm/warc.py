@@ -230,3 +230,14 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     """
     folder = folder or workspace(pages.sparkSession, "warc")
     return read_archives(write_archives(roles(pages, page_id, url, html), folder), pages.schema[page_id].dataType.simpleString())
+
+
+def oracle(table: str = "pages") -> str:
+    """The result of ``round_trip`` in SQL for DuckDB."""
+    return f"""
+WITH p AS (SELECT page_id, url, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM {table}),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= {LEAST_REVISIT} GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, url
+FROM p LEFT JOIN f USING (payload_digest)
+"""
