@@ -37,9 +37,15 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _dna(spark: SparkSession, d: str, name: str = "documents", rec: str = "doc_id") -> DataFrame:
-    return table(spark, d, name).select(F.col(rec).alias("rec"), encoding.dna_from_text(F.col("text")).alias("seq"))
+def _spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where its scan has fewer tasks than that, as a small file has; before rows multiply."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
 
+def _dna(spark: SparkSession, d: str, name: str = "documents", rec: str = "doc_id") -> DataFrame:
+    texts = _spread(table(spark, d, name).select(F.col(rec).alias("rec"), "text"))
+    return texts.select("rec", encoding.dna_from_text(F.col("text")).alias("seq"))
 
 
 def _long(e, name: str):
