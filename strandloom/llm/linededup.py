@@ -11,9 +11,11 @@ In a bucket of a band, the lines form a chain in the order of their hashes, the
 same in all bands, so lines that share many bands are one pair. What the chains
 leave apart is looked at again, where a bucket's lines still belong to several
 components: small buckets in full, in larger ones every other component's lines
-against the hub, the line with most links so far. A bucket goes on with the rest
-of its lines for as long as its hubs find links. Each step is linear in the size
-of a bucket; no step compares all lines of a large one with each other.
+against the hub, the line with most links so far; these steps are linear in the
+size of a bucket. What they leave in several components is settled by an exact
+prefix filter: of two sets at the threshold, the rarest shingles of each, as many
+as it may lack of the other and one more, have one in common. All pairs of a large
+bucket that share such a shingle across components are compared.
 
 One 64-bit hash per shingle is computed; the minima's orders are rotations of it
 with constants mixed in, so all of this stays in generated code. Lines of LONG
@@ -108,6 +110,28 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _across(own: DataFrame, texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs across labels of a bucket that can reach the threshold, without those in pairs.
+
+    own: (band, p, node, label). Shingles are ranked by the number of lines of own
+    that have them.
+    """
+    sets = own.select("node").distinct().join(texts.select(F.struct("p", "q").alias("node"), "raw"), "node")
+    sets = sets.select("node", F.explode(F.array(shingles(F.col("raw")))).alias("s"))
+    each = sets.select("node", F.size("s").alias("size"), F.explode("s").alias("h"))
+    each = materialize(each, "line-shingles")
+    rank = each.join(each.groupBy("h").count(), "h").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("count", "h"))).alias("s"))
+    need = F.ceil(F.col("size") * threshold - 1e-9).cast("int")
+    rare = rank.select("node", "size", F.explode(F.slice("s", F.lit(1), F.col("size") - need + 1)).alias("r")).where("r.count > 1")
+    one = own.select("band", "p", "node", "label").join(rare.select("node", "size", F.col("r.h").alias("h")), "node").drop("node")
+    two = one.toDF("band", "other", "l", "other_size", "h")
+    near = (F.col("size") >= threshold * F.col("other_size") - 1e-9) & (F.col("other_size") >= threshold * F.col("size") - 1e-9)
+    found = one.join(two, ["band", "h"]).where("p < other and label <> l").where(near).select(F.col("p").alias("a"), F.col("other").alias("b"))
+    out = materialize(found.distinct().join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+    discard(each)
+    return out
+
+
 def _joined(buckets: DataFrame, texts: DataFrame, pairs: DataFrame, links: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """labels after the pairs that the chains left out; buckets: (band, p, n) of three lines or more."""
     names = texts.select("p", F.struct("p", "q").alias("node"))
@@ -115,25 +139,23 @@ def _joined(buckets: DataFrame, texts: DataFrame, pairs: DataFrame, links: DataF
     own = materialize(_apart(label(buckets.join(names, "p"), labels)), "line-apart")
     small = own.where(F.col("n") <= FEW).select("band", "p", "label")  # at most FEW squared pairs of a bucket
     ask = small.join(small.toDF("band", "other", "l"), "band").where("p < other and label <> l").select(*_pair("p", "other"))
-    while not own.isEmpty():
-        degree = links.select("a").union(links.select("b")).groupBy("a").count().select(F.col("a").alias("node"), "count")
-        large = own.where(F.col("n") > FEW).select("band", "p", "node", "label").join(degree, "node", "left")
-        hub = large.groupBy("band").agg(F.max(F.struct(F.coalesce("count", F.lit(0)), "p", "node", "label")).alias("h"))
-        hub = materialize(hub.select("band", F.col("h.p").alias("hub"), F.col("h.node").alias("hub_node"), F.col("h.label").alias("hub_label")), "line-hubs")
-        at_hub = large.join(hub, "band").where("label <> hub_label").select(*_pair("p", "hub"))
-        ask = materialize(ask.union(at_hub).distinct().join(pairs, ["a", "b"], "left_anti"), "line-pairs")
-        more = materialize(similar(ask, texts, threshold), "line-links")
-        if more.isEmpty():
-            break
-        pairs, links = pairs.union(ask), links.union(more)
-        labels = connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
-        # Where the hub's component has grown, the lines outside it go on.
-        now = label(own.drop("label").join(hub, "band"), labels).join(labels.toDF("hub_node", "new"), "hub_node", "left")
-        now = now.withColumn("inside", F.col("label").eqNullSafe(F.col("new"))).join(own.select("band", "p", F.col("label").alias("old")), ["band", "p"])
-        grown = now.where("inside and old <> hub_label").select("band").distinct()
-        rest = now.where("not inside").join(grown, "band", "left_semi").select(*own.columns)
-        own, ask = materialize(_apart(rest), "line-apart"), ask.limit(0)
-    return labels
+    if own.isEmpty():
+        return labels
+    degree = links.select("a").union(links.select("b")).groupBy("a").count().select(F.col("a").alias("node"), "count")
+    large = own.where(F.col("n") > FEW).select("band", "p", "node", "label").join(degree, "node", "left")
+    hub = large.groupBy("band").agg(F.max(F.struct(F.coalesce("count", F.lit(0)), "p", "label")).alias("h"))
+    at_hub = large.join(hub.select("band", F.col("h.p").alias("hub"), F.col("h.label").alias("hub_label")), "band")
+    at_hub = at_hub.where("label <> hub_label").select(*_pair("p", "hub"))
+    ask = materialize(ask.union(at_hub).distinct().join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+    more = materialize(similar(ask, texts, threshold), "line-links")
+    labels = connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+    pairs = pairs.union(ask)
+    # Small buckets were compared in full; of large ones, all that is still apart.
+    own = materialize(_apart(label(own.where(F.col("n") > FEW).drop("label"), labels)), "line-apart")
+    if own.isEmpty():
+        return labels
+    more = materialize(similar(_across(own, texts, pairs, threshold), texts, threshold), "line-links")
+    return connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
 
 
 def line_components(occ: DataFrame, places: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -177,6 +177,20 @@ def test_line_dedup(spark, none):
     assert linededup.line_duplicates(none).count() == 0 and linededup.without_duplicates(none).count() == 0
 
 
+def test_line_buckets_are_compared_across_components(spark):
+    """A bucket whose hub finds nothing, in chain order B1 H1 B2 H2 C: B1 and B2 are linked all the same."""
+    hub, other = "the quick brown fox jumps over the lazy dog number ", "pack my box with five dozen liquor jugs and label it "
+    raw = [other + "one", hub + "one", other + "two", hub + "two", "nothing like the rest of this bucket at all"]
+    texts = spark.createDataFrame([(i + 1, 0, bytearray(t.encode())) for i, t in enumerate(raw)], "p long, q long, raw binary")
+    buckets = spark.createDataFrame([(7, i, 5) for i in range(1, 6)], "band long, p long, n int")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(1, 5)], "a long, b long")
+    links = linededup.similar(spark.createDataFrame([(2, 4)], "a long, b long"), texts)
+    assert links.count() == 1
+    got = linededup._joined(buckets, texts, pairs, links, components.connected_components(links), linededup.THRESHOLD)
+    label = {r.node.p: r.label.p for r in got.collect()}
+    assert label.get(1, 1) == label.get(3, 3) != label[2] == label[4] and label.get(5, 5) == 5
+
+
 def test_line_signatures_find_links():
     """Most links at the threshold share a band, by the minima that the plan computes."""
     miss = 1 - (1 - 0.8**linededup.ROWS) ** linededup.BANDS
