@@ -293,6 +293,15 @@ def test_language_model(docs, none):
     assert lm.score(none).count() == 0
 
 
+def test_hot_words_are_counted_over_all_blocks(spark):
+    """The most frequent word of all is hot, though each partition has 2 * HOT words that are more frequent there."""
+    part = lambda name: [(" ".join(f"{name}{i}" for i in range(2 * lm.HOT)),)] * 3 + [("shared shared",)]
+    rows = part("a") + part("b")
+    dealt = [spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "text string") for n in (2, 4)]
+    two, four = (lm.hot_classes(d, "text") for d in dealt)
+    assert len(two) == lm.HOT and b"shared" in two and two == four
+
+
 def test_model_is_a_distribution():
     """Over all known words and the unknown one, each context's probabilities sum to 1."""
     r = np.random.default_rng(0)
