@@ -187,7 +187,7 @@ def resolve(items: DataFrame, media: DataFrame) -> DataFrame:
 
 
 def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, html, digest, media): a page per document that shows its text as a picture.
+    """(doc_id, html, digest, media): a page per document with its text, and the text as a picture.
 
     media is there for a task's first row of a digest and null for its repeats.
     """
@@ -202,8 +202,7 @@ def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 p = padded(raw)
                 h = hashlib.sha256(p)
                 d = h.hexdigest()
-                lead = html.escape(" ".join((t or "")[:80].split()))
-                pages.append(f'<article><p>{lead}</p><figure><img src="sha256:{d}" alt="text"><figcaption>{len(raw)} bytes</figcaption></figure></article>')
+                pages.append(f'<article><p>{html.escape(t or "")}</p><figure><img src="sha256:{d}" alt="text"><figcaption>{len(raw)} bytes</figcaption></figure></article>')
                 digests.append(d)
                 media.append(None if h.digest() in have else encode_png(p))
                 have.add(h.digest())
