@@ -2,27 +2,27 @@
 
 A line's normal form is its trimmed lower-case text; lines without a word take no
 part. Equal forms collapse first. Shingles are the form's substrings of ``K``
-UTF-8 bytes (a shorter form is its own shingle). Each line gets ROWS * BANDS
-minima of its shingle hashes; lines that share all ROWS minima of a band are
-candidates, and candidates are linked if the exact Jaccard similarity of their
-shingle sets reaches the threshold. Components of links keep the first line.
-
-In a bucket of a band, the lines form a chain in the order of their hashes, the
-same in all bands, so lines that share many bands are one pair. What the chains
-leave apart is looked at again, where a bucket's lines still belong to several
-components: small buckets in full, in larger ones every other component's lines
-against the hub, the line with most links so far; these steps are linear in the
-size of a bucket. What they leave in several components is settled by an exact
-prefix filter: of two sets at the threshold, the rarest shingles of each, as many
-as it may lack of the other and one more, have one in common. All pairs of a large
-bucket that share such a shingle across components are compared.
-
-One 64-bit hash per shingle is computed; the minima's orders are rotations of it
-with constants mixed in, so all of this stays in generated code. Lines of LONG
-shingles or more take their minima over a quarter of their shingles, chosen by
-hash and so alike in all lines, and their first few; lines up to a quarter longer
-than LONG take them over all. Between the two a line has both signatures, so any
-two lines of similar size share a kind. Similarity is verified on whole sets.
+UTF-8 bytes (a shorter form is its own shingle). Signatures are one-permutation
+MinHash: a shingle's hash falls into one of ROWS * BANDS cells, and each cell keeps
+its least hash, whatever the line's length. Cells that both lines leave empty agree,
+so a band agrees at least as often as ROWS independent minima would; a band without
+any shingle isn't one. Lines that share a band are candidates, and candidates are
+linked if the exact Jaccard similarity of their shingle sets reaches the threshold.
+Components of links keep the first line.
+
+Not all pairs of a bucket are compared, but no link between components is left out:
+
+1. Every line of a bucket is compared with a pivot, drawn anew for each bucket.
+2. In buckets that still hold several components, every line outside the component
+   of the most linked line is compared with that line.
+3. In buckets that still hold several components, all lines outside the largest of
+   them are compared with all lines of other components than their own. This goes
+   in blocks, so a hot bucket is spread over tasks, and only pairs that may be links
+   leave the join.
+
+Pairs are first held against a bound that is never wrong: a sketch has the parities
+of the shingles that fall on each of its bits, so two sketches differ in no more bits
+than the sets have shingles of their own. What passes is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import WORD, discard, fresh, materialize
 from strandloom.llm.components import connected_components
 
-K, ROWS, BANDS, FEW, THRESHOLD = 7, 4, 8, 4, 0.8
-LONG, LEAD = 128, 8
+K, ROWS, BANDS, THRESHOLD = 7, 3, 8, 0.8
+#: Longs of a parity sketch; lines of a block of a hot bucket.
+WORDS, BLOCK = 16, 1024
 #: Candidate lines are looked up by a broadcast join up to this many, else by shuffling.
 BROADCAST_LINES = 500_000
 SPACE = " \t\n\r\x0b\x0c"
@@ -52,137 +53,177 @@ def identified(occ: DataFrame) -> DataFrame:
     return occ.withColumns({"p": F.xxhash64("form"), "q": F.xxhash64(F.lit(1), "form")})
 
 
-def _minimum(j: int) -> Column:
-    """The j-th order of a shingle hash h: a rotation with some bits flipped."""
-    turn, flip = 8 * (j % 8), (0x9E3779B97F4A7C15 * (2 * j + 1) >> 5) & ((1 << 62) - 1) | (j // 8 % 4) << 62
-    flip -= (flip >> 63) << 64
-    rotated = f"(shiftleft(h, {turn}) | shiftrightunsigned(h, {64 - turn}))" if turn else "h"
-    return F.expr(f"min({rotated} ^ {flip}L)") if flip != -(1 << 63) else F.expr(f"min({rotated})")
-
-
 def _shingle_count(raw: Column) -> Column:
     return F.greatest(F.octet_length(raw) - (K - 1), F.lit(1))
 
 
 def shingles(raw: Column) -> Column:
-    """The set of shingle hashes of a form's bytes, as an array; raw should be a stored column."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), _shingle_count(raw)), lambda i: F.xxhash64(F.substring(raw, i, F.lit(K)))))
+    """The set of shingle hashes of a form's bytes, as an array.
+
+    The bytes are bound to a variable first: a column would be copied for each shingle.
+    """
+    return F.array_distinct(F.flatten(F.transform(F.array(raw), lambda r: F.transform(F.sequence(F.lit(1), _shingle_count(r)), lambda i: F.xxhash64(F.substring(r, i, F.lit(K)))))))
 
 
 def band_keys(lines: DataFrame) -> DataFrame:
-    """(p, band) rows: BANDS hashes of minima for each signature of distinct (p, q, raw) lines.
+    """(p, band) rows: a hash for each band of distinct (p, q, raw) lines that has a shingle.
 
     Lines must be hash-partitioned by (p, q), as a group-by leaves them; then there is no further shuffle.
     """
-    n, i = F.col("n"), F.col("i")
-    both = (n >= LONG) & (n <= LONG * 5 // 4)
-    s = lines.select("p", "q", "raw", _shingle_count(F.col("raw")).alias("n"))
-    s = s.select("p", "q", "raw", "n", F.explode(F.sequence(F.lit(1), F.when(both, 2 * n).otherwise(n))).alias("i"))
-    s = s.withColumns({"at": F.when(i > n, i - n).otherwise(i), "sparse": (i > n) | (n > LONG * 5 // 4)})
-    s = s.select("p", "q", "sparse", "at", F.xxhash64(F.substring(F.col("raw"), F.col("at"), F.lit(K))).alias("h"))
-    s = s.where(~F.col("sparse") | (F.col("h").bitwiseAND(F.lit(3)) == 0) | (F.col("at") <= LEAD))
-    m = s.groupBy("p", "q", "sparse").agg(*[_minimum(j).alias(f"m{j}") for j in range(ROWS * BANDS)])
-    bands = [F.xxhash64(F.lit(b), "sparse", *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return m.select("p", F.explode(F.array(*bands)).alias("band"))
+    s = lines.select("p", "q", "raw", F.explode(F.sequence(F.lit(1), _shingle_count(F.col("raw")))).alias("at"))
+    s = s.select("p", "q", F.xxhash64(F.substring(F.col("raw"), F.col("at"), F.lit(K))).alias("h"))
+    s = s.select("p", "q", "h", (F.shiftrightunsigned("h", 40) % (ROWS * BANDS)).cast("int").alias("cell"))
+    s = s.select("p", "q", "h", F.floor(F.col("cell") / ROWS).cast("int").alias("b"), (F.col("cell") % ROWS).alias("r"))
+    m = s.groupBy("p", "q", "b").agg(*[F.min(F.when(F.col("r") == r, F.col("h"))).alias(f"m{r}") for r in range(ROWS)])
+    return m.select("p", F.xxhash64("b", *[F.coalesce(f"m{r}", F.lit(r)) for r in range(ROWS)]).alias("band"))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): names of lines whose forms have a Jaccard similarity of threshold or more.
+def shared_buckets(bands: DataFrame) -> DataFrame:
+    """The (p, band) rows whose band has other lines too."""
+    beside = Window.partitionBy("band").orderBy("p")
+    b = bands.withColumns({"before": F.lag("p").over(beside), "after": F.lead("p").over(beside)})
+    return b.where("before <> p or after <> p").select("p", "band")
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(p, size, w0, w1, ...): number of distinct shingles and the parity sketch of (p, raw) lines with distinct p."""
+    s = texts.select("p", F.explode(shingles(F.col("raw"))).alias("h"))
+    s = s.select("p", F.shiftrightunsigned("h", 50).cast("int").alias("at"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 44) & 63 as int))").alias("bit"))
+    words = [F.bit_xor(F.when(F.col("at") % WORDS == w, F.col("bit")).otherwise(F.lit(0))).alias(f"w{w}") for w in range(WORDS)]
+    return s.groupBy("p").agg(F.count("*").cast("int").alias("size"), *words)
+
+
+def may_link(a: str, b: str, threshold: float) -> Column:
+    """False only for sketched lines that can't reach the threshold; a, b: prefixes of their columns."""
+    x, y = F.col(a + "size"), F.col(b + "size")
+    apart = sum(F.bit_count(F.col(f"{a}w{w}").bitwiseXOR(F.col(f"{b}w{w}"))) for w in range(WORDS))
+    return (x >= threshold * y - 1e-9) & (y >= threshold * x - 1e-9) & (apart <= (x + y) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+
+
+def _side(lines: DataFrame, side: str) -> DataFrame:
+    return lines.select(*[F.col(c).alias(f"{side}_{c}") for c in lines.columns])
 
-    pairs: (a, b) with values of p; texts: (p, q, raw).
-    """
-    one = lambda side: texts.select(F.col("p").alias(side), F.struct("p", "q").alias(f"id_{side}"), F.col("raw").alias(f"raw_{side}"))
-    j = pairs.join(one("a"), "a").join(one("b"), "b")
-    # A generator is a barrier: the sets are computed once per pair, not once per use.
-    sets = F.inline(F.array(F.struct(shingles(F.col("raw_a")).alias("sa"), shingles(F.col("raw_b")).alias("sb"))))
-    j = j.select("id_a", "id_b", sets)
-    j = j.select("id_a", "id_b", F.inline(F.array(F.struct(F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("all")))))
-    return j.where(F.col("both") >= threshold * (F.col("all") - F.col("both"))).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
+def likely(pairs: DataFrame, sketch: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a link."""
+    j = pairs.join(_side(sketch, "a"), F.col("a") == F.col("a_p")).join(_side(sketch, "b"), F.col("b") == F.col("b_p"))
+    return j.where(may_link("a_", "b_", threshold)).select("a", "b")
 
-def _apart(own: DataFrame) -> DataFrame:
-    """The rows (band, p, label, n) of buckets that have several labels."""
-    mixed = own.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    return own.join(mixed.select("band"), "band", "left_semi")
+
+def similar(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) whose forms have a Jaccard similarity of threshold or more; texts: (p, raw), p distinct."""
+    one = lambda side: texts.select(F.col("p").alias(side), F.col("raw").alias(f"raw_{side}"))
+    j = pairs.join(one("a"), "a").join(one("b"), "b")
+    # A generator is a barrier: the sets are computed once per pair, not once per use.
+    j = j.select("a", "b", F.inline(F.array(F.struct(shingles(F.col("raw_a")).alias("sa"), shingles(F.col("raw_b")).alias("sb")))))
+    j = j.select("a", "b", F.inline(F.array(F.struct(F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("all")))))
+    return j.where(F.col("both") >= threshold * (F.col("all") - F.col("both")) - 1e-9).select("a", "b")
 
 
 def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _across(own: DataFrame, texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs across labels of a bucket that can reach the threshold, without those in pairs.
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows with the label of p: p itself where labels has none."""
+    if labels is None:
+        return rows.withColumn("label", F.col("p"))
+    return rows.join(labels.select(F.col("node").alias("p"), "label"), "p", "left").withColumn("label", F.coalesce("label", "p"))
 
-    own: (band, p, node, label). Shingles are ranked by the number of lines of own
-    that have them.
-    """
-    sets = own.select("node").distinct().join(texts.select(F.struct("p", "q").alias("node"), "raw"), "node")
-    sets = sets.select("node", F.explode(F.array(shingles(F.col("raw")))).alias("s"))
-    each = sets.select("node", F.size("s").alias("size"), F.explode("s").alias("h"))
-    each = materialize(each, "line-shingles")
-    rank = each.join(each.groupBy("h").count(), "h").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("count", "h"))).alias("s"))
-    need = F.ceil(F.col("size") * threshold - 1e-9).cast("int")
-    rare = rank.select("node", "size", F.explode(F.slice("s", F.lit(1), F.col("size") - need + 1)).alias("r")).where("r.count > 1")
-    one = own.select("band", "p", "node", "label").join(rare.select("node", "size", F.col("r.h").alias("h")), "node").drop("node")
-    two = one.toDF("band", "other", "l", "other_size", "h")
-    near = (F.col("size") >= threshold * F.col("other_size") - 1e-9) & (F.col("other_size") >= threshold * F.col("size") - 1e-9)
-    found = one.join(two, ["band", "h"]).where("p < other and label <> l").where(near).select(F.col("p").alias("a"), F.col("other").alias("b"))
-    out = materialize(found.distinct().join(pairs, ["a", "b"], "left_anti"), "line-pairs")
-    discard(each)
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """The (p, band, label) rows of buckets that hold several labels."""
+    several = rows.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    return rows.join(several.select("band"), "band", "left_semi")
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after new links (a, b): only labels that a new link joins are looked at again."""
+    if labels is None:
+        return connected_components(links)
+    at = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+    j = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    up = connected_components(j.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b"))
+    both = labels.union(up.select("node", F.col("node").alias("label")).join(labels, "node", "left_anti"))
+    j = both.join(up.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left")
+    out = materialize(j.select("node", F.coalesce("up", "label").alias("label")), "line-labels")
+    discard(labels, up)
     return out
 
 
-def _joined(buckets: DataFrame, texts: DataFrame, pairs: DataFrame, links: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """labels after the pairs that the chains left out; buckets: (band, p, n) of three lines or more."""
-    names = texts.select("p", F.struct("p", "q").alias("node"))
-    label = lambda own, labels: own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    own = materialize(_apart(label(buckets.join(names, "p"), labels)), "line-apart")
-    small = own.where(F.col("n") <= FEW).select("band", "p", "label")  # at most FEW squared pairs of a bucket
-    ask = small.join(small.toDF("band", "other", "l"), "band").where("p < other and label <> l").select(*_pair("p", "other"))
-    if own.isEmpty():
-        return labels
-    degree = links.select("a").union(links.select("b")).groupBy("a").count().select(F.col("a").alias("node"), "count")
-    large = own.where(F.col("n") > FEW).select("band", "p", "node", "label").join(degree, "node", "left")
-    hub = large.groupBy("band").agg(F.max(F.struct(F.coalesce("count", F.lit(0)), "p", "label")).alias("h"))
-    at_hub = large.join(hub.select("band", F.col("h.p").alias("hub"), F.col("h.label").alias("hub_label")), "band")
-    at_hub = at_hub.where("label <> hub_label").select(*_pair("p", "hub"))
-    ask = materialize(ask.union(at_hub).distinct().join(pairs, ["a", "b"], "left_anti"), "line-pairs")
-    more = materialize(similar(ask, texts, threshold), "line-links")
-    labels = connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
-    pairs = pairs.union(ask)
-    # Small buckets were compared in full; of large ones, all that is still apart.
-    own = materialize(_apart(label(own.where(F.col("n") > FEW).drop("label"), labels)), "line-apart")
-    if own.isEmpty():
-        return labels
-    more = materialize(similar(_across(own, texts, pairs, threshold), texts, threshold), "line-links")
-    return connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
-
-
-def line_components(occ: DataFrame, places: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _pivots(b: DataFrame) -> DataFrame:
+    """(a, b): every line of a bucket with the bucket's pivot."""
+    pivot = b.groupBy("band").agg(F.min(F.struct(F.xxhash64("p", "band").alias("h"), "p")).alias("at"))
+    return b.join(pivot.select("band", F.col("at.p").alias("pivot")), "band").where("p <> pivot").select(*_pair("p", "pivot")).distinct()
+
+
+def _hubs(apart: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b): every line of a bucket outside its most linked line's component with that line."""
+    degree = links.select("a").union(links.select("b")).groupBy("a").count().select(F.col("a").alias("p"), "count")
+    own = apart.join(degree, "p", "left")
+    hub = own.groupBy("band").agg(F.max(F.struct(F.coalesce("count", F.lit(0)), "p", "label")).alias("h"))
+    j = apart.join(hub.select("band", F.col("h.p").alias("hub"), F.col("h.label").alias("of")), "band")
+    return j.where("label <> of").select(*_pair("p", "hub")).distinct()
+
+
+def _rest(apart: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of a bucket with different labels whose sketches allow a link.
+
+    One side leaves out the bucket's largest label, so lines that are already one
+    component aren't held against each other.
+    """
+    n = apart.groupBy("band", "label").count()
+    most = n.groupBy("band").agg(F.max(F.struct("count", "label")).alias("m"), F.sum("count").alias("n"))
+    most = most.select("band", F.col("m.label").alias("most"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = apart.join(most, "band").join(sketch, "p")
+    left = _side(rows.where("label <> most").withColumn("block", F.pmod(F.xxhash64("p"), F.col("blocks")).cast("int")), "a")
+    right = _side(rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "b")
+    # Of two lines that are both on the left, the lesser one asks.
+    on = (F.col("a_band") == F.col("b_band")) & (F.col("a_block") == F.col("b_block")) & (F.col("a_label") != F.col("b_label"))
+    on &= (F.col("a_p") < F.col("b_p")) | (F.col("b_label") == F.col("b_most"))
+    return left.join(right, on & may_link("a_", "b_", threshold)).select(*_pair("a_p", "b_p")).distinct()
+
+
+def line_labels(buckets: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, label) of the lines p that have a link; buckets: (p, band), texts: (p, raw)."""
+    sketch = materialize(sketches(texts), "line-sketches")
+    verified = lambda pairs: materialize(similar(pairs, texts, threshold), "line-links")
+    links = verified(likely(_pivots(buckets), sketch, threshold))
+    labels = _merged(None, links)
+    apart = materialize(_apart(_labelled(buckets, labels)), "line-apart")
+    more = verified(likely(_hubs(apart, links), sketch, threshold))
+    labels = _merged(labels, more)
+    still = materialize(_apart(_labelled(apart.select("p", "band"), labels)), "line-apart")
+    last = verified(_rest(still, sketch, threshold))
+    labels = _merged(labels, last)
+    discard(sketch, links, apart, more, still, last)
+    return labels
+
+
+def line_components(occ: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(p, q, keep) for every line form that occurs again or is linked to another.
 
-    occ: ``identified`` occurrences; places: the same without the form. keep:
-    (doc_id, line_no, text_hash) of the component's first occurrence, null ids last.
+    occ: stored ``identified`` occurrences. keep: (doc_id, line_no, text_hash) of the
+    component's first occurrence, null ids last. Should forms share p, which 64 bits
+    make as good as impossible, that with the least q alone can have links.
     """
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no", "text_hash")
     distinct = occ.groupBy("p", "q").agg(F.encode(F.min("form"), "UTF-8").alias("raw"))
-    chain = Window.partitionBy("band").orderBy("p")
-    b = band_keys(distinct).withColumns({"before": F.lag("p").over(chain), "after": F.lead("p").over(chain), "at": F.row_number().over(chain)})
-    b = materialize(b.where("before is not null or after is not null"), "line-buckets")
-    pairs = materialize(b.where("before < p").select(F.col("before").alias("a"), F.col("p").alias("b")).distinct(), "line-pairs")
+    b = materialize(shared_buckets(band_keys(distinct)), "line-buckets")
     wanted = b.select("p").distinct()
-    n = wanted.count()
-    texts = occ.join(F.broadcast(wanted) if n <= BROADCAST_LINES else wanted, "p", "left_semi")
-    texts = materialize(texts.groupBy("p", "q").agg(F.encode(F.min("form"), "UTF-8").alias("raw")), "line-texts")
-    links = materialize(similar(pairs, texts, threshold), "line-links")
-    size = b.groupBy("band").agg(F.max("at").alias("n")).where("n > 2")
-    labels = _joined(b.select("band", "p").join(size, "band"), texts, pairs, links, connected_components(links), threshold)
-    found = places.groupBy("p", "q").agg(F.min(place).alias("place"), F.count("*").alias("n"))
-    found = found.join(labels.select("node.p", "node.q", "label"), ["p", "q"], "left").where("n > 1 or label is not null")
-    found = materialize(found.select("p", "q", "place", F.coalesce("label", F.struct("p", "q")).alias("label")), "line-found")
-    keep = found.groupBy("label").agg(F.min("place").alias("keep"))
-    out = materialize(found.join(keep, "label").select("p", "q", "keep"), "line-components")
-    discard(b, pairs, texts, links, found)
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
+    texts = occ.join(wanted, "p", "left_semi").groupBy("p").agg(F.min(F.struct("q", "form")).alias("t"))
+    texts = materialize(texts.select("p", "t.q", F.encode("t.form", "UTF-8").alias("raw")), "line-texts")
+    labels = line_labels(b, texts.select("p", "raw"), threshold)
+    named = texts.select("p", "q").join(labels.select(F.col("node").alias("p"), "label"), "p")
+    found = occ.groupBy("p", "q").agg(F.min(place).alias("place"), F.count("*").alias("n"))
+    found = found.join(named, ["p", "q"], "left").where("n > 1 or label is not null")
+    # A form without links is its own component: p can't be another component's label then, as labels have links.
+    found = materialize(found.select("p", "q", "place", "label"), "line-found")
+    keep = found.where("label is not null").groupBy("label").agg(F.min("place").alias("keep"))
+    out = found.join(keep, "label", "left").select("p", "q", F.coalesce("keep", "place").alias("keep"))
+    out = materialize(out, "line-components")
+    discard(b, texts, labels, found)
     return out
 
 
@@ -194,9 +235,8 @@ def line_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeat a whole document share places, so each keeps what one would. Null and
     blank texts give no row.
     """
-    occ = identified(occurrences(docs, doc_id, text))
-    places = materialize(occ.drop("form"), "line-places")
-    o = places.join(line_components(occ, places, threshold), ["p", "q"], "left")
+    occ = materialize(identified(occurrences(docs, doc_id, text)), "line-places")
+    o = occ.drop("form").join(line_components(occ, threshold), ["p", "q"], "left")
     own = F.col("keep").isNull() | ((F.col("keep.line_no") == F.col("line_no")) & F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.text_hash") == F.col("text_hash")))
     return o.select("doc_id", "text_hash", "line_no", F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_doc_id"), F.coalesce("keep.line_no", "line_no").alias("keep_line_no"), own.alias("kept"))
 
@@ -205,14 +245,18 @@ def without_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """docs with the lines that ``line_duplicates`` doesn't keep cut out of the text.
 
     Documents that lose all their lines with words leave; others keep their
-    remaining lines, blank ones included, in order. A column n_chars follows.
+    remaining lines, blank ones included, in order. A column n_chars follows. Null
+    and blank texts stay as they are; rows that repeat a whole document are all cut
+    alike; columns may have any names.
     """
     did, h, gone = fresh(docs, "cut_id", "cut_hash", "cut_lines")
     d = line_duplicates(docs, doc_id, text, threshold).where("not kept")
     d = d.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias(gone))
     d = d.select(F.col("doc_id").alias(did), F.col("text_hash").alias(h), gone)
     j = docs.join(d, F.col(doc_id).eqNullSafe(F.col(did)) & (F.xxhash64(text) == F.col(h)), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col(gone), i.cast("long"))), "\n")
+    lines = F.split(text, "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone).cast("array<int>"))
+    kept = F.array_join(F.flatten(F.transform(F.array(lines), lambda x: F.transform(left, lambda i: F.get(x, i)))), "\n")
     j = j.withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept))
     j = j.where(F.col(gone).isNull() | F.col(text).rlike(WORD))
     if "n_chars" in docs.columns:
