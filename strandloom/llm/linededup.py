@@ -6,23 +6,26 @@ UTF-8 bytes (a shorter form is its own shingle). Signatures are one-permutation
 MinHash: a shingle's hash falls into one of ROWS * BANDS cells, and each cell keeps
 its least hash, whatever the line's length. Cells that both lines leave empty agree,
 so a band agrees at least as often as ROWS independent minima would; a band without
-any shingle isn't one. Lines that share a band are candidates, and candidates are
+any shingle isn't one. Hashes that are too large to be a cell's least, for the number
+of shingles, are left out before: EXPECTED of each cell's are left on average, so a
+cell loses its least hash with probability exp(-EXPECTED), in similar lines alike. Lines that share a band are candidates, and candidates are
 linked if the exact Jaccard similarity of their shingle sets reaches the threshold.
 Components of links keep the first line.
 
 Not all pairs of a bucket are compared, but no link between components is left out:
 
-1. Every line of a bucket is compared with a pivot, drawn anew for each bucket.
-2. In buckets that still hold several components, every line outside the component
-   of the most linked line is compared with that line.
+1. Every line of a bucket is compared with its pivot, the line of least hash.
+2. In buckets that still hold several components, lines are compared with some more
+   pivots, drawn anew for each bucket, and with the most linked line.
 3. In buckets that still hold several components, all lines outside the largest of
    them are compared with all lines of other components than their own. This goes
    in blocks, so a hot bucket is spread over tasks, and only pairs that may be links
    leave the join.
 
-Pairs are first held against a bound that is never wrong: a sketch has the parities
-of the shingles that fall on each of its bits, so two sketches differ in no more bits
-than the sets have shingles of their own. What passes is verified on whole sets.
+In steps 2 and 3, pairs are first held against a bound that is never wrong: a sketch
+has the parities of the shingles that fall on each of its bits, so two sketches differ
+in no more bits than the sets have shingles of their own. What passes is verified on
+whole sets.
 """
 
 from __future__ import annotations
@@ -33,9 +36,11 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import WORD, discard, fresh, materialize
 from strandloom.llm.components import connected_components
 
-K, ROWS, BANDS, THRESHOLD = 7, 3, 8, 0.8
-#: Longs of a parity sketch; lines of a block of a hot bucket.
-WORDS, BLOCK = 16, 1024
+K, ROWS, BANDS, THRESHOLD = 7, 4, 10, 0.8
+#: Shingles of a cell that are looked at, on average; bits of a hash that are ordered, the rest choose the cell.
+EXPECTED, ORDERED = 4, 40
+#: Longs of a parity sketch; drawn pivots of a bucket; lines of a block of a hot bucket.
+WORDS, PIVOTS, BLOCK = 16, 3, 1024
 #: Candidate lines are looked up by a broadcast join up to this many, else by shuffling.
 BROADCAST_LINES = 500_000
 SPACE = " \t\n\r\x0b\x0c"
@@ -70,12 +75,15 @@ def band_keys(lines: DataFrame) -> DataFrame:
 
     Lines must be hash-partitioned by (p, q), as a group-by leaves them; then there is no further shuffle.
     """
-    s = lines.select("p", "q", "raw", F.explode(F.sequence(F.lit(1), _shingle_count(F.col("raw")))).alias("at"))
-    s = s.select("p", "q", F.xxhash64(F.substring(F.col("raw"), F.col("at"), F.lit(K))).alias("h"))
-    s = s.select("p", "q", "h", (F.shiftrightunsigned("h", 40) % (ROWS * BANDS)).cast("int").alias("cell"))
-    s = s.select("p", "q", "h", F.floor(F.col("cell") / ROWS).cast("int").alias("b"), (F.col("cell") % ROWS).alias("r"))
-    m = s.groupBy("p", "q", "b").agg(*[F.min(F.when(F.col("r") == r, F.col("h"))).alias(f"m{r}") for r in range(ROWS)])
-    return m.select("p", F.xxhash64("b", *[F.coalesce(f"m{r}", F.lit(r)) for r in range(ROWS)]).alias("band"))
+    n = _shingle_count(F.col("raw"))
+    most = F.least(F.lit(1.0), F.lit(float(ROWS * BANDS * EXPECTED)) / n) * float(1 << ORDERED)
+    s = lines.select("p", "q", "raw", most.cast("long").alias("most"), F.explode(F.sequence(F.lit(1), n)).alias("at"))
+    s = s.select("p", "q", "most", F.xxhash64(F.substring(F.col("raw"), F.col("at"), F.lit(K))).alias("h"))
+    v, cell = F.col("h").bitwiseAND(F.lit((1 << ORDERED) - 1)), F.shiftrightunsigned("h", ORDERED) % (ROWS * BANDS)
+    s = s.select("p", "q", "most", v.alias("v"), cell.cast("int").alias("cell")).where("v < most")
+    s = s.select("p", "q", "v", F.floor(F.col("cell") / ROWS).cast("int").alias("b"), (F.col("cell") % ROWS).alias("r"))
+    m = s.groupBy("p", "q", "b").agg(*[F.min(F.when(F.col("r") == r, F.col("v"))).alias(f"m{r}") for r in range(ROWS)])
+    return m.select("p", F.xxhash64("b", *[F.coalesce(f"m{r}", F.lit(-1)) for r in range(ROWS)]).alias("band"))
 
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
@@ -152,17 +160,19 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _pivots(b: DataFrame) -> DataFrame:
-    """(a, b): every line of a bucket with the bucket's pivot."""
-    pivot = b.groupBy("band").agg(F.min(F.struct(F.xxhash64("p", "band").alias("h"), "p")).alias("at"))
-    return b.join(pivot.select("band", F.col("at.p").alias("pivot")), "band").where("p <> pivot").select(*_pair("p", "pivot")).distinct()
+    """(a, b): every line of a bucket with the bucket's least."""
+    pivot = b.groupBy("band").agg(F.min("p").alias("pivot"))
+    return b.join(pivot, "band").where("p <> pivot").select(*_pair("p", "pivot")).distinct()
 
 
 def _hubs(apart: DataFrame, links: DataFrame) -> DataFrame:
-    """(a, b): every line of a bucket outside its most linked line's component with that line."""
+    """(a, b): every line of a bucket with its most linked line and with PIVOTS drawn ones, where labels differ."""
     degree = links.select("a").union(links.select("b")).groupBy("a").count().select(F.col("a").alias("p"), "count")
     own = apart.join(degree, "p", "left")
-    hub = own.groupBy("band").agg(F.max(F.struct(F.coalesce("count", F.lit(0)), "p", "label")).alias("h"))
-    j = apart.join(hub.select("band", F.col("h.p").alias("hub"), F.col("h.label").alias("of")), "band")
+    drawn = [F.max(F.struct(F.xxhash64("p", "band", F.lit(k)).alias("by"), "p", "label")) for k in range(PIVOTS)]
+    hub = F.max(F.struct(F.coalesce("count", F.lit(0)).alias("by"), "p", "label"))
+    hubs = own.groupBy("band").agg(F.array(hub, *drawn).alias("hs")).select("band", F.explode("hs").alias("h"))
+    j = apart.join(hubs.select("band", F.col("h.p").alias("hub"), F.col("h.label").alias("of")), "band")
     return j.where("label <> of").select(*_pair("p", "hub")).distinct()
 
 
@@ -186,11 +196,11 @@ def _rest(apart: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
 
 def line_labels(buckets: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, label) of the lines p that have a link; buckets: (p, band), texts: (p, raw)."""
-    sketch = materialize(sketches(texts), "line-sketches")
     verified = lambda pairs: materialize(similar(pairs, texts, threshold), "line-links")
-    links = verified(likely(_pivots(buckets), sketch, threshold))
+    links = verified(_pivots(buckets))
     labels = _merged(None, links)
     apart = materialize(_apart(_labelled(buckets, labels)), "line-apart")
+    sketch = materialize(sketches(texts.join(apart.select("p").distinct(), "p", "left_semi")), "line-sketches")
     more = verified(likely(_hubs(apart, links), sketch, threshold))
     labels = _merged(labels, more)
     still = materialize(_apart(_labelled(apart.select("p", "band"), labels)), "line-apart")
