@@ -34,11 +34,11 @@ def workspace(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_root(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
+def materialize(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
     path = workspace(spark, what)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._strandloom_path = path
     return out

@@ -15,8 +15,8 @@ Components of links keep the first line.
 Not all pairs of a bucket are compared, but no link between components is left out:
 
 1. Every line of a bucket is compared with its pivot, the line of least hash.
-2. In buckets that still hold several components, lines are compared with some more
-   pivots, drawn anew for each bucket, and with the most linked line.
+2. In buckets that still hold several components, lines are compared with the most
+   linked line and with PIVOTS others, drawn anew for each bucket.
 3. In buckets that still hold several components, all lines outside the largest of
    them are compared with all lines of other components than their own. This goes
    in blocks, so a hot bucket is spread over tasks, and only pairs that may be links
@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import WORD, discard, fresh, materialize
 from strandloom.llm.components import connected_components
 
-K, ROWS, BANDS, THRESHOLD = 7, 4, 10, 0.8
+K, ROWS, BANDS, THRESHOLD = 7, 4, 8, 0.8
 #: Shingles of a cell that are looked at, on average; bits of a hash that are ordered, the rest choose the cell.
-EXPECTED, ORDERED = 4, 40
+EXPECTED, ORDERED = 3, 40
 #: Longs of a parity sketch; drawn pivots of a bucket; lines of a block of a hot bucket.
-WORDS, PIVOTS, BLOCK = 16, 3, 1024
+WORDS, PIVOTS, BLOCK = 16, 1, 1024
 #: Candidate lines are looked up by a broadcast join up to this many, else by shuffling.
 BROADCAST_LINES = 500_000
 SPACE = " \t\n\r\x0b\x0c"
@@ -49,8 +49,8 @@ SPACE = " \t\n\r\x0b\x0c"
 def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, line_no, form) for every line with a word; line_no counts all lines from 0."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    d = d.where(F.col("line").rlike(WORD))
-    return d.select("doc_id", "text_hash", F.col("line_no").cast("long").alias("line_no"), F.lower(F.btrim("line", F.lit(SPACE))).alias("form"))
+    d = d.select("doc_id", "text_hash", F.col("line_no").cast("long").alias("line_no"), F.btrim("line", F.lit(SPACE)).alias("form"))
+    return d.where("form <> ''").withColumn("form", F.lower("form"))
 
 
 def identified(occ: DataFrame) -> DataFrame:
@@ -63,11 +63,11 @@ def _shingle_count(raw: Column) -> Column:
 
 
 def shingles(raw: Column) -> Column:
-    """The set of shingle hashes of a form's bytes, as an array.
+    """The hashes of a form's shingles, repeats included, as an array.
 
     The bytes are bound to a variable first: a column would be copied for each shingle.
     """
-    return F.array_distinct(F.flatten(F.transform(F.array(raw), lambda r: F.transform(F.sequence(F.lit(1), _shingle_count(r)), lambda i: F.xxhash64(F.substring(r, i, F.lit(K)))))))
+    return F.get(F.transform(F.array(raw), lambda r: F.transform(F.sequence(F.lit(1), _shingle_count(r)), lambda i: F.xxhash64(F.substring(r, i, F.lit(K))))), 0)
 
 
 def band_keys(lines: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def shared_buckets(bands: DataFrame) -> DataFrame:
 
 def sketches(texts: DataFrame) -> DataFrame:
     """(p, size, w0, w1, ...): number of distinct shingles and the parity sketch of (p, raw) lines with distinct p."""
-    s = texts.select("p", F.explode(shingles(F.col("raw"))).alias("h"))
+    s = texts.select("p", F.explode(F.array_distinct(shingles(F.col("raw")))).alias("h"))
     s = s.select("p", F.shiftrightunsigned("h", 50).cast("int").alias("at"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 44) & 63 as int))").alias("bit"))
     words = [F.bit_xor(F.when(F.col("at") % WORDS == w, F.col("bit")).otherwise(F.lit(0))).alias(f"w{w}") for w in range(WORDS)]
     return s.groupBy("p").agg(F.count("*").cast("int").alias("size"), *words)
@@ -113,18 +113,24 @@ def _side(lines: DataFrame, side: str) -> DataFrame:
 
 
 def likely(pairs: DataFrame, sketch: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose sketches allow a link."""
+    """(a, b, sizes): the pairs whose sketches allow a link, with the sum of their sets' sizes."""
     j = pairs.join(_side(sketch, "a"), F.col("a") == F.col("a_p")).join(_side(sketch, "b"), F.col("b") == F.col("b_p"))
-    return j.where(may_link("a_", "b_", threshold)).select("a", "b")
+    return j.where(may_link("a_", "b_", threshold)).select("a", "b", (F.col("a_size") + F.col("b_size")).alias("sizes"))
 
 
 def similar(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose forms have a Jaccard similarity of threshold or more; texts: (p, raw), p distinct."""
+    """The pairs (a, b) whose forms have a Jaccard similarity of threshold or more.
+
+    texts: (p, raw), p distinct. pairs may have the sum of their sets' sizes.
+    """
     one = lambda side: texts.select(F.col("p").alias(side), F.col("raw").alias(f"raw_{side}"))
     j = pairs.join(one("a"), "a").join(one("b"), "b")
+    sizes = ["sizes"] if "sizes" in pairs.columns else []
+    sets = lambda c: shingles(c) if sizes else F.array_distinct(shingles(c))
     # A generator is a barrier: the sets are computed once per pair, not once per use.
-    j = j.select("a", "b", F.inline(F.array(F.struct(shingles(F.col("raw_a")).alias("sa"), shingles(F.col("raw_b")).alias("sb")))))
-    j = j.select("a", "b", F.inline(F.array(F.struct(F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("all")))))
+    j = j.select("a", "b", *sizes, F.inline(F.array(F.struct(sets(F.col("raw_a")).alias("sa"), sets(F.col("raw_b")).alias("sb")))))
+    every = F.col("sizes") if sizes else F.size("sa") + F.size("sb")
+    j = j.select("a", "b", F.inline(F.array(F.struct(F.size(F.array_intersect("sa", "sb")).alias("both"), every.alias("all")))))
     return j.where(F.col("both") >= threshold * (F.col("all") - F.col("both")) - 1e-9).select("a", "b")
 
 
@@ -177,7 +183,7 @@ def _hubs(apart: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _rest(apart: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs of a bucket with different labels whose sketches allow a link.
+    """(a, b, sizes): pairs of a bucket with different labels whose sketches allow a link.
 
     One side leaves out the bucket's largest label, so lines that are already one
     component aren't held against each other.
@@ -191,7 +197,8 @@ def _rest(apart: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
     # Of two lines that are both on the left, the lesser one asks.
     on = (F.col("a_band") == F.col("b_band")) & (F.col("a_block") == F.col("b_block")) & (F.col("a_label") != F.col("b_label"))
     on &= (F.col("a_p") < F.col("b_p")) | (F.col("b_label") == F.col("b_most"))
-    return left.join(right, on & may_link("a_", "b_", threshold)).select(*_pair("a_p", "b_p")).distinct()
+    found = left.join(right, on & may_link("a_", "b_", threshold))
+    return found.select(*_pair("a_p", "b_p"), (F.col("a_size") + F.col("b_size")).alias("sizes")).distinct()
 
 
 def line_labels(buckets: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -245,7 +252,7 @@ def line_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeat a whole document share places, so each keeps what one would. Null and
     blank texts give no row.
     """
-    occ = materialize(identified(occurrences(docs, doc_id, text)), "line-places")
+    occ = materialize(identified(occurrences(docs, doc_id, text)), "line-places", "zstd")
     o = occ.drop("form").join(line_components(occ, threshold), ["p", "q"], "left")
     own = F.col("keep").isNull() | ((F.col("keep.line_no") == F.col("line_no")) & F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.text_hash") == F.col("text_hash")))
     return o.select("doc_id", "text_hash", "line_no", F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_doc_id"), F.coalesce("keep.line_no", "line_no").alias("keep_line_no"), own.alias("kept"))
