@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,10 +64,31 @@ def bits_text_reverse(x: Column) -> Column:
     return F.reverse(bits_text(x))
 
 
+#: Bits of a type's values.
+WIDTHS = {"boolean": 1, "tinyint": 8, "smallint": 16, "int": 32, "bigint": 64, "float": 32, "double": 64}
+
+
+def bit_width(kind: str) -> int:
+    """Bits of a value of a fixed-width type; others raise."""
+    if kind not in WIDTHS:
+        raise TypeError(f"{kind} has no fixed width")
+    return WIDTHS[kind]
+
+
 def bytes_rank1(raw: Column, bit: Column) -> Column:
-    """Ones in bits 0..bit of a byte string, lowest bit of a byte first."""
-    whole = F.floor((bit + 1) / 8).cast("int")
-    bits = lambda b: F.bit_count(F.conv(F.hex(b), 16, 10).cast("bigint"))
-    count = F.aggregate(F.sequence(F.lit(0), whole), F.lit(0), lambda acc, i: acc + F.when(i < whole, bits(F.substring(raw, i + 1, F.lit(1)))).otherwise(0))
-    rest = F.conv(F.hex(F.substring(raw, whole + 1, F.lit(1))), 16, 10).cast("bigint")
-    return count + F.coalesce(F.bit_count(rest.bitwiseAND(low_mask((bit + 1) % 8))), F.lit(0))
+    """Ones in bits 0..bit of a byte string, lowest bit of a byte first; a bit past the end raises."""
+
+    @F.arrow_udf("bigint")
+    def run(x: pa.Array, at: pa.Array) -> pa.Array:
+        out = []
+        for b, i in zip(x.to_pylist(), at.to_pylist()):
+            if b is None or i is None:
+                out.append(None)
+                continue
+            if not 0 <= i < 8 * len(b):
+                raise IndexError(f"bit {i} of {8 * len(b)}")
+            raw = np.frombuffer(b, np.uint8, i // 8 + 1)
+            out.append(int(np.bitwise_count(raw[:-1]).sum()) + (int(raw[-1]) & (2 << i % 8) - 1).bit_count())
+        return pa.array(out, pa.int64())
+
+    return run(raw, bit.cast("bigint"))

@@ -28,6 +28,16 @@ def encode_base(char: Column) -> Column:
     return F.translate(clean(char), "ACGTN", "01234").cast("int")
 
 
+def encode_text(seq: Column) -> Column:
+    """Codes of a whole sequence as a string of digits 0 to 4."""
+    return F.translate(clean(seq), "ACGTN", "01234")
+
+
+def decode_text(codes: Column) -> Column:
+    """The sequence of a string of codes."""
+    return F.translate(codes, "01234", "ACGTN")
+
+
 def decode_base(code: Column) -> Column:
     return F.substring(F.lit("ACGTN"), code.cast("int") + 1, F.lit(1))
 

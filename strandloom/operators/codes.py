@@ -84,6 +84,17 @@ class BitReader:
     def __init__(self, bits: str):
         self.bits, self.at = bits, 0
 
+    def reset(self, at: int = 0) -> None:
+        """Go to a digit of the stream."""
+        if not 0 <= at <= len(self.bits):
+            raise IndexError("the stream has no such digit")
+        self.at = at
+
+    def next_one(self) -> int:
+        """Index of the next 1, which is read too."""
+        self.unary()
+        return self.at - 1
+
     def fixed(self, width: int) -> int:
         """Next ``width`` digits, lowest first, 0 to 64 of them; past the end raises."""
         if not 0 <= width <= 64:
@@ -116,6 +127,20 @@ class BitReader:
         return q << k | self.fixed(k)
 
 
+def one_indices(bits: Column) -> Column:
+    """Indices of a stream's ones as ARRAY<BIGINT>, read one after another."""
+
+    @F.arrow_udf("array<bigint>")
+    def run(x: pa.Array) -> pa.Array:
+        out = []
+        for s in x.to_pylist():
+            r = BitReader((s or "").rstrip("0"))
+            out.append(None if s is None else [r.next_one() for _ in range(r.bits.count("1"))])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return run(bits)
+
+
 def decode(bits: Column, code: str, *args: int) -> Column:
     """All values of a stream as ARRAY<BIGINT>; code is a method of BitReader, args its parameters."""
 

@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from strandloom.functions.encoding import clean, reverse_complement
 
 
+def parameters(k: int, m: int | None = None, canonical: bool = False) -> dict[str, int | bool | None]:
+    """What a view of k-mers or minimizers is made with; lengths that don't fit raise."""
+    if not 0 < k <= 32 or m is not None and not 0 < m <= k:
+        raise ValueError("k lies between 1 and 32, m between 1 and k")
+    return {"k": k, "m": m, "canonical": canonical, "bits": 2 * k, "window": None if m is None else k - m + 1}
+
+
 def _windows(df: DataFrame, rec: str, seq: str, k: int) -> DataFrame:
     d = df.select(F.col(rec).alias("rec"), clean(F.col(seq)).alias("s"))
     d = d.select("rec", F.encode("s", "UTF-8").alias("s"), F.encode(reverse_complement(F.col("s")), "UTF-8").alias("r"), F.length("s").alias("n")).where(F.col("n") >= k)

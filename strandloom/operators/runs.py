@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -77,6 +77,49 @@ def sliding_minima(df: DataFrame, keys: list[str], order: str, hashed: str, size
     return d.select(*keys, F.col("least.at").alias(order), F.col("least.h").alias("hash"))
 
 
+def external_sort(df: DataFrame, order: list[str], path: str, out: str = "idx") -> DataFrame:
+    """df with its place in the whole order, from 0, through sorted runs on disk.
+
+    Ranges of the order are sorted each in a task and written to ``path``, which all
+    tasks must reach; a range's start is the number of rows in the ranges before it, a
+    table with a row per range. No task holds more than a range.
+    """
+    runs = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    runs.withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).withColumn("run", F.shiftright("at", 33))
+    starts = rows.groupBy("run").count()
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = starts.select("run", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    rows = rows.join(F.broadcast(starts), "run")
+    return rows.withColumn(out, F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("run", "at", "start")
+
+
+def replay(df: DataFrame, pushed: str, path: str) -> DataFrame:
+    """Rows as they were pushed, from disk: the unsorted counterpart of ``external_sort``, with idx."""
+    return external_sort(df, [pushed], path)
+
+
+def ends(df: DataFrame, order: str, value: str) -> DataFrame:
+    """(front, back): the values of the first and the last row; null if there is none."""
+    return df.agg(F.min_by(value, order).alias("front"), F.max_by(value, order).alias("back"))
+
+
+def counting(spark, start: int, stop: int, step: int = 1) -> DataFrame:
+    """(i): whole numbers from start, stop excluded."""
+    return spark.range(start, stop, step).select(F.col("id").alias("i"))
+
+
+def pretty(values: Column) -> Column:
+    """An array as text: [a, b, c]."""
+    return F.concat(F.lit("["), F.array_join(values.cast("array<string>"), ", ", "null"), F.lit("]"))
+
+
+def type_names(df: DataFrame) -> DataFrame:
+    """(position, name, type) of each column."""
+    rows = [(i, n, t) for i, (n, t) in enumerate(df.dtypes)]
+    return df.sparkSession.createDataFrame(rows, "position int, name string, type string")
+
+
 def sorted_prefix(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """The first n rows of the sorted table, by a bounded heap per task."""
     return df.orderBy(*order).limit(n)

@@ -44,6 +44,23 @@ def pair_jaccard(items: DataFrame, pairs: DataFrame, group: str, item: str, mult
     return out.select("a", "b", "i", "u", "n1", "n2", ratio(F.col("i"), F.col("u")).alias("jaccard"))
 
 
+def all_pairs_jaccard(items: DataFrame, group: str, item: str, multiset: bool = False) -> DataFrame:
+    """(a, b, i, u, n1, n2, jaccard) of all pairs a < b of groups that share an item.
+
+    An inverted index: groups meet by an equi-join on the item, after counts per (group,
+    item), so the work is that of the shared items and no pair is made without one.
+    """
+    c = items.groupBy(F.col(group).alias("g"), F.col(item).alias("x")).agg(F.count("*").alias("c"))
+    if not multiset:
+        c = c.withColumn("c", F.lit(1).cast("bigint"))
+    size = c.groupBy("g").agg(F.sum("c").alias("n"))
+    left, right = c.select(F.col("g").alias("a"), "x", F.col("c").alias("ca")), c.select(F.col("g").alias("b"), "x", F.col("c").alias("cb"))
+    both = left.join(right, "x").where("a < b").groupBy("a", "b").agg(F.sum(F.least("ca", "cb")).cast("bigint").alias("i"))
+    out = both.join(size.select(F.col("g").alias("a"), F.col("n").alias("n1")), "a").join(size.select(F.col("g").alias("b"), F.col("n").alias("n2")), "b")
+    out = out.withColumn("u", F.col("n1") + F.col("n2") - F.col("i"))
+    return out.select("a", "b", "i", "u", "n1", "n2", ratio(F.col("i"), F.col("u")).alias("jaccard"))
+
+
 def set_union(a: DataFrame, b: DataFrame, item: str) -> DataFrame:
     return a.select(item).union(b.select(item)).distinct()
 

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.hashing import remix_np
 
-#: Bases of the longest insertion or deletion.
-LONGEST = 64
-
 
 def uniform(*keys: Column | int) -> Column:
     """A number in [0, 1) for its keys."""
@@ -38,7 +35,7 @@ def _draws(key: int, n: int, salt: int) -> np.ndarray:
     return (z >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
-def mutated(seq: str, key: int, rate: float, indel_fraction: float, extension: float) -> tuple[str, int, int, int, int, str]:
+def mutated(seq: str, key: int, rate: float, indel_fraction: float, extension: float, longest: int | None = None) -> tuple[str, int, int, int, int, str]:
     """(sequence, substitutions, insertions, deletions, inserted minus deleted bases, cigar) of one sequence."""
     n = len(seq)
     hits = np.flatnonzero(_draws(key, n, 0) < rate)
@@ -64,8 +61,10 @@ def mutated(seq: str, key: int, rate: float, indel_fraction: float, extension: f
             ops.append((1, "X"))
             sub, at = sub + 1, i + 1
             continue
-        more = 0 if extension == 0 else LONGEST - 1 if extension == 1 else int(math.log(1 - size[i]) / math.log(extension))
-        length = min(LONGEST, 1 + more)
+        rest = n - i
+        most = rest if longest is None else min(rest, longest)
+        more = 0 if extension == 0 else most if extension == 1 else int(math.log(1 - size[i]) / math.log(extension))
+        length = min(most, 1 + more)
         if side[i] < 0.5:
             picks = _draws(key ^ (i + 1) * 0x2545F4914F6CDD1D, length, 5)
             out.append("".join("ACGT"[int(p * 4)] for p in picks))
@@ -73,7 +72,6 @@ def mutated(seq: str, key: int, rate: float, indel_fraction: float, extension: f
             ins, net = ins + 1, net + length
             copy(i + 1)
         else:
-            length = min(length, n - i)
             ops.append((length, "D"))
             dele, net, at = dele + 1, net - length, i + length
     copy(n)
@@ -86,12 +84,13 @@ def mutated(seq: str, key: int, rate: float, indel_fraction: float, extension: f
     return "".join(out), sub, ins, dele, net, "".join(f"{a}{b}" for a, b in joined)
 
 
-def mutate(df: DataFrame, rate: float, indel_fraction: float = 0.0, extension: float = 0.0, seed: int = 42, rec: str = "rec", seq: str = "seq") -> DataFrame:
+def mutate(df: DataFrame, rate: float, indel_fraction: float = 0.0, extension: float = 0.0, seed: int = 42, rec: str = "rec", seq: str = "seq", longest: int | None = None) -> DataFrame:
     """(rec, seq, substitutions, insertions, deletions, indel_bases, cigar) per record.
 
     Each base is hit with probability rate: by a substitution, always with another
     base, or, with indel_fraction, half and half by an insertion of bases before it
-    or a deletion from it on; each further base comes with probability extension.
+    or a deletion from it on; each further base comes with probability extension, up to ``longest`` bases if
+    given and to as many as the rest of the sequence has.
     Hits inside a deletion are void. Null sequences give no row; rates outside 0
     to 1 raise. Records are mutated apart, so nothing is shuffled.
     """
@@ -102,7 +101,7 @@ def mutate(df: DataFrame, rate: float, indel_fraction: float = 0.0, extension: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         for b in batches:
-            rows = [mutated(s, k & (2**64 - 1), rate, indel_fraction, extension) for k, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            rows = [mutated(s, k & (2**64 - 1), rate, indel_fraction, extension, longest) for k, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             cols = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds)]], ["rec", "seq", "substitutions", "insertions", "deletions", "indel_bases", "cigar"])
 

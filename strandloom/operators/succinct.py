@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.bits import low_mask
+from strandloom.functions.bits import low_mask, msb
 from strandloom.operators.ordered import delta, global_index, neighbours
 
 
@@ -37,10 +37,70 @@ def all_ones(spark, size: int) -> DataFrame:
     return d.withColumn("word", low_mask(F.least(F.lit(size) - F.col("block_idx") * 64, F.lit(64))).cast("bigint"))
 
 
-def vector_sizes(words: DataFrame, n: int) -> DataFrame:
-    """(size, size1, size0) of a vector of n bits."""
+def vector_sizes(words: DataFrame, n: int | None = None) -> DataFrame:
+    """(size, size1, size0) of a vector of n bits; without n, of one that ends with its last one."""
     ones = F.coalesce(F.sum(F.bit_count("word")), F.lit(0)).cast("bigint")
-    return words.agg(F.lit(n).cast("bigint").alias("size"), ones.alias("size1"), (F.lit(n) - ones).cast("bigint").alias("size0"))
+    last = F.max(F.when(F.col("word") != 0, F.col("block_idx") * 64 + msb(F.col("word"))))
+    size = F.coalesce(last + 1, F.lit(0)) if n is None else F.lit(n)
+    return words.agg(size.cast("bigint").alias("size"), ones.alias("size1"), (size - ones).cast("bigint").alias("size0"))
+
+
+def walk(words: DataFrame, n: int | Column) -> DataFrame:
+    """(pos, bit): every bit of words, zeros included, that lies before n."""
+    d = words.select("block_idx", "word", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
+    d = d.select((F.col("block_idx") * 64 + F.col("i")).alias("pos"), F.expr("getbit(word, i)").cast("int").alias("bit"))
+    return d.where(F.col("pos") < n)
+
+
+def _masked(words: DataFrame, masks: DataFrame) -> DataFrame:
+    """Words with the bits of ``clear`` taken away and those of ``put`` added; masks: (block_idx, clear, put)."""
+    d = words.join(masks, "block_idx", "full_outer")
+    w = F.coalesce("word", F.lit(0)).bitwiseAND(F.bitwise_not(F.coalesce("clear", F.lit(0)))).bitwiseOR(F.coalesce("put", F.lit(0)))
+    return d.select("block_idx", w.alias("word")).where("word <> 0")
+
+
+def update_bits(words: DataFrame, updates: DataFrame, pos: str = "pos", bit: str = "bit", at: str = "at") -> DataFrame:
+    """Words after bits were set (bit 1) or cleared (bit 0), in the order of ``at``: a position's last update counts."""
+    last = updates.groupBy(F.col(pos).alias("pos")).agg(F.max_by(bit, at).alias("bit"))
+    one = F.expr("shiftleft(1L, cast(pmod(pos, 64) as int))")
+    masks = last.groupBy(F.floor(F.col("pos") / 64).cast("bigint").alias("block_idx")).agg(F.bit_or(F.when(F.col("bit") == 0, one).otherwise(F.lit(0))).alias("clear"), F.bit_or(F.when(F.col("bit") != 0, one).otherwise(F.lit(0))).alias("put"))
+    return _masked(words, masks)
+
+
+def resize(words: DataFrame, n: int, to: int, fill: int = 0) -> DataFrame:
+    """Words of a vector of n bits after it got ``to`` bits; new bits are ``fill``. pop is a resize to n - 1."""
+    if n < 0 or to < 0:
+        raise ValueError("a vector has no fewer than 0 bits")
+    keep = low_mask(F.greatest(F.least(F.lit(to) - F.col("block_idx") * 64, F.lit(64)), F.lit(0))).cast("bigint")
+    cut = words.select("block_idx", F.col("word").bitwiseAND(keep).alias("word")).where("word <> 0")
+    if not fill or to <= n:
+        return cut
+    first, last = n // 64, (to - 1) // 64
+    new = words.sparkSession.range(first, last + 1).select(F.col("id").alias("block_idx"))
+    upto = lambda x: low_mask(F.greatest(F.least(F.lit(x) - F.col("block_idx") * 64, F.lit(64)), F.lit(0))).cast("bigint")
+    new = new.select("block_idx", F.lit(0).cast("bigint").alias("clear"), upto(to).bitwiseXOR(upto(n)).alias("put"))
+    return _masked(cut, new)
+
+
+def append_blocks(words: DataFrame, n: int, items: DataFrame, width: int, idx: str = "i", value: str = "x") -> DataFrame:
+    """Words of a vector of n bits after the low ``width`` bits of each value were pushed, lowest first, in the order of idx from 0."""
+    if not 0 < width <= 64:
+        raise ValueError("a width lies between 1 and 64")
+    at = F.lit(n) + F.col(idx) * width
+    d = items.select(F.floor(at / 64).cast("bigint").alias("b"), (at % 64).cast("int").alias("o"), F.col(value).bitwiseAND(low_mask(F.lit(width)).cast("bigint")).alias("x"))
+    low = F.struct(F.col("b").alias("block_idx"), F.expr("shiftleft(x, o)").alias("put"))
+    high = F.struct((F.col("b") + 1).alias("block_idx"), F.expr("case when o > 0 then shiftrightunsigned(x, 64 - o) else 0L end").alias("put"))
+    d = d.select(F.explode(F.array(low, high)).alias("p")).select("p.*").groupBy("block_idx").agg(F.bit_or("put").alias("put"))
+    return _masked(words, d.select("block_idx", F.lit(0).cast("bigint").alias("clear"), "put"))
+
+
+def rank_between(ones: DataFrame, queries: DataFrame, pos: str = "pos", start: str = "start", stop: str = "stop") -> DataFrame:
+    """queries with rank1 and rank0: ones and zeros from start to stop, stop excluded; a range that runs backwards raises."""
+    ok = F.when(F.col(stop) >= F.col(start), F.col(stop)).otherwise(F.raise_error(F.lit("a range runs backwards")))
+    up = rank(ones, queries.withColumn(stop, ok), pos, stop).withColumnRenamed("rank1", "upto").drop("rank0")
+    d = rank(ones, up, pos, start)
+    r = F.col("upto") - F.col("rank1")
+    return d.withColumns({"rank1": r, "rank0": F.col(stop) - F.col(start) - r}).drop("upto")
 
 
 def rank(ones: DataFrame, queries: DataFrame, pos: str = "pos", at: str = "i") -> DataFrame:
@@ -90,6 +150,22 @@ def unpack_words(words: DataFrame, indices: DataFrame, width: int, idx: str = "i
     return q.withColumn("x", x.bitwiseAND(low_mask(F.lit(width)).cast("bigint"))).drop("b", "o", "w0", "w1")
 
 
+def update_packed(words: DataFrame, updates: DataFrame, width: int, idx: str = "i", value: str = "x") -> DataFrame:
+    """Packed words after the values at distinct indices were replaced."""
+    ones = pack_words(updates.withColumn(value, low_mask(F.lit(width)).cast("bigint")), width, idx, value)
+    new = pack_words(updates, width, idx, value)
+    masks = ones.withColumnRenamed("word", "clear").join(new.withColumnRenamed("word", "put"), "block_idx")
+    d = words.join(masks, "block_idx", "left")
+    return d.select("block_idx", F.col("word").bitwiseAND(F.bitwise_not(F.coalesce("clear", F.lit(0)))).bitwiseOR(F.coalesce("put", F.lit(0))).alias("word"))
+
+
+def rank_overhead(words: DataFrame, n: int | None = None) -> DataFrame:
+    """(bits, index_bits, overhead): a rank directory of two 64-bit counts for each 512 bits, against the vector."""
+    size = vector_sizes(words, n)
+    blocks = F.ceil(F.col("size") / 512)
+    return size.select(F.col("size").alias("bits"), (blocks * 128).cast("bigint").alias("index_bits"), F.round(F.try_divide((blocks * 128).cast("double"), F.col("size").cast("double")), 9).alias("overhead"))
+
+
 def elias_fano(values: DataFrame, value: str = "v", order: str | None = None) -> DataFrame:
     """(idx, v) of an ascending sequence; with ``order``, a sequence that isn't ascending raises."""
     if order is None:

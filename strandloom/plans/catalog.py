@@ -108,13 +108,26 @@ def break_offsets(spark, d):
     return o.groupBy("rec").agg(F.sum("offset").alias("offsets"), F.count("*").alias("bases"), F.max("offset").alias("longest"))
 
 
-@_query("""WITH w AS (SELECT doc_id, substr(text, 1, 12) AS t FROM documents), c AS (SELECT doc_id, translate(regexp_replace(translate(t, 'acgtuU', 'ACGTTT'), '[^ACGT]', 'N', 'g'), 'ACGTN', '01234') AS codes, regexp_replace(translate(t, 'acgtuU', 'ACGTTT'), '[^ACGT]', 'N', 'g') AS bases FROM w)
-SELECT doc_id, codes, translate(codes, '01234', 'ACGTN') AS decoded, translate(reverse(bases), 'ACGT', 'TGCA') AS complement FROM c""")
+@_query("""WITH c AS (SELECT doc_id, regexp_replace(translate(text, 'acgtuU', 'ACGTTT'), '[^ACGT]', 'N', 'g') AS bases FROM documents)
+SELECT doc_id, length(bases)::BIGINT AS n, md5(translate(bases, 'ACGTN', '01234')) AS codes, md5(bases) AS decoded, md5(translate(reverse(bases), 'ACGT', 'TGCA')) AS complement FROM c""")
 def base_codes(spark, d):
-    t = table(spark, d, "documents").select("doc_id", encoding.clean(F.substring("text", 1, 12)).alias("bases"))
-    each = F.transform(F.split("bases", ""), lambda c: encoding.encode_base(c))
-    t = t.withColumn("c", F.when(F.col("bases") != "", each).otherwise(F.array().cast("array<int>")))
-    return t.select("doc_id", F.array_join(F.col("c").cast("array<string>"), "").alias("codes"), F.array_join(F.transform("c", encoding.decode_base), "").alias("decoded"), encoding.reverse_complement(F.col("bases")).alias("complement"))
+    t = table(spark, d, "documents").select("doc_id", encoding.encode_text(F.col("text")).alias("c"))
+    t = t.withColumn("bases", encoding.decode_text(F.col("c")))
+    return t.select("doc_id", F.length("c").cast("bigint").alias("n"), F.md5("c").alias("codes"), F.md5("bases").alias("decoded"), F.md5(encoding.reverse_complement(F.col("bases"))).alias("complement"))
+
+
+@_query("WITH c AS (SELECT item_id, generate_subscripts(string_split(text, ''), 1) - 1 AS i, unnest(string_split(text, '')) AS c FROM benchmark) SELECT item_id, i::INT AS i, CASE c WHEN 'A' THEN 0 WHEN 'a' THEN 0 WHEN 'C' THEN 1 WHEN 'c' THEN 1 WHEN 'G' THEN 2 WHEN 'g' THEN 2 WHEN 'T' THEN 3 WHEN 't' THEN 3 WHEN 'U' THEN 3 WHEN 'u' THEN 3 ELSE 4 END AS code FROM c")
+def base_iterator(spark, d):
+    """Codes of a text's characters, one after another."""
+    t = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", "")).alias("i", "c"))
+    return t.select("item_id", "i", encoding.encode_base(F.col("c")).alias("code"))
+
+
+@_query(f"WITH dna AS ({sql.dna('benchmark', 'item_id')}), p AS (SELECT rec, {sql.pack_wide('kmer', 32)} AS v FROM ({sql.kmers(32)})) SELECT rec, count(*) AS n, min(v)::VARCHAR AS least, max(v)::VARCHAR AS greatest FROM p GROUP BY rec")
+def kmer_pack_wide(spark, d):
+    """k = 32: all 64 bits of a word."""
+    p = kmers.kmers(_dna(spark, d, "benchmark", "item_id"), 32).select("rec", encoding.pack_wide(F.col("kmer")).alias("v"))
+    return p.groupBy("rec").agg(F.count("*").alias("n"), F.min("v").cast("string").alias("least"), F.max("v").cast("string").alias("greatest"))
 
 
 # ---- sets --------------------------------------------------------------------
@@ -146,6 +159,23 @@ def kmer_jaccard_multiset(spark, d):
     return sets.pair_jaccard(kmers.kmers(_dna(spark, d), K, canonical=True), _neighbours(spark, d), "rec", "kmer", multiset=True)
 
 
+def _all_pairs_sql(count: str) -> str:
+    return f"""WITH dna AS ({sql.dna('benchmark', 'item_id')}), items AS (SELECT rec, {sql.canonical('kmer')} AS kmer FROM ({sql.kmers(K)})), c AS (SELECT rec, kmer, {count} AS c FROM items GROUP BY ALL), size AS (SELECT rec, sum(c)::BIGINT AS n FROM c GROUP BY rec),
+i AS (SELECT x.rec AS a, y.rec AS b, sum(least(x.c, y.c))::BIGINT AS i FROM c x JOIN c y ON y.kmer = x.kmer AND x.rec < y.rec GROUP BY 1, 2)
+SELECT a, b, i, s.n + t.n - i AS u, s.n AS n1, t.n AS n2, round(i::DOUBLE / (s.n + t.n - i), 9) AS jaccard FROM i JOIN size s ON s.rec = a JOIN size t ON t.rec = b"""
+
+
+@_query(_all_pairs_sql("1"))
+def kmer_jaccard_all(spark, d):
+    """All pairs of texts that share a k-mer."""
+    return sets.all_pairs_jaccard(kmers.kmers(_dna(spark, d, "benchmark", "item_id"), K, canonical=True), "rec", "kmer")
+
+
+@_query(_all_pairs_sql("count(*)"))
+def kmer_jaccard_all_multiset(spark, d):
+    return sets.all_pairs_jaccard(kmers.kmers(_dna(spark, d, "benchmark", "item_id"), K, canonical=True), "rec", "kmer", multiset=True)
+
+
 _TWO = f"dna AS ({sql.dna()}), bench AS ({sql.dna('benchmark', 'item_id')}), x AS (SELECT {sql.canonical('kmer')} AS kmer FROM ({sql.kmers(K)})), y AS (SELECT {sql.canonical('kmer')} AS kmer FROM ({sql.kmers(K, 'bench')}))"
 
 
@@ -179,6 +209,18 @@ def external_sort_top(spark, d):
     return runs.sorted_prefix(kmers.kmers(_dna(spark, d), K), ["kmer", "rec", "position"], 100).select("kmer", "rec", "position")
 
 
+@_query("SELECT event_id, user_id, value, row_number() OVER (ORDER BY value, event_id) - 1 AS idx FROM events")
+def external_sort(spark, d):
+    """The whole table with its places in the order."""
+    e = table(spark, d, "events").select("event_id", "user_id", "value")
+    return runs.external_sort(e, ["value", "event_id"], storage.scratch(spark, "sort"))
+
+
+@_query("SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS idx FROM events")
+def unsorted_replay(spark, d):
+    return runs.replay(table(spark, d, "events").select("event_id", "event_type"), "event_id", storage.scratch(spark, "replay"))
+
+
 # ---- runs --------------------------------------------------------------------
 
 _EV = "PARTITION BY user_id ORDER BY event_id"
@@ -239,6 +281,41 @@ def global_index(spark, d):
     return ordered.global_index(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
 
 
+@_query("SELECT 'events' AS what, min_by(event_type, event_id) AS front, max_by(event_type, event_id) AS back FROM events UNION ALL SELECT 'elias_fano', min(l_partkey)::VARCHAR, max(l_partkey)::VARCHAR FROM lineitem UNION ALL SELECT 'bits', '1', '1' UNION ALL SELECT 'packed', min_by(p_size, p_partkey)::VARCHAR, max_by(p_size, p_partkey)::VARCHAR FROM part")
+def front_back(spark, d):
+    """First and last element of a sorted table, an Elias-Fano sequence, a bit vector from its first one on, and a packed vector."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("i"), F.col("p_size").cast("bigint").alias("x"))
+    bit = succinct.walk(succinct.bit_words(_ones(spark, d)), 1 << 62)
+    ones = bit.where("bit = 1").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    bit = bit.join(F.broadcast(ones), (F.col("pos") >= F.col("lo")) & (F.col("pos") <= F.col("hi")))  # one row
+    kinds = {
+        "events": runs.ends(table(spark, d, "events"), "event_id", "event_type"),
+        "elias_fano": runs.ends(_seq(spark, d), "idx", "v"),
+        "bits": runs.ends(bit, "pos", "bit"),
+        "packed": runs.ends(succinct.unpack_words(succinct.pack_words(p, 7), p.select("i"), 7), "i", "x"),
+    }
+    out = [f.select(F.lit(k).alias("what"), F.col("front").cast("string").alias("front"), F.col("back").cast("string").alias("back")) for k, f in kinds.items()]
+    return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
+@_query("SELECT range AS i FROM range(5, 100005, 3)")
+def counting(spark, d):
+    return runs.counting(spark, 5, 100005, 3)
+
+
+@_query("SELECT user_id, '[' || string_agg(event_id, ', ' ORDER BY event_id) || ']' AS shown FROM events GROUP BY user_id")
+def pretty_rows(spark, d):
+    e = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("e"))
+    return e.select("user_id", runs.pretty(F.col("e")).alias("shown"))
+
+
+@_query("SELECT * FROM (VALUES (0, 'conv_id', 'bigint', 64), (1, 'turn', 'bigint', 64), (2, 'role', 'string', NULL), (3, 'text', 'string', NULL)) v(position, name, type, bits)")
+def type_names(spark, d):
+    t = runs.type_names(table(spark, d, "conversations"))
+    width = F.create_map(*[F.lit(x) for kv in bits.WIDTHS.items() for x in kv])
+    return t.withColumn("bits", F.try_element_at(width, "type"))
+
+
 # ---- hashing and sampling ----------------------------------------------------
 
 
@@ -269,6 +346,11 @@ def fastrange(spark, d):
     return h.select("o_orderkey", hashing.fastrange(F.col("h"), 7).alias("seven"), hashing.fastrange(F.col("h"), 200).alias("twohundred"), hashing.fastrange(F.col("h"), 7, 32).alias("low_seven"))
 
 
+@_query(f"WITH src AS (SELECT o_orderkey, o_orderpriority FROM orders), {sql.hashed_bytes('src', 'o_orderpriority', 42)} SELECT o_orderkey, {sql.signed('h1')} AS h FROM hb")
+def hash_texts(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", hashing.hash_bytes(F.col("o_orderpriority"), 42).alias("h"))
+
+
 _RATE = 0.125
 
 
@@ -295,6 +377,28 @@ def super_kmer_rows(spark, d):
     return s.groupBy("rec").agg(F.count("*").alias("n"), F.sum("minimizer").alias("total"), F.sum("mm_pos").alias("offsets"), F.sum("size").alias("kmers"), F.sum(F.col("size") * (F.col("start") % 5)).alias("starts"))
 
 
+@_query(f"""WITH {sql.minima(MK, MM, 42, True)}, ch AS (SELECT *, lag(mpos) OVER (PARTITION BY rec, seg ORDER BY kpos) AS before FROM mins)
+SELECT rec, count(*) AS n, sum({sql.pack('mmer', MM)})::BIGINT AS total, bit_xor({sql.signed('h')}) AS hashes, sum(mpos)::BIGINT AS positions FROM ch WHERE before IS NULL OR before <> mpos GROUP BY rec""")
+def minimizer_rows_canonical(spark, d):
+    m = minimizers.minimizers(_dna(spark, d), MK, MM, canonical=True)
+    return m.groupBy("rec").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.bit_xor("hash").alias("hashes"), F.sum("position").alias("positions"))
+
+
+@_query(f"""WITH {sql.minima(MK, MM, 42, True)}, ch AS (SELECT *, CASE WHEN lag(mpos) OVER (PARTITION BY rec, seg ORDER BY kpos) = mpos THEN 0 ELSE 1 END AS c FROM mins),
+r AS (SELECT *, sum(c) OVER (PARTITION BY rec, seg ORDER BY kpos) AS run FROM ch), s AS (SELECT rec, any_value(mmer) AS mmer, min(mpos) - min(kpos) AS mm_pos, count(*) AS size, min(kpos) AS st FROM r GROUP BY rec, seg, run)
+SELECT rec, count(*) AS n, sum({sql.pack('mmer', MM)})::BIGINT AS total, sum(mm_pos)::BIGINT AS offsets, sum(size)::BIGINT AS kmers, sum(size * (st % 5))::BIGINT AS starts FROM s GROUP BY rec""")
+def super_kmer_rows_canonical(spark, d):
+    s = minimizers.super_kmers(_dna(spark, d), MK, MM, canonical=True)
+    return s.groupBy("rec").agg(F.count("*").alias("n"), F.sum("minimizer").alias("total"), F.sum("mm_pos").alias("offsets"), F.sum("size").alias("kmers"), F.sum(F.col("size") * (F.col("start") % 5)).alias("starts"))
+
+
+@_query(f"WITH {sql.minima(MK, MM, 0)}, k AS (SELECT rec, pos, {sql.pack(sql.canonical('kmer'), MK)} AS v FROM ({sql.kmers(MK)})) SELECT m.rec, count(*) AS n, sum(v)::BIGINT AS total FROM mins m JOIN k ON k.rec = m.rec AND k.pos = kpos WHERE mpos - kpos IN (0, {MK - MM}) GROUP BY m.rec")
+def syncmer_values(spark, d):
+    """Closed syncmers of either strand: the values of canonical k-mers."""
+    s = minimizers.minimizer_offsets(_dna(spark, d), MK, MM, canonical=True).where(F.col("offset").isin(0, MK - MM))
+    return s.groupBy("rec").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
 def _syncmer_sql(where: str) -> str:
     return f"WITH {sql.minima(MK, MM, 0)} SELECT rec, count(*) AS n, sum(kpos)::BIGINT AS positions, sum(mpos - kpos)::BIGINT AS offsets FROM mins WHERE mpos - kpos {where} GROUP BY rec"
 
@@ -382,9 +486,68 @@ def bitvector_at(spark, d):
     return succinct.bits_at(succinct.bit_words(_ones(spark, d)), table(spark, d, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", "bit")
 
 
-@_query(f"WITH {_ONES} SELECT 1048576::BIGINT AS size, count(*) AS size1, 1048576 - count(*) AS size0 FROM ones")
+@_query(f"WITH {_ONES} SELECT max(pos) + 1 AS size, count(*) AS size1, max(pos) + 1 - count(*) AS size0 FROM ones")
 def bitvector_sizes(spark, d):
-    return succinct.vector_sizes(succinct.bit_words(_ones(spark, d)), 1048576)
+    return succinct.vector_sizes(succinct.bit_words(_ones(spark, d)))
+
+
+def _words_sql(ones: str) -> str:
+    return f"SELECT pos // 64 AS block_idx, bit_or(CASE WHEN pos % 64 = 63 THEN -9223372036854775808 ELSE (1::BIGINT << (pos % 64)::INT) END) AS word FROM {ones} GROUP BY 1"
+
+
+@_query(f"WITH {_ONES}, n AS (SELECT max(pos) + 1 AS n FROM ones), p AS (SELECT pos, pos IN (SELECT pos FROM ones) AS bit FROM (SELECT unnest(range(0, n)) AS pos FROM n)), w AS (SELECT DISTINCT pos // 64 AS b FROM ones) SELECT pos, bit::INT AS bit FROM p WHERE pos // 64 IN (SELECT b FROM w)")
+def bitvector_walk(spark, d):
+    """Every bit of the words that are there, up to the last one."""
+    w = succinct.bit_words(_ones(spark, d))
+    size = succinct.vector_sizes(w).select("size")
+    return succinct.walk(w, 1 << 62).join(F.broadcast(size), F.col("pos") < F.col("size")).drop("size")  # one row
+
+
+@_query(f"""WITH {_ONES}, u AS (SELECT l_orderkey + l_linenumber AS pos, max_by((l_suppkey % 2)::INT, l_partkey * 100000 + l_suppkey) AS bit FROM lineitem GROUP BY 1),
+r AS (SELECT pos FROM ones WHERE pos NOT IN (SELECT pos FROM u WHERE bit = 0) UNION SELECT pos FROM u WHERE bit = 1) {_words_sql('r')}""")
+def bitvector_update(spark, d):
+    """Set and clear in an order; the last counts."""
+    u = table(spark, d, "lineitem").select((F.col("l_orderkey") + F.col("l_linenumber")).alias("pos"), (F.col("l_suppkey") % 2).cast("int").alias("bit"), (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("at"))
+    return succinct.update_bits(succinct.bit_words(_ones(spark, d)), u)
+
+
+@_query(f"WITH {_ONES}, r AS (SELECT pos FROM ones WHERE pos < 1001 UNION SELECT unnest(range(1001, 1500)) UNION SELECT unnest(range(1500, 5000, 1)) WHERE false) {_words_sql('r')}")
+def bitvector_resize(spark, d):
+    """Popped to 1001 bits, then grown to 1500 with ones, to 5000 with zeros."""
+    w = succinct.resize(succinct.bit_words(_ones(spark, d)), 1 << 40, 1001)
+    return succinct.resize(succinct.resize(w, 1001, 1500, 1), 1500, 5000)
+
+
+@_query(f"""WITH {_ONES}, items AS (SELECT p_partkey - 1 AS i, p_partkey AS x FROM part), r AS (SELECT pos FROM ones WHERE pos < 77 UNION SELECT 77 + i * 17 + j FROM items, range(0, 17) t(j) WHERE (x >> j::INT) & 1 = 1) {_words_sql('r')}""")
+def bitvector_append(spark, d):
+    """17-bit blocks pushed after 77 bits."""
+    w = succinct.resize(succinct.bit_words(_ones(spark, d)), 1 << 40, 77)
+    return succinct.append_blocks(w, 77, table(spark, d, "part").select((F.col("p_partkey") - 1).alias("i"), F.col("p_partkey").alias("x")), 17)
+
+
+@_query(f"WITH {_ONES}, w AS ({_words_sql('ones')}) SELECT block_idx, bit_count(word)::BIGINT AS ones, (sum(bit_count(word)) OVER (ORDER BY block_idx))::BIGINT AS prefix FROM w")
+def popcount_prefix(spark, d):
+    """Ones of each word, and up to it."""
+    w = succinct.bit_words(_ones(spark, d)).select("block_idx", F.bit_count("word").cast("bigint").alias("ones"))
+    return ordered.prefix_sum(w, "block_idx", "ones")
+
+
+@_query(f"WITH {_ONES}, s AS (SELECT max(pos) + 1 AS bits FROM ones) SELECT bits, ((bits + 511) // 512 * 128)::BIGINT AS index_bits, round(((bits + 511) // 512 * 128)::DOUBLE / bits, 9) AS overhead FROM s")
+def rank_overhead(spark, d):
+    return succinct.rank_overhead(succinct.bit_words(_ones(spark, d)))
+
+
+@_query(f"WITH {_ONES}, q AS (SELECT p_partkey AS start, p_partkey + p_size * 10 AS stop FROM part), r AS (SELECT start, stop, (SELECT count(*) FROM ones WHERE pos >= start AND pos < stop) AS rank1 FROM q) SELECT start, stop, rank1, stop - start - rank1 AS rank0 FROM r".replace("start", '"start"').replace("stop", '"stop"'))
+def rank_ranges(spark, d):
+    q = table(spark, d, "part").select(F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size") * 10).cast("bigint").alias("stop"))
+    return succinct.rank_between(_ones(spark, d), q)
+
+
+@_query("WITH c AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) // 2 AS n FROM documents WHERE text <> '') SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE bit_count(unhex(substr(h, 1, 2 * n))::BIT) END::BIGINT AS rank1 FROM c WHERE n > 0")
+def bytes_rank(spark, d):
+    """Ones in the first half of each text's bytes."""
+    t = table(spark, d, "documents").where(F.octet_length("text") > 1).select("doc_id", F.encode("text", "UTF-8").alias("raw"))
+    return t.select("doc_id", bits.bytes_rank1(F.col("raw"), F.floor(F.octet_length("raw") / 2) * 8 - 1).alias("rank1"))
 
 
 @_query(f"WITH {_ONES}, q AS (SELECT o_orderkey AS i FROM orders), e AS (SELECT pos AS k, 1 AS one, NULL::BIGINT AS i FROM ones UNION ALL SELECT i, 0, i FROM q), r AS (SELECT i, (sum(one) OVER (ORDER BY k, one) )::BIGINT AS c FROM e) SELECT i, coalesce(c, 0) AS rank1, i - coalesce(c, 0) AS rank0 FROM r WHERE i IS NOT NULL")
@@ -404,6 +567,24 @@ def pack_unpack(spark, d):
     return succinct.unpack_words(succinct.pack_words(p, 7), p.select("i"), 7)
 
 
+@_query("SELECT p_partkey AS i, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 8191 ELSE p_size END::BIGINT AS x FROM part")
+def packed_update(spark, d):
+    """13-bit values, a third of them replaced."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("i"), F.col("p_size").cast("bigint").alias("x"))
+    new = p.where("i % 3 = 0").select("i", (F.col("i") % 8191).alias("x"))
+    return succinct.unpack_words(succinct.update_packed(succinct.pack_words(p, 13), new, 13), p.select("i"), 13)
+
+
+@_query("SELECT p_partkey AS i, w AS width, (p_partkey * 7919 % (1::BIGINT << (w - 1)))::BIGINT AS x FROM part, (VALUES (1), (2), (5), (31), (33), (63)) v(w)")
+def pack_widths(spark, d):
+    out = None
+    for w in (1, 2, 5, 31, 33, 63):
+        p = table(spark, d, "part").select(F.col("p_partkey").alias("i"), F.lit(w).alias("width"), (F.col("p_partkey") * 7919 % (1 << (w - 1))).alias("x"))
+        u = succinct.unpack_words(succinct.pack_words(p, w), p.select("i", "width"), w)
+        out = u if out is None else out.unionByName(u)
+    return out
+
+
 _SEQ = "seq AS (SELECT row_number() OVER (ORDER BY l_partkey) - 1 AS idx, l_partkey AS v FROM lineitem)"
 
 
@@ -492,6 +673,20 @@ def code_decode(spark, d):
     return out.withColumn("i", F.col("i").cast("bigint"))
 
 
+@_query("WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i FROM part) SELECT p_brand, i, p_size::BIGINT AS x FROM p")
+def parse_fixed(spark, d):
+    """A stream of 7-bit fields read one after another."""
+    s = codes.stream(table(spark, d, "part"), ["p_brand"], "p_partkey", codes.fixed(F.col("p_size").cast("bigint"), 7))
+    return s.select("p_brand", F.posexplode(codes.decode(F.col("bits"), "fixed", 7)).alias("i", "x")).withColumn("i", F.col("i").cast("bigint"))
+
+
+@_query("WITH p AS (SELECT *, sum(p_size + 1) OVER (PARTITION BY p_brand ORDER BY p_partkey)::BIGINT - 1 AS one FROM part) SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY one) - 1 AS i, one FROM p")
+def parse_ones(spark, d):
+    """Indices of the ones of a unary stream."""
+    s = codes.stream(table(spark, d, "part"), ["p_brand"], "p_partkey", codes.unary(F.col("p_size").cast("bigint")))
+    return s.select("p_brand", F.posexplode(codes.one_indices(F.col("bits"))).alias("i", "one")).withColumn("i", F.col("i").cast("bigint"))
+
+
 # ---- sources, storage, simulation --------------------------------------------
 
 
@@ -517,6 +712,16 @@ def fasta_round_trip(spark, d):
     return fasta.read_fasta(spark, path).select("name", "comment", F.md5("seq").alias("digest"), F.length("seq").cast("bigint").alias("bases"))
 
 
+@_query(f"WITH dna AS ({sql.dna('benchmark', 'item_id')}) SELECT 'b' || rec AS name, 'c ' || rec AS comment, md5(s) AS digest, md5(repeat('@', length(s))) AS quality FROM dna WHERE s <> ''")
+def fastq_round_trip(spark, d):
+    """Sequences and qualities over several lines, quality lines that begin with @ among them."""
+    path = storage.scratch(spark, "fastq")
+    s = _dna(spark, d, "benchmark", "item_id").where("seq <> ''")
+    q = F.expr("repeat('@', length(seq))")
+    fasta.write_fastq(s.select(F.concat(F.lit("b"), "rec").alias("name"), F.concat(F.lit("c "), "rec").alias("comment"), "seq", q.alias("qual")), path)
+    return fasta.read_fastq(spark, path).select("name", "comment", F.md5("seq").alias("digest"), F.md5("qual").alias("quality"))
+
+
 @_query()
 def random_sequences(spark, d):
     """A random sequence per customer, mutated. Random, so rows are compared only."""

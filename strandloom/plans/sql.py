@@ -30,6 +30,11 @@ def pack(x: str, k: int) -> str:
     return "(" + " + ".join(f"(strpos('ACGT', substr({x}, {i + 1}, 1)) - 1) * {4 ** (k - 1 - i)}" for i in range(k)) + ")::BIGINT"
 
 
+def pack_wide(x: str, k: int) -> str:
+    """The same as an unsigned number of up to 64 bits."""
+    return "(" + " + ".join(f"(strpos('ACGT', substr({x}, {i + 1}, 1)) - 1)::uhugeint * {4 ** (k - 1 - i)}::uhugeint" for i in range(k)) + ")"
+
+
 def signed(h: str) -> str:
     return f"(CASE WHEN {h} >= 9223372036854775808::uhugeint THEN {h}::hugeint - 18446744073709551616::hugeint ELSE {h}::hugeint END)::BIGINT"
 
@@ -60,13 +65,33 @@ def hashed(source: str, x: str, seed: int, name: str = "hv") -> str:
     return ", ".join(steps)
 
 
-def minima(k: int, m: int, seed: int) -> str:
+def hashed_bytes(source: str, text: str, seed: int, name: str = "hb") -> str:
+    """CTEs ending in ``name``: the columns of source, with h1 for an ASCII text of at most 15 bytes."""
+    part = lambda a: "(" + " + ".join(f"coalesce(unicode(nullif(substr({text}, {a + i + 1}, 1), ''))::uhugeint * {256**i}::uhugeint, 0::uhugeint)" for i in range(8)) + ")"
+    turn = lambda x, r: f"((({x} << {r}) & {M64}) | ({x} >> {64 - r}))"
+    mix = lambda c: f"xor({c}, {c} >> 33)"
+    size = f"length({text})::uhugeint"
+    steps = [
+        f"{name}0 AS (SELECT *, {_mul(part(0), C1)} AS a, {_mul(part(8), C2)} AS b FROM {source})",
+        f"{name}1 AS (SELECT * EXCLUDE (a, b), xor(xor({seed}::uhugeint, {_mul(turn('a', 31), C2)}), {size}) AS a, xor(xor({seed}::uhugeint, {_mul(turn('b', 33), C1)}), {size}) AS b FROM {name}0)",
+        f"{name}2 AS (SELECT * EXCLUDE (a), (a + b) & {M64} AS a FROM {name}1)",
+        f"{name}3 AS (SELECT * EXCLUDE (a, b), {mix('a')} AS a, {mix(f'((b + a) & {M64})')} AS b FROM {name}2)",
+        f"{name}4 AS (SELECT * EXCLUDE (a, b), {_mul('a', F1)} AS a, {_mul('b', F1)} AS b FROM {name}3)",
+        f"{name}5 AS (SELECT * EXCLUDE (a, b), {mix('a')} AS a, {mix('b')} AS b FROM {name}4)",
+        f"{name}6 AS (SELECT * EXCLUDE (a, b), {_mul('a', F2)} AS a, {_mul('b', F2)} AS b FROM {name}5)",
+        f"{name} AS (SELECT * EXCLUDE (a, b), ({mix('a')} + {mix('b')}) & {M64} AS h1 FROM {name}6)",
+    ]
+    return ", ".join(steps)
+
+
+def minima(k: int, m: int, seed: int, both_strands: bool = False) -> str:
     """CTEs ending in ``mins``: (rec, seg, kpos, mpos, mmer, h) of each k-mer without a break.
 
     m-mers are ranked by hash, so that a window's least is a minimum of small integers.
     """
     w = k - m + 1
-    return f"""dna AS ({dna()}), mm AS ({kmers(m)}),
+    mm = f"SELECT rec, pos, n, {canonical('kmer')} AS kmer FROM ({kmers(m)})" if both_strands else kmers(m)
+    return f"""dna AS ({dna()}), mm AS ({mm}),
 dist AS (SELECT DISTINCT kmer AS mmer, {pack('kmer', m)}::uhugeint AS x FROM mm),
 {hashed('dist', 'x', seed)},
 ranked AS (SELECT mmer, h1, row_number() OVER (ORDER BY h1) AS rk FROM hv),

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,21 +25,59 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return r.select(name.alias("name"), comment.alias("comment"), body.alias("seq"), F.lit(None).cast("string").alias("qual"))
 
 
+def fastq_records(lines: Iterable[str]) -> Iterator[tuple[str, str | None, str, str]]:
+    """(name, comment, seq, qual) of records whose sequences and qualities may span lines.
+
+    A quality ends where it is as long as its sequence, so its lines may begin with
+    any character. A record without as many qualities as bases raises.
+    """
+    it = (line.rstrip("\r") for line in lines)
+    for head in it:
+        if not head.strip():
+            continue
+        if not head.startswith("@"):
+            raise ValueError("FASTQ: a record doesn't begin with @")
+        seq, qual = [], []
+        for line in it:
+            if line.startswith("+"):
+                break
+            seq.append(line.strip())
+        bases, have = "".join(seq), 0
+        while have < len(bases):
+            line = next(it, None)
+            if line is None:
+                raise ValueError("FASTQ: a quality is too short")
+            qual.append(line)
+            have += len(line)
+        if have > len(bases):
+            raise ValueError("FASTQ: a quality is too long")
+        name, _, comment = head[1:].partition(" ")
+        yield name, comment.strip() or None, bases, "".join(qual)
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(name, comment, seq, qual) rows of four-line records; unequal lengths raise.
+    """(name, comment, seq, qual) rows; malformed records raise.
 
-    A file is one row of lines here, as a quality line may begin with @: keep files
-    to sizes that a task holds.
+    Where a record begins shows only from the records before, so a file is one task;
+    many files are read in parallel. Keep files to 2 GB.
     """
-    raw = spark.read.text(path, wholetext=True)
-    lines = F.split(F.regexp_replace(F.regexp_replace("value", "\r", ""), r"\n+$", ""), "\n")
-    d = raw.where(F.trim("value") != "").select(lines.alias("l")).select("l", F.explode(F.sequence(F.lit(0), F.ceil(F.size("l") / 4).cast("int") - 1)).alias("i"))
-    at = lambda k: F.get("l", F.col("i") * 4 + k)
-    d = d.select(at(0).alias("head"), at(1).alias("seq"), at(2).alias("plus"), at(3).alias("qual"))
-    ok = F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual"))
-    d = d.withColumn("head", F.when(ok, F.col("head")).otherwise(F.raise_error(F.lit("FASTQ: a record is malformed"))))
-    comment = F.nullif(F.regexp_extract("head", r"^@\S*\s+(.*)$", 1), F.lit(""))
-    return d.select(F.regexp_extract("head", r"^@(\S*)", 1).alias("name"), comment.alias("comment"), "seq", "qual")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["name", "comment", "seq", "qual"]
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                records = fastq_records((text or "").split("\n"))
+                while part := list(islice(records, 4096)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*part)], names)
+
+    return spark.read.text(path, wholetext=True).mapInArrow(run, "name string, comment string, seq string, qual string")
+
+
+def write_fastq(df: DataFrame, path: str, width: int = 60) -> None:
+    """Write (name, comment, seq, qual) rows with lines of ``width`` characters."""
+    head = F.concat(F.lit("@"), F.col("name"), F.coalesce(F.concat(F.lit(" "), F.col("comment")), F.lit("")))
+    body = lambda c: F.rtrim(F.regexp_replace(c, f"(.{{{width}}})", "$1\n"), F.lit("\n"))
+    df.select(F.concat(head, F.lit("\n"), body("seq"), F.lit("\n+\n"), body("qual")).alias("value")).write.text(path)
 
 
 def write_fasta(df: DataFrame, path: str, width: int = 60) -> None:

@@ -46,9 +46,14 @@ def table_bytes(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path below the cluster's shared checkpoint folder, a local one only where none is set."""
+    """A new path below the cluster's shared checkpoint folder; a local one only where none is set in local mode."""
+    import re
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strandloom-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the cluster shares")
+        root = "file://" + tempfile.mkdtemp(prefix="strandloom-")
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
