@@ -15,8 +15,8 @@ Components of links keep the first line.
 Not all pairs of a bucket are compared, but no link between components is left out:
 
 1. Every line of a bucket is compared with its pivot, the line of least hash.
-2. In buckets that still hold several components, lines are compared with the most
-   linked line and with PIVOTS others, drawn anew for each bucket.
+2. In buckets that still hold several components, a line of each is compared with the
+   most linked line and with PIVOTS others, drawn anew for each bucket.
 3. In buckets that still hold several components, all lines outside the largest of
    them are compared with all lines of other components than their own. This goes
    in blocks, so a hot bucket is spread over tasks, and only pairs that may be links
@@ -172,14 +172,15 @@ def _pivots(b: DataFrame) -> DataFrame:
 
 
 def _hubs(apart: DataFrame, links: DataFrame) -> DataFrame:
-    """(a, b): every line of a bucket with its most linked line and with PIVOTS drawn ones, where labels differ."""
+    """(a, b): a line of each label of a bucket with the bucket's most linked line and with PIVOTS drawn ones, where labels differ."""
     degree = links.select("a").union(links.select("b")).groupBy("a").count().select(F.col("a").alias("p"), "count")
     own = apart.join(degree, "p", "left")
     drawn = [F.max(F.struct(F.xxhash64("p", "band", F.lit(k)).alias("by"), "p", "label")) for k in range(PIVOTS)]
     hub = F.max(F.struct(F.coalesce("count", F.lit(0)).alias("by"), "p", "label"))
     hubs = own.groupBy("band").agg(F.array(hub, *drawn).alias("hs")).select("band", F.explode("hs").alias("h"))
     j = apart.join(hubs.select("band", F.col("h.p").alias("hub"), F.col("h.label").alias("of")), "band")
-    return j.where("label <> of").select(*_pair("p", "hub")).distinct()
+    j = j.where("label <> of").groupBy("label", "hub").agg(F.min_by("p", F.xxhash64("p", "hub")).alias("p"))
+    return j.select(*_pair("p", "hub")).distinct()
 
 
 def _rest(apart: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:

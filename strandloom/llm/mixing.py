@@ -165,16 +165,17 @@ def _cut(kinds: list[str], text: str, taken: str, size: str):
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The rows of docs as the mix takes them: whole as often as they fit into
     ``taken``, then once more up to the words that are left. Documents without
-    words leave. A column n_chars follows the text; other columns are repeated.
+    words leave, so null and blank texts do. A column n_chars follows the text; other
+    columns, whatever their names, are repeated. Rows that repeat doc_id and text each
+    have a part of their own; no rows give none.
     """
-    names = fresh(docs, "mix_hash", "mix_row", "mix_taken", "mix_size")
-    h, row, taken, size = names
+    doc, h, mine, row, place, taken, size = fresh(docs, "mix_doc", "mix_hash", "mix_own_hash", "mix_row", "mix_own_row", "mix_taken", "mix_size")
     m = mix(docs, doc_id, text, source, **how)
     m = m.withColumn(row, F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("taken")))
-    m = m.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias(h), F.col(row).alias(row + "_"), F.col("taken").alias(taken), F.col("size").alias(size)).where(F.col(taken) > 0)
-    d = docs.withColumn(h + "_", F.xxhash64(text))
-    d = d.withColumn(row, F.row_number().over(Window.partitionBy(doc_id, h + "_").orderBy(text)))
-    j = d.join(m, d[doc_id].eqNullSafe(m["_id"]) & (d[h + "_"] == m[h]) & (d[row] == m[row + "_"]))
+    m = m.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(h), row, F.col("taken").alias(taken), F.col("size").alias(size)).where(F.col(taken) > 0)
+    d = docs.withColumn(mine, F.xxhash64(text))
+    d = d.withColumn(place, F.row_number().over(Window.partitionBy(doc_id, mine).orderBy(text)))
+    j = d.join(m, F.col(doc_id).eqNullSafe(F.col(doc)) & (F.col(mine) == F.col(h)) & (F.col(place) == F.col(row)))
     j = j.select(*docs.columns, taken, size)
     out = j.mapInArrow(_cut(docs.columns, text, taken, size), docs.schema)
     return out.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -6,7 +6,9 @@ sentence is long, every ``GAP`` tokens. The cost of a window is its padding plus
 a penalty for what its end cuts. Padding is linear in the window's start, so the
 best start for an end is a sliding-window minimum, kept in a monotone queue:
 linear time in the number of cut positions. Blocks of the stream are settled one
-after another, so memory is bounded by a block and the longest document.
+after another, so memory is bounded by a block and the longest document. A partition's last
+windows are cut by the same costs; its end is a document's end, so nothing is cut there,
+and what the last window lacks is padding: less than ``length`` tokens a partition.
 """
 
 from __future__ import annotations
@@ -123,15 +125,6 @@ def windows(pos: np.ndarray, cost: np.ndarray, length: int, last: bool) -> np.nd
     return np.array(out[::-1], np.int64)
 
 
-def _powers(start: int, end: int) -> list[int]:
-    """Ends of windows of powers of two that fill start to end."""
-    out = []
-    while start < end:
-        start += 1 << ((end - start).bit_length() - 1)
-        out.append(start)
-    return out
-
-
 class Packer:
     """Packs documents of one stream; ``add`` and ``finish`` return settled pieces."""
 
@@ -154,9 +147,6 @@ class Packer:
         doc_ends = np.cumsum([len(d[1]) - d[2] for d in self.docs])
         pos, cost = cut_positions(ids, doc_ends, self.encoder.ends)
         cuts = windows(pos, cost, self.length, last)
-        if last:  # the rest of the stream, shorter than a window, goes in powers of two
-            tail = int(cuts[-2]) if len(cuts) > 1 else 0
-            cuts = np.array([*cuts[:-1].tolist(), *_powers(tail, len(ids))], np.int64)
         end = int(cuts[-1])
         marks = np.union1d(np.concatenate([[0], cuts]), doc_ends[doc_ends < end])
         doc = np.searchsorted(doc_ends, marks[:-1], side="right")
@@ -181,7 +171,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: in
     A document's ids are those of its text, then END_ID; null text is empty. Each
     id is in exactly one piece. Documents stay in the order of their partition,
     which is never shuffled; sequence ids start anew, apart, in each partition.
-    Rows that repeat a doc_id are packed each on its own.
+    Rows that repeat a doc_id are packed each on its own; equal texts give equal ids;
+    texts of any length are taken whole; other columns are ignored; no rows give none.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
