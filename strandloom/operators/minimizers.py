@@ -96,6 +96,47 @@ def _per_record(df: DataFrame, rec: str, seq: str, columns: str, kernel) -> Data
     return df.select(F.col(rec).alias("rec"), clean(F.col(seq)).alias("seq")).mapInArrow(run, f"rec {kind}, {columns}")
 
 
+#: Windows of a long sequence that are packed at once.
+CHUNK = 1 << 20
+
+
+def packed_kmers(df: DataFrame, k: int, canonical: bool = False, reference_tail: bool = False, rec: str = "rec", seq: str = "seq", chunk: int = CHUNK) -> DataFrame:
+    """(rec, value, position) of every window without a break, packed: two bits a base, k up to 31.
+
+    The order of values is that of the k-mers as strings. reference_tail leaves out a
+    window that ends at the sequence's last base. Null and short sequences give no row.
+    """
+
+    def kernel(s: bytes) -> tuple[np.ndarray, ...]:
+        values, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(s), chunk):  # chunks overlap by k - 1 bases
+            value, valid = packed(s[at : at + chunk + k - 1], k, canonical)
+            pos = np.flatnonzero(valid)
+            values.append(value[pos])
+            places.append(pos + at)
+        value, pos = np.concatenate(values), np.concatenate(places)
+        keep = slice(0, int(np.searchsorted(pos, len(s) - k))) if reference_tail else slice(None)
+        return value[keep], pos[keep]
+
+    return _per_record(df, rec, seq, "value bigint, position bigint", kernel)
+
+
+def kmer_sets(df: DataFrame, k: int, canonical: bool = False, multiset: bool = False, rec: str = "rec", seq: str = "seq") -> DataFrame:
+    """(rec, values, counts): the distinct packed k-mers of each record, ascending; counts are 1 without multiset."""
+    kind = df.schema[rec].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, s in enumerate(b.column(1).to_pylist()):
+                value, valid = packed((s or "").encode(), k, canonical)
+                v, c = np.unique(value[valid].view(np.int64), return_counts=True)
+                c = c if multiset else np.ones(len(v), np.int64)
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), one(v), one(c)], ["rec", "values", "counts"])
+
+    return df.select(F.col(rec).alias("rec"), clean(F.col(seq)).alias("seq")).mapInArrow(run, f"rec {kind}, values array<bigint>, counts array<bigint>")
+
+
 def _changes(at: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Where another minimizer starts: another place, or after a break."""
     return np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (pos[1:] != pos[:-1] + 1)])) if len(at) else at

@@ -1,7 +1,11 @@
-"""Set and multiset similarity: partial aggregates and equi-joins on the element."""
+"""Set and multiset similarity: partial aggregates and equi-joins on the element, or arrays of a record at once."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +48,39 @@ def pair_jaccard(items: DataFrame, pairs: DataFrame, group: str, item: str, mult
     return out.select("a", "b", "i", "u", "n1", "n2", ratio(F.col("i"), F.col("u")).alias("jaccard"))
 
 
+def record_jaccard(collections: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, i, u, n1, n2, jaccard) for given pairs (a, b) of records; collections: (rec, values, counts), values ascending.
+
+    What is local to a record stays in its row: a record's items are shuffled once for
+    each side of its pairs, as two arrays, and a pair's arrays are intersected in a task.
+    A pair's record without a row is empty.
+    """
+    kind_a, kind_b = (pairs.schema[c].dataType.simpleString() for c in ("a", "b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "i", "n1", "n2"]
+        none = np.zeros(0, np.int64)
+
+        def arrays(col: pa.Array) -> list[np.ndarray]:
+            return [none if not v.is_valid else v.values.to_numpy(zero_copy_only=False) for v in col]
+
+        for b in batches:
+            out: list[list[int]] = [[], [], []]
+            for v, c, w, d in zip(*(arrays(b.column(k)) for k in range(2, 6))):
+                at = np.searchsorted(w, v)
+                same = at < len(w)
+                same[same] = w[at[same]] == v[same]
+                out[0].append(int(np.minimum(c[same], d[at[same]]).sum()))
+                out[1].append(int(c.sum()))
+                out[2].append(int(d.sum()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, pa.int64()) for x in out]], names)
+
+    side = lambda at: collections.select(F.col("rec").alias(at), F.col("values").alias(f"v_{at}"), F.col("counts").alias(f"c_{at}"))
+    j = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "v_a", "c_a", "v_b", "c_b")
+    out = j.mapInArrow(run, f"a {kind_a}, b {kind_b}, i bigint, n1 bigint, n2 bigint").withColumn("u", F.col("n1") + F.col("n2") - F.col("i"))
+    return out.select("a", "b", "i", "u", "n1", "n2", ratio(F.col("i"), F.col("u")).alias("jaccard"))
+
+
 def all_pairs_jaccard(items: DataFrame, group: str, item: str, multiset: bool = False) -> DataFrame:
     """(a, b, i, u, n1, n2, jaccard) of all pairs a < b of groups that share an item.
 

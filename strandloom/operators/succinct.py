@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.bits import low_mask, msb
-from strandloom.operators.ordered import delta, global_index, neighbours
+from strandloom.operators.ordered import delta, global_index, neighbours, prefix_sum
 
 
 def bit_words(ones: DataFrame, pos: str = "pos") -> DataFrame:
@@ -166,10 +166,20 @@ def rank_overhead(words: DataFrame, n: int | None = None) -> DataFrame:
     return size.select(F.col("size").alias("bits"), (blocks * 128).cast("bigint").alias("index_bits"), F.round(F.try_divide((blocks * 128).cast("double"), F.col("size").cast("double")), 9).alias("overhead"))
 
 
+def value_runs(values: DataFrame, value: str = "v") -> DataFrame:
+    """(v, first, last): each distinct value of a sequence in ascending order and the indices that it fills.
+
+    Counts come first, so a frequent value is a row like any other, whatever task its elements lie in.
+    """
+    counts = values.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("bigint").alias("v")).agg(F.count("*").alias("n"))
+    p = prefix_sum(counts, "v", "n")
+    return p.select("v", (F.col("prefix") - F.col("n")).alias("first"), (F.col("prefix") - 1).alias("last"))
+
+
 def elias_fano(values: DataFrame, value: str = "v", order: str | None = None) -> DataFrame:
     """(idx, v) of an ascending sequence; with ``order``, a sequence that isn't ascending raises."""
     if order is None:
-        return global_index(values.select(F.col(value).cast("bigint").alias("v")), "v").select("idx", "v")
+        return value_runs(values, value).select(F.explode(F.sequence("first", "last")).alias("idx"), "v")
     d = global_index(values.select(F.col(order).alias("o"), F.col(value).cast("bigint").alias("v")), "o")
     d = delta(d, "idx", "v", "step")
     return d.select("idx", F.when(F.col("step") >= 0, F.col("v")).otherwise(F.raise_error(F.lit("the sequence isn't ascending"))).alias("v"))
@@ -192,22 +202,25 @@ def elias_fano_at(seq: DataFrame, queries: DataFrame, idx: str = "i") -> DataFra
 
 
 def _runs(seq: DataFrame) -> DataFrame:
+    if "first" in seq.columns:
+        return seq
     return seq.groupBy("v").agg(F.min("idx").alias("first"), F.max("idx").alias("last"))
 
 
 def _count(seq: DataFrame) -> DataFrame:
-    return seq.agg(F.count("*").alias("n"))
+    n = F.coalesce(F.max("last") + 1, F.lit(0)) if "first" in seq.columns else F.count("*")
+    return seq.agg(n.alias("n"))
 
 
 def find_less(seq: DataFrame, queries: DataFrame, at: str = "s", ignore_duplicates: bool = False) -> DataFrame:
-    """queries with ``found``: index of the last element < s, or the first of its equals; -1 if none."""
+    """queries with ``found``: index of the last element < s, or the first of its equals; -1 if none. seq: elements or ``value_runs``."""
     found = neighbours(_runs(seq), queries, "v", at)
     side: Column = F.col("below.first") if ignore_duplicates else F.col("below.last")
     return found.withColumn("found", F.coalesce(side, F.lit(-1).cast("bigint"))).drop("below", "above")
 
 
 def find_greater(seq: DataFrame, queries: DataFrame, at: str = "s", ignore_duplicates: bool = False) -> DataFrame:
-    """queries with ``found``: index of the first element > s, or the last of its equals; n if none."""
+    """queries with ``found``: index of the first element > s, or the last of its equals; n if none. seq: elements or ``value_runs``."""
     found = neighbours(_runs(seq), queries, "v", at).join(F.broadcast(_count(seq)), how="cross")  # one row
     side: Column = F.col("above.last") if ignore_duplicates else F.col("above.first")
     return found.withColumn("found", F.coalesce(side, F.col("n"))).drop("below", "above", "n")

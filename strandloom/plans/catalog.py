@@ -58,22 +58,28 @@ _PER_REC = "count(*) AS n, sum(pos)::BIGINT AS positions, min(kmer) AS least, ma
 
 
 def _per_record(found: DataFrame) -> DataFrame:
-    return found.groupBy("rec").agg(F.count("*").alias("n"), _long(F.sum("position"), "positions"), F.min("kmer").alias("least"), F.max("kmer").alias("greatest"))
+    text = lambda v: encoding.unpack(v, K)
+    return found.groupBy("rec").agg(F.count("*").alias("n"), _long(F.sum("position"), "positions"), text(F.min("value")).alias("least"), text(F.max("value")).alias("greatest"))
+
+
+def _kmers(spark, d, name: str = "documents", rec: str = "doc_id", **how) -> DataFrame:
+    """Packed k-mers of a table's texts."""
+    return minimizers.packed_kmers(_dna(spark, d, name, rec), K, **how)
 
 
 @_query(f"WITH dna AS ({sql.dna()}) SELECT rec, {_PER_REC} FROM ({sql.kmers(K)}) GROUP BY rec")
 def kmers_forward(spark, d):
-    return _per_record(kmers.kmers(_dna(spark, d), K))
+    return _per_record(_kmers(spark, d))
 
 
 @_query(f"WITH dna AS ({sql.dna()}), k AS (SELECT rec, pos, {sql.canonical('kmer')} AS kmer FROM ({sql.kmers(K)})) SELECT rec, {_PER_REC} FROM k GROUP BY rec")
 def kmers_canonical(spark, d):
-    return _per_record(kmers.kmers(_dna(spark, d), K, canonical=True))
+    return _per_record(_kmers(spark, d, canonical=True))
 
 
 @_query(f"WITH dna AS ({sql.dna()}) SELECT rec, {_PER_REC} FROM ({sql.kmers(K)}) WHERE pos + {K} < n GROUP BY rec")
 def kmers_reference_tail(spark, d):
-    return _per_record(kmers.kmers(_dna(spark, d), K, reference_tail=True))
+    return _per_record(_kmers(spark, d, reference_tail=True))
 
 
 @_query(f"""WITH dna AS ({sql.dna()}), w AS (SELECT *, lag(kmer) OVER (PARTITION BY rec ORDER BY pos) AS before FROM ({sql.windows(K)})),
@@ -87,12 +93,12 @@ def kmers_with_breaks(spark, d):
 
 @_query(f"WITH dna AS ({sql.dna()}), k AS (SELECT kmer, count(*) AS multiplicity FROM (SELECT {sql.canonical('kmer')} AS kmer FROM ({sql.kmers(K)})) GROUP BY kmer) SELECT multiplicity, count(*) AS kmers FROM k GROUP BY multiplicity")
 def kmer_spectrum(spark, d):
-    return kmers.spectrum(kmers.kmers(_dna(spark, d), K, canonical=True))
+    return kmers.spectrum(_kmers(spark, d, canonical=True), "value")
 
 
 @_query(f"WITH dna AS ({sql.dna()}) SELECT rec, count(DISTINCT kmer) AS distinct_kmers FROM ({sql.kmers(K)}) GROUP BY rec")
 def kmer_distinct(spark, d):
-    return sets.unique(kmers.kmers(_dna(spark, d), K), "rec", "kmer").groupBy("rec").agg(F.count("*").alias("distinct_kmers"))
+    return sets.unique(_kmers(spark, d), "rec", "value").groupBy("rec").agg(F.count("*").alias("distinct_kmers"))
 
 
 @_query(f"WITH dna AS ({sql.dna()}), p AS (SELECT rec, {sql.pack('kmer', K)} AS v FROM ({sql.kmers(K)})) SELECT rec, sum(v)::BIGINT AS packed, min(v) AS least, max(v) AS greatest FROM p GROUP BY rec")
@@ -151,12 +157,12 @@ def _neighbours(spark, d) -> DataFrame:
 
 @_query(_jaccard_sql("1"))
 def kmer_jaccard(spark, d):
-    return sets.pair_jaccard(kmers.kmers(_dna(spark, d), K, canonical=True), _neighbours(spark, d), "rec", "kmer")
+    return sets.record_jaccard(minimizers.kmer_sets(_dna(spark, d), K, canonical=True), _neighbours(spark, d))
 
 
 @_query(_jaccard_sql("count(*)"))
 def kmer_jaccard_multiset(spark, d):
-    return sets.pair_jaccard(kmers.kmers(_dna(spark, d), K, canonical=True), _neighbours(spark, d), "rec", "kmer", multiset=True)
+    return sets.record_jaccard(minimizers.kmer_sets(_dna(spark, d), K, canonical=True, multiset=True), _neighbours(spark, d))
 
 
 def _all_pairs_sql(count: str) -> str:
@@ -168,12 +174,12 @@ SELECT a, b, i, s.n + t.n - i AS u, s.n AS n1, t.n AS n2, round(i::DOUBLE / (s.n
 @_query(_all_pairs_sql("1"))
 def kmer_jaccard_all(spark, d):
     """All pairs of texts that share a k-mer."""
-    return sets.all_pairs_jaccard(kmers.kmers(_dna(spark, d, "benchmark", "item_id"), K, canonical=True), "rec", "kmer")
+    return sets.all_pairs_jaccard(_kmers(spark, d, "benchmark", "item_id", canonical=True), "rec", "value")
 
 
 @_query(_all_pairs_sql("count(*)"))
 def kmer_jaccard_all_multiset(spark, d):
-    return sets.all_pairs_jaccard(kmers.kmers(_dna(spark, d, "benchmark", "item_id"), K, canonical=True), "rec", "kmer", multiset=True)
+    return sets.all_pairs_jaccard(_kmers(spark, d, "benchmark", "item_id", canonical=True), "rec", "value", multiset=True)
 
 
 _TWO = f"dna AS ({sql.dna()}), bench AS ({sql.dna('benchmark', 'item_id')}), x AS (SELECT {sql.canonical('kmer')} AS kmer FROM ({sql.kmers(K)})), y AS (SELECT {sql.canonical('kmer')} AS kmer FROM ({sql.kmers(K, 'bench')}))"
@@ -185,28 +191,29 @@ SELECT sum(least(p, q))::BIGINT AS i, sum(greatest(p, q))::BIGINT AS u, sum(p)::
 
 
 def _two(spark, d) -> tuple[DataFrame, DataFrame]:
-    return kmers.kmers(_dna(spark, d), K, canonical=True), kmers.kmers(_dna(spark, d, "benchmark", "item_id"), K, canonical=True)
+    return _kmers(spark, d, canonical=True), _kmers(spark, d, "benchmark", "item_id", canonical=True)
 
 
 @_query(_whole_sql("max"))
 def jaccard_tables(spark, d):
-    return sets.jaccard(*_two(spark, d), "kmer")
+    return sets.jaccard(*_two(spark, d), "value")
 
 
 @_query(_whole_sql("sum"))
 def jaccard_tables_multiset(spark, d):
-    return sets.jaccard(*_two(spark, d), "kmer", multiset=True)
+    return sets.jaccard(*_two(spark, d), "value", multiset=True)
 
 
 @_query(f"WITH {_TWO}, u AS (SELECT kmer FROM x UNION SELECT kmer FROM y) SELECT substr(kmer, 1, 2) AS prefix, count(*) AS n FROM u GROUP BY 1")
 def set_union(spark, d):
-    return sets.set_union(*_two(spark, d), "kmer").groupBy(F.substring("kmer", 1, 2).alias("prefix")).agg(F.count("*").alias("n"))
+    return sets.set_union(*_two(spark, d), "value").groupBy(F.substring(encoding.unpack(F.col("value"), K), 1, 2).alias("prefix")).agg(F.count("*").alias("n"))
 
 
 @_query(f"WITH dna AS ({sql.dna()}), k AS (SELECT rec, pos, kmer FROM ({sql.kmers(K)})) SELECT kmer, rec, pos AS position FROM k ORDER BY kmer, rec, pos LIMIT 100")
 def external_sort_top(spark, d):
     """The first 100 of the sorted k-mers: the limit is the operator."""
-    return runs.sorted_prefix(kmers.kmers(_dna(spark, d), K), ["kmer", "rec", "position"], 100).select("kmer", "rec", "position")
+    top = runs.sorted_prefix(_kmers(spark, d), ["value", "rec", "position"], 100)
+    return top.select(encoding.unpack(F.col("value"), K).alias("kmer"), "rec", "position")
 
 
 @_query("SELECT event_id, user_id, value, row_number() OVER (ORDER BY value, event_id) - 1 AS idx FROM events")
@@ -592,6 +599,11 @@ def _seq(spark, d) -> DataFrame:
     return succinct.elias_fano(table(spark, d, "lineitem"), "l_partkey")
 
 
+def _values(spark, d) -> DataFrame:
+    """The sequence by its distinct values, which is all that a search looks at."""
+    return succinct.value_runs(table(spark, d, "lineitem"), "l_partkey")
+
+
 def _lookups(spark, d) -> DataFrame:
     return table(spark, d, "part").select((F.col("p_partkey") + F.col("p_size") - 20).alias("s")).distinct()
 
@@ -614,22 +626,22 @@ _RUNS = "r AS (SELECT v, min(idx) AS f, max(idx) AS l FROM seq GROUP BY v)"
 
 @_query(f"WITH {_SEQ}, {_RUNS}, {_LOOK} SELECT s, coalesce(l, -1) AS found FROM q ASOF LEFT JOIN r ON q.s > r.v")
 def ef_lt_find(spark, d):
-    return succinct.find_less(_seq(spark, d), _lookups(spark, d))
+    return succinct.find_less(_values(spark, d), _lookups(spark, d))
 
 
 @_query(f"WITH {_SEQ}, {_RUNS}, {_LOOK} SELECT s, coalesce(f, -1) AS found FROM q ASOF LEFT JOIN r ON q.s > r.v")
 def ef_lt_find_unique(spark, d):
-    return succinct.find_less(_seq(spark, d), _lookups(spark, d), ignore_duplicates=True)
+    return succinct.find_less(_values(spark, d), _lookups(spark, d), ignore_duplicates=True)
 
 
 @_query(f"WITH {_SEQ}, {_RUNS}, {_LOOK} SELECT s, coalesce(f, (SELECT count(*) FROM seq)) AS found FROM q ASOF LEFT JOIN r ON q.s < r.v")
 def ef_gt_find(spark, d):
-    return succinct.find_greater(_seq(spark, d), _lookups(spark, d))
+    return succinct.find_greater(_values(spark, d), _lookups(spark, d))
 
 
 @_query(f"WITH {_SEQ}, {_RUNS}, {_LOOK} SELECT s, coalesce(l, (SELECT count(*) FROM seq)) AS found FROM q ASOF LEFT JOIN r ON q.s < r.v")
 def ef_gt_find_unique(spark, d):
-    return succinct.find_greater(_seq(spark, d), _lookups(spark, d), ignore_duplicates=True)
+    return succinct.find_greater(_values(spark, d), _lookups(spark, d), ignore_duplicates=True)
 
 
 # ---- codes -------------------------------------------------------------------

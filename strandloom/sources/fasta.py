@@ -36,7 +36,7 @@ def fastq_records(lines: Iterable[str]) -> Iterator[tuple[str, str | None, str,
         if not head.strip():
             continue
         if not head.startswith("@"):
-            raise ValueError("FASTQ: a record doesn't begin with @")
+            raise ValueError("FASTQ: a record is malformed: it doesn't begin with @")
         seq, qual = [], []
         for line in it:
             if line.startswith("+"):
@@ -46,13 +46,13 @@ def fastq_records(lines: Iterable[str]) -> Iterator[tuple[str, str | None, str,
         while have < len(bases):
             line = next(it, None)
             if line is None:
-                raise ValueError("FASTQ: a quality is too short")
+                raise ValueError("FASTQ: a record is malformed: its quality is too short")
             qual.append(line)
             have += len(line)
         if have > len(bases):
-            raise ValueError("FASTQ: a quality is too long")
-        name, _, comment = head[1:].partition(" ")
-        yield name, comment.strip() or None, bases, "".join(qual)
+            raise ValueError("FASTQ: a record is malformed: its quality is too long")
+        name, *comment = head[1:].split(None, 1) if head[1:2].strip() else ["", head[1:]]
+        yield name, ("".join(comment).strip() or None), bases, "".join(qual)
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:

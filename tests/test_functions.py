@@ -38,6 +38,20 @@ def test_hashes_of_bytes(spark):
     assert [r[0] for r in df.select(hashing.hash_bytes(F.col("s"))).collect()] == [signed(0xCBD8A7B341BD9B02), None]
 
 
+def test_hash_of_byte_strings(spark):
+    """Every length around the block size against the scalar form; nulls stay."""
+    texts = [bytes((7 * i + n) % 256 for i in range(n)) for n in range(70)] + [b"same", b"same"]
+    df = spark.createDataFrame([(bytearray(t),) for t in texts] + [(None,)], "x binary")
+    got = [r[0] for r in df.select(hashing.hash_bytes(F.col("x"), 42)).collect()]
+    assert got == [signed(hashing.murmur128(t, 42)[0]) for t in texts] + [None]
+
+
+def test_widths():
+    assert bits.bit_width("bigint") == 64 and bits.bit_width("boolean") == 1
+    with pytest.raises(TypeError):
+        bits.bit_width("string")
+
+
 def test_remix(spark):
     got = [r[0] for r in spark.createDataFrame([(1,), (2,)], "x long").select(hashing.remix(F.col("x"))).collect()]
     assert got == [6238072747940578789, signed(15839785061582574730)]
@@ -69,6 +83,8 @@ def test_bytes_rank(spark):
     got = [r[0] for r in df.select(bits.bytes_rank1(F.col("r"), F.col("i"))).collect()]
     flat = [raw[i // 8] >> i % 8 & 1 for i in range(24)]
     assert got == [sum(flat[: i + 1]) for i in range(24)]
+    with pytest.raises(Exception, match="bit 24 of 24"):
+        df.select(bits.bytes_rank1(F.col("r"), F.lit(24))).collect()
 
 
 def test_encoding(spark):

@@ -2,11 +2,12 @@
 
 import gzip
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.functions import hashing
+from strandloom.functions import encoding, hashing
 from strandloom.operators import kmers, minimizers, sets, simulate
 from strandloom.sources import fasta, storage
 from strandloom.streaming import views
@@ -118,10 +119,56 @@ def test_random_and_mutated(spark):
     for r in simulate.mutate(s, 0.1, 0.5, 0.4).collect():
         assert len(r.seq) == 300 + r.indel_bases
     assert {r.seq == base[r.rec] for r in simulate.mutate(s, 0.0).collect()} == {True}
+    for r in simulate.mutate(s, 0.02, 1.0, 0.99, longest=7).collect():
+        assert sum(int(n) for n, op in re.findall(r"(\d+)([ID])", r.cigar)) <= 7 * (r.insertions + r.deletions)  # neighbours are joined
+    assert any(int(n) > 64 for r in simulate.mutate(s, 0.02, 1.0, 0.99).collect() for n, op in re.findall(r"(\d+)([ID])", r.cigar))
     with pytest.raises(ValueError):
         simulate.mutate(s, 2.0)
 
 
+def test_mutations_replay(spark):
+    """A cigar walks from the base sequence to the mutated one."""
+    s = simulate.random_dna(spark.range(20).withColumnRenamed("id", "rec"), 300)
+    base = dict(map(tuple, s.collect()))
+    for r in simulate.mutate(s, 0.1, 0.5, 0.4).collect():
+        at = new = 0
+        for n, op in re.findall(r"(\d+)([MXID])", r.cigar):
+            n = int(n)
+            if op in "MX":
+                assert all((x == y) == (op == "M") for x, y in zip(base[r.rec][at : at + n], r.seq[new : new + n]))
+            at, new = at + n * (op != "I"), new + n * (op != "D")
+        assert (at, new) == (300, len(r.seq))
+
+
+def test_packed_kmers_equal_strings(spark):
+    """In chunks, on breaks, canonical or not, with and without the tail."""
+    df = spark.createDataFrame([(1, "ACGTNACGTTGCANNNTTTTACGATCGATCGGCTAGCTAGGATCG" * 3), (2, "AC"), (3, None), (4, ""), (5, "ACGTA")], "rec long, seq string")
+    for canonical in (False, True):
+        for tail in (False, True):
+            want = kmers.kmers(df, 5, canonical=canonical, reference_tail=tail).select("rec", encoding.pack(F.col("kmer")), "position").collect()
+            got = minimizers.packed_kmers(df, 5, canonical, tail, chunk=16).collect()
+            assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
+
+
+def test_record_jaccard_equals_joins(spark):
+    r = random.Random(1)
+    df = spark.createDataFrame([(i, "".join(r.choice("ACGT") for _ in range(40))) for i in range(6)] + [(6, "A"), (7, None)], "rec long, seq string")
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (3, 3), (4, 6), (6, 7), (5, 99)], "a long, b long")
+    for multiset in (False, True):
+        want = sets.pair_jaccard(kmers.kmers(df, 3), pairs, "rec", "kmer", multiset).collect()
+        got = sets.record_jaccard(minimizers.kmer_sets(df, 3, multiset=multiset), pairs).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    every = {(x.a, x.b): tuple(x) for x in sets.all_pairs_jaccard(kmers.kmers(df, 3), "rec", "kmer").collect()}
+    for x in sets.pair_jaccard(kmers.kmers(df, 3), spark.createDataFrame([(i, j) for j in range(8) for i in range(j)], "a long, b long"), "rec", "kmer").collect():
+        assert every.get((x.a, x.b)) == (tuple(x) if x.i else None)
+
+
+def test_parameters():
+    assert kmers.parameters(15, 10, True) == {"k": 15, "m": 10, "canonical": True, "bits": 30, "window": 6}
+    with pytest.raises(ValueError):
+        kmers.parameters(5, 6)
+
+
 def test_fasta(spark, tmp_path):
     text = ">a first one\nACGT\nAC\n\n>b\nGG\n>c\tx > y\nTT\n"
     (tmp_path / "a.fa").write_text(text)
@@ -138,6 +185,8 @@ def test_fasta(spark, tmp_path):
 def test_fastq(spark, tmp_path):
     (tmp_path / "a.fq").write_text("@r1 c\nACG\n+\n@@@\n@r2\nT\n+r2\nI\n")
     assert sorted(map(tuple, fasta.read_fastq(spark, f"file://{tmp_path}/a.fq").collect())) == [("r1", "c", "ACG", "@@@"), ("r2", None, "T", "I")]
+    (tmp_path / "many.fq").write_text("@r1 c\nACG\nTA\n+\n@@@\n+I\n\n@r2\tx y\nT\n+r2\n@\n@e\n+\n")
+    assert list(map(tuple, fasta.read_fastq(spark, f"file://{tmp_path}/many.fq").collect())) == [("r1", "c", "ACGTA", "@@@+I"), ("r2", "x y", "T", "@"), ("e", None, "", "")]
     (tmp_path / "bad.fq").write_text("@r1\nACG\n+\nII\n")
     with pytest.raises(Exception, match="malformed"):
         fasta.read_fastq(spark, f"file://{tmp_path}/bad.fq").collect()

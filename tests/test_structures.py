@@ -15,6 +15,30 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
+def test_value_runs(spark):
+    """A frequent value, nulls and an empty table; searches give the same from elements and from runs."""
+    r = random.Random(2)
+    values = [7] * 500 + [r.randrange(40) for _ in range(200)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v long")
+    found, ordered_values = succinct.value_runs(df), sorted(values)
+    assert {r.v: (r.first, r.last) for r in found.collect()} == {v: (ordered_values.index(v), len(ordered_values) - 1 - ordered_values[::-1].index(v)) for v in values}
+    seq = succinct.elias_fano(df)
+    assert [r.v for r in seq.orderBy("idx").collect()] == ordered_values
+    q = spark.createDataFrame([(s,) for s in range(-1, 42)], "s long")
+    for find in (succinct.find_less, succinct.find_greater):
+        for once in (False, True):
+            assert sorted(find(found, q, ignore_duplicates=once).collect()) == sorted(find(seq, q, ignore_duplicates=once).collect())
+    assert succinct.value_runs(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("cuts", [[], [5], list(range(0, 900, 7)), list(range(200))])
+def test_blocks_by_binary_search(spark, cuts):
+    from strandloom.operators.ordered import block_of
+
+    got = spark.range(-3, 950, 1).select("id", block_of(F.col("id"), cuts)).collect()
+    assert all(b == sum(c < v for c in cuts) for v, b in got)
+
+
 def test_run_lengths(spark):
     values = [0] * 10 + [1] * 8 + [2] + [3] * 11
     df = spark.createDataFrame([(0, i, v) for i, v in enumerate(values)] + [(1, 0, None), (1, 1, None), (1, 2, 5)], "g int, i int, v int")
