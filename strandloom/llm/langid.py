@@ -188,12 +188,16 @@ class Scorer:
 
 
 def training_windows(docs: DataFrame, doc_id: str, text: str, lang: str, per_lang: int, per_doc: int) -> DataFrame:
-    """(lang, window): up to about per_lang documents of each language, by a seeded hash of the id."""
+    """(lang, window): up to about per_lang documents of each language, by a seeded hash of the id and text.
+
+    Rows that repeat an id and text count once.
+    """
     d = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"), F.col(lang).alias("_l"))
     d = d.where(F.col("_l").isNotNull() & F.col("_t").rlike(r"\p{L}"))
     share = d.groupBy("_l").count().select(F.col("_l").alias("_k"), (F.lit(per_lang) / F.col("count")).alias("_s"))
     d = d.join(F.broadcast(share), F.col("_l") == F.col("_k"))  # a row per language
-    d = d.where(F.pmod(F.xxhash64("_id", F.lit(77)), F.lit(1 << 30)) < F.col("_s") * (1 << 30))
+    d = d.where(F.pmod(F.xxhash64("_id", "_t", F.lit(77)), F.lit(1 << 30)) < F.col("_s") * (1 << 30))
+    d = d.groupBy("_l", "_id", F.xxhash64("_t").alias("_h")).agg(F.min("_t").alias("_t"))
     d = d.select("_l", "_id", F.encode("_t", "UTF-8").alias("_r"), F.explode(F.sequence(F.lit(0), F.lit(per_doc - 1))).alias("_j"))
     at = F.pmod(F.xxhash64("_id", "_j"), F.greatest(F.octet_length("_r") - (WINDOW - 1), F.lit(1))) + 1
     return d.select(F.col("_l").alias("lang"), F.substring("_r", at.cast("int"), F.lit(WINDOW)).alias("window"))
@@ -210,7 +214,12 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 def identify(docs: DataFrame, net: Network | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) per row. Null texts and texts without a letter are ``und`` with score 0."""
+    """(doc_id, lang_pred, score) per row. Null texts and texts without a letter are ``und`` with score 0.
+
+    Whole texts of any length are read, in windows; equal texts fare alike, so repeated
+    rows do; of equal probabilities the first language by code point wins; an empty table
+    gives no row; other columns are ignored.
+    """
     kind = docs.schema[doc_id].dataType.simpleString()
     d = docs.select(F.col(doc_id).alias("doc_id"), F.when(F.col(text).rlike(r"\p{L}"), F.col(text)).alias("text"))
     if net is None:

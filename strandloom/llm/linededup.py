@@ -41,6 +41,8 @@ K, ROWS, BANDS, THRESHOLD = 7, 4, 8, 0.8
 EXPECTED, ORDERED = 3, 40
 #: Longs of a parity sketch; drawn pivots of a bucket; lines of a block of a hot bucket.
 WORDS, PIVOTS, BLOCK = 16, 1, 1024
+#: Tasks over which a component's lines are dealt.
+SALTS = 16
 #: Candidate lines are looked up by a broadcast join up to this many, else by shuffling.
 BROADCAST_LINES = 500_000
 SPACE = " \t\n\r\x0b\x0c"
@@ -236,10 +238,13 @@ def line_components(occ: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named = texts.select("p", "q").join(labels.select(F.col("node").alias("p"), "label"), "p")
     found = occ.groupBy("p", "q").agg(F.min(place).alias("place"), F.count("*").alias("n"))
     found = found.join(named, ["p", "q"], "left").where("n > 1 or label is not null")
-    # A form without links is its own component: p can't be another component's label then, as labels have links.
     found = materialize(found.select("p", "q", "place", "label"), "line-found")
     keep = found.where("label is not null").groupBy("label").agg(F.min("place").alias("keep"))
-    out = found.join(keep, "label", "left").select("p", "q", F.coalesce("keep", "place").alias("keep"))
+    # A form without links is its own component; its p is no label, as labels have links.
+    # A component may hold a large part of all forms: its rows are dealt over SALTS tasks, its kept line goes to each.
+    dealt = found.withColumns({"key": F.coalesce("label", "p"), "salt": F.pmod("q", F.lit(SALTS)).cast("int")})
+    keep = keep.select(F.col("label").alias("key"), "keep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    out = dealt.join(keep, ["key", "salt"], "left").select("p", "q", F.coalesce("keep", "place").alias("keep"))
     out = materialize(out, "line-components")
     discard(b, texts, labels, found)
     return out

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import materialize
 
 WIDTH = 64
+#: A digest with more references than HOT is dealt over PARTS tasks.
+HOT, PARTS, BROADCAST_DIGESTS = 1000, 16, 100_000
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,alt:string,caption:string>>"
 HIDDEN = {"script", "style", "template", "noscript"}
@@ -176,14 +178,28 @@ def media_features(stored: DataFrame) -> DataFrame:
     return f.dropDuplicates(["digest"])
 
 
-def resolve(items: DataFrame, media: DataFrame) -> DataFrame:
+def hot_digests(stored: DataFrame) -> DataFrame | None:
+    """(digest) of payloads with more than HOT references; None where they are too many to broadcast."""
+    hot = stored.groupBy("digest").count().where(F.col("count") > HOT).select("digest")
+    return hot if hot.count() <= BROADCAST_DIGESTS else None
+
+
+def resolve(items: DataFrame, media: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Media references of (id, items) rows beside the columns of their digest in media.
 
-    A reference without a payload keeps its place, with nulls.
+    A reference without a payload keeps its place, with nulls. References to a digest
+    of ``hot`` are dealt over PARTS tasks, and its row in media goes to each.
     """
     refs = items.select("id", F.explode("items").alias("i")).where("i.kind = 'media'")
     refs = refs.select("id", F.col("i.position").alias("position"), F.col("i.digest").alias("digest"), F.col("i.caption").alias("caption"))
-    return refs.join(media, "digest", "left")
+    if hot is None:
+        return refs.join(media, "digest", "left")
+    mark = F.broadcast(hot.withColumn("hot", F.lit(True)))  # BROADCAST_DIGESTS rows at most
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("id", "position"), F.lit(PARTS)).cast("int")).otherwise(0)
+    refs = refs.join(mark, "digest", "left").withColumn("part", part).drop("hot")
+    every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    media = media.join(mark, "digest", "left").withColumn("part", F.explode(every)).drop("hot")
+    return refs.join(media, ["digest", "part"], "left").drop("part")
 
 
 def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,10 +234,11 @@ def text_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature, position, caption) per row of docs. Null text is empty:
-    one row of zeros. Repeated rows come back as often.
+    one row of zeros. Repeated rows come back as often, copies have equal values,
+    texts of any length are stored whole, other columns are ignored.
     """
     stored = materialize(store_texts(docs, doc_id, text), "media-store")
     media = media_features(stored.where("media is not null").select("digest", "media"))
-    found = resolve(interleave(stored, "doc_id", "html"), media)
+    found = resolve(interleave(stored, "doc_id", "html"), media, hot_digests(stored))
     n: Column = F.regexp_extract("caption", r"^(\d+)", 1).cast("long")
     return found.select(F.col("id").alias("doc_id"), n.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

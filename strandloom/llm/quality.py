@@ -162,8 +162,8 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Trees:
     """Trees from labelled documents: all of them, or about ``sample`` by a seeded hash of the id.
 
-    A doc_id with several labels counts with their mean, rounded; rows with a
-    null id or label are left out. Sampled ids, at most a small multiple of
+    A doc_id with several labels counts with their mean, rounded; one with several
+    texts counts once, with the least; rows with a null id or label are left out. Sampled ids, at most a small multiple of
     ``sample`` numbers, are broadcast.
     """
     lab = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.round(F.avg(label)).alias("_y"))
@@ -171,7 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     if n > sample:
         lab = lab.where(F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
     d = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"))
-    got = d.join(F.broadcast(lab), "_id").select("_t", F.col("_y").cast("double")).mapInPandas(_features, "y double, x array<double>").toPandas()
+    got = d.join(F.broadcast(lab), "_id").groupBy("_id", "_y").agg(F.min("_t").alias("_t")).select("_t", F.col("_y").cast("double")).mapInPandas(_features, "y double, x array<double>").toPandas()
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
     order = np.lexsort([*x.T, got["y"]])  # the same trees whatever order the rows come in
     return fit(x[order], got["y"].to_numpy(float)[order])
@@ -181,6 +181,8 @@ def assess(docs: DataFrame, trees: Trees, doc_id: str = "doc_id", text: str = "t
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, score, kept.
 
+    Repeated rows fare alike, a score at the threshold is kept, texts of any length are
+    read whole, an empty table gives no row, and columns may have any names.
     base_failed: fewer than 50 words, or over half of them in repeated three-word
     windows. kept: not base_failed and score >= threshold. Null text is empty.
     With ``carry``, the rows of docs that are kept, with their own columns.

@@ -15,6 +15,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark import TaskContext
@@ -55,6 +56,15 @@ def _clean(value: object) -> bytes:
     return b" ".join(str(value).encode().splitlines())
 
 
+def _name(page: object) -> bytes:
+    """An id with its blanks and line ends escaped."""
+    return quote(str(page), safe="").encode()
+
+
+def _named(value: str | None) -> str | None:
+    return None if value is None else unquote(value)
+
+
 def member(page: object, url: str | None, payload: bytes, digest: str, refers_to: object = None, date: str = "2000-01-01T00:00:00Z") -> bytes:
     """One record as a gzip member; with ``refers_to`` a revisit without payload."""
     revisit = refers_to is not None
@@ -64,9 +74,9 @@ def member(page: object, url: str | None, payload: bytes, digest: str, refers_to
     if url is not None:
         head.append(b"WARC-Target-URI: " + _clean(url))
     if page is not None:
-        head.append(b"Page-ID: " + _clean(page))
+        head.append(b"Page-ID: " + _name(page))
     if revisit:
-        head += [b"WARC-Profile: " + PROFILE, b"WARC-Refers-To: " + record_id(refers_to, digest), b"Refers-To-Page-ID: " + _clean(refers_to)]
+        head += [b"WARC-Profile: " + PROFILE, b"WARC-Refers-To: " + record_id(refers_to, digest), b"Refers-To-Page-ID: " + _name(refers_to)]
     head += [b"Content-Type: application/http; msgtype=response", b"WARC-Payload-Digest: sha256:" + digest.encode(), b"WARC-Block-Digest: sha256:" + hashlib.sha256(block).hexdigest().encode(), b"Content-Length: %d" % len(block)]
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress(b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
@@ -204,7 +214,7 @@ def read_archives(manifest: DataFrame, kind: str = "long") -> DataFrame:
                 with open_shared(path, "rb") as f:
                     for r in read_records(f):
                         h = r["headers"]
-                        rows.append((h.get("page-id"), r["payload_bytes"], r["payload_digest"], h["warc-type"], h.get("refers-to-page-id"), h.get("warc-target-uri")))
+                        rows.append((_named(h.get("page-id")), r["payload_bytes"], r["payload_digest"], h["warc-type"], _named(h.get("refers-to-page-id")), h.get("warc-target-uri")))
                         done += 1
                         if len(rows) == 4096:
                             yield _rows(rows)

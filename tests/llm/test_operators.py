@@ -80,6 +80,9 @@ def test_warc(spark):
         again = h == page and i != 1
         assert (got[i].record_type, got[i].refers_to) == (("revisit", 1) if again else ("response", None))
     assert warc.round_trip(df.limit(0)).count() == 0
+    odd = [(" a", "u", page), ("a ", "u", page), ("b\nc: d", "u", page), ("%41", None, "x"), ("", "u", "y"), ("é", "u", "z")]
+    back = {r.page_id: r.refers_to for r in warc.round_trip(spark.createDataFrame(odd, "page_id string, url string, html string")).collect()}
+    assert back == {" a": None, "a ": " a", "b\nc: d": " a", "%41": None, "": None, "é": None}
 
 
 def test_mix(docs, none):
@@ -157,6 +160,52 @@ def test_language(spark, none):
     assert [r.lang_pred for r in langid.identify(df.limit(1), None).collect()] == ["und"]
 
 
+def plain_network(net, raw):
+    """Mean probabilities of a text, position by position in windows of the operator's width."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    h, total, n = net.u.shape[1], np.zeros(len(net.classes)), len(raw)
+    padded = raw.ljust(langid.WINDOW)
+    for at in range(0, n, langid.WINDOW):
+        start = max(0, min(at, n - langid.WINDOW))
+        window = padded[start : start + langid.WINDOW]
+        states = np.zeros((2, len(window), h))
+        for d in (0, 1):
+            s = np.zeros(h)
+            for t in range(len(window)) if d == 0 else reversed(range(len(window))):
+                a, g = net.wx[d][window[t]] + net.b[d], s @ net.u[d]
+                z, r = sig(a[:h] + g[:h]), sig(a[h : 2 * h] + g[h : 2 * h])
+                s = (1 - z) * np.tanh(a[2 * h :] + r * g[2 * h :]) + z * s
+                states[d, t] = s
+        for t in range(at - start, min(n, start + langid.WINDOW) - start):
+            e = np.exp(states[0, t] @ net.wo[0] + states[1, t] @ net.wo[1] + net.bo)
+            total += e / e.sum()
+    return total / n
+
+
+def test_language_scorer_equals_a_plain_network():
+    net = langid.new_network(["aa", "bb", "cc"], seed=3)
+    r = random.Random(9)
+    texts = ["".join(r.choice("abc dé") for _ in range(n)).encode() for n in (1, 5, 63, 64, 65, 128, 300)]
+    got = langid.Scorer(net).documents(texts, batch=4)
+    assert got == pytest.approx(np.array([plain_network(net, t) for t in texts]), abs=1e-5)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="no test tables")
+def test_held_out_accuracy(spark):
+    """Languages and quality of documents that training hasn't seen."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = langid.held_out(d)
+    found = langid.identify(d, langid.learn(d.where(~out))).join(d.where(out & F.col("lang").isNotNull()).select("doc_id", "lang"), "doc_id")
+    right = [r.lang == r.lang_pred for r in found.where("lang_pred <> 'und'").collect()]
+    assert len(right) > 200 and sum(right) >= 0.98 * len(right)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    trees = quality.learn(d, labels.where("doc_id % 3 <> 0"))
+    both = quality.assess(d, trees).join(labels.where("doc_id % 3 = 0"), "doc_id").select("quality", "score").collect()
+    good, bad = ([r.score for r in both if r.quality == k] for k in (1, 0))
+    above = sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad))
+    assert above >= 0.7, above
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(i, i % 2, 0, "z") for i in range(60)] + [(None, 1, 0, "z"), (3, None, 0, "z"), (4, 0, 1, "z")], "doc_id long, quality int, toxic int, text string")
     trees = quality.learn(docs, labels)
@@ -381,6 +430,9 @@ def test_media_sequences_stay_aligned(spark):
     got = sorted((r.id or 0, r.position, r.caption, r.payload_bytes) for r in media.resolve(items, media.media_features(stored)).collect())
     one = [(1, "cap 1", 64), (3, "cap 2", None), (5, "cap 3", 64), (6, "cap 4", 320)]
     assert got == sorted([(0, 0, "cap 5", 64), *((i, *x) for i in (1, 2) for x in one)])
+    hot = spark.createDataFrame([(name(a),)], "digest string")
+    salted = media.resolve(items, media.media_features(stored), hot)
+    assert sorted((r.id or 0, r.position, r.caption, r.payload_bytes) for r in salted.collect()) == got
 
 
 def test_real_pages_keep_their_text(spark):
