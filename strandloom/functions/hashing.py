@@ -168,6 +168,61 @@ def murmur128_np(rows: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarra
         return a, b + a
 
 
+def _rot32(x: np.ndarray, r: int) -> np.ndarray:
+    return (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+
+
+def _mix32(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
+def murmur32_np(values: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The 32-bit hash of 8-byte little-endian keys."""
+    h = np.full(len(values), seed & MASK32, np.uint32)
+    with np.errstate(over="ignore"):
+        for k in (values & np.uint64(MASK32), values >> np.uint64(32)):
+            k = _rot32(k.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+            h = _rot32(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        return _mix32(h ^ np.uint32(8))
+
+
+def murmur128_x86_np(values: np.ndarray, seed: int = 0) -> list[np.ndarray]:
+    """The 128-bit hash of 8-byte little-endian keys in four 32-bit lanes."""
+    c = [np.uint32(x) for x in (0x239B961B, 0xAB0E9789, 0x38B34AE5)]
+    low, high = (values & np.uint64(MASK32)).astype(np.uint32), (values >> np.uint64(32)).astype(np.uint32)
+    s = np.full(len(values), seed & MASK32, np.uint32)
+    with np.errstate(over="ignore"):
+        h = [s ^ _rot32(low * c[0], 15) * c[1], s ^ _rot32(high * c[1], 16) * c[2], s, s]
+        h = [x ^ np.uint32(8) for x in h]
+        for last in (False, True):
+            h[0] = h[0] + h[1] + h[2] + h[3]
+            h[1:] = [x + h[0] for x in h[1:]]
+            h = h if last else [_mix32(x) for x in h]
+    return h
+
+
+def hash32(value: Column, seed: int = 0) -> Column:
+    """The 32-bit hash of a BIGINT, as a BIGINT."""
+
+    @F.arrow_udf("bigint")
+    def run(x: pa.Array) -> pa.Array:
+        return _longs(x, lambda v: murmur32_np(v, seed).astype(np.uint64))
+
+    return run(value.cast("bigint"))
+
+
+def hash128_x86(value: Column, seed: int = 0) -> Column:
+    """The four 32-bit lanes of the 128-bit hash of a BIGINT as STRUCT<h1, h2, h3, h4>."""
+
+    @F.arrow_udf("h1 bigint, h2 bigint, h3 bigint, h4 bigint")
+    def run(x: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([_longs(x, lambda v, i=i: murmur128_x86_np(v, seed)[i].astype(np.uint64)) for i in range(4)], ["h1", "h2", "h3", "h4"])
+
+    return run(value.cast("bigint"))
+
+
 def hash_bytes(value: Column, seed: int = 0) -> Column:
     """First word of the 128-bit hash of a string's or binary's bytes."""
 

@@ -10,21 +10,41 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.hashing import remix_np
+from strandloom.functions.hashing import double_hash64_np, remix_np
 
 
-def uniform(*keys: Column | int) -> Column:
-    """A number in [0, 1) for its keys."""
-    h = F.xxhash64(*[F.lit(k) if isinstance(k, int) else k for k in keys])
-    return F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
+def _key(df: DataFrame, rec: str) -> tuple[str, Column]:
+    """The type of a record's name and a number for it: itself if it is a whole one."""
+    kind = df.schema[rec].dataType.simpleString()
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    return kind, F.coalesce(F.col(rec).cast("bigint"), F.lit(-1)) if whole else F.xxhash64(rec)
 
 
 def random_dna(df: DataFrame, length: int | Column, seed: int = 42, rec: str = "rec") -> DataFrame:
-    """(rec, seq): a uniform sequence for each record."""
+    """(rec, seq): a uniform sequence for each record, base i from the hash of (record, i).
+
+    Whole-number records are their own key, others take a hash. A null length gives a
+    null sequence, one of 0 or less an empty one.
+    """
+    kind, key = _key(df, rec)
     n = F.lit(length) if isinstance(length, int) else length
-    base = lambda i: F.substring(F.lit("ACGT"), F.floor(uniform(seed, F.col(rec), i) * 4).cast("int") + 1, F.lit(1))
-    seq = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), base), "")).otherwise("")
-    return df.select(F.col(rec).alias("rec"), seq.alias("seq"))
+    letters = np.frombuffer(b"ACGT", np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k, size in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if size is None:
+                    out.append(None)
+                    continue
+                start = np.uint64((k << 32) & (2**64 - 1))
+                with np.errstate(over="ignore"):
+                    h = double_hash64_np(start + np.arange(max(0, size), dtype=np.uint64), seed)[0]
+                out.append(letters[(h >> np.uint64(62)).astype(np.int64)].tobytes().decode())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["rec", "seq"])
+
+    d = df.select(F.col(rec).alias("rec"), key.alias("key"), n.cast("bigint").alias("n"))
+    return d.mapInArrow(run, f"rec {kind}, seq string")
 
 
 def _draws(key: int, n: int, salt: int) -> np.ndarray:
@@ -96,14 +116,15 @@ def mutate(df: DataFrame, rate: float, indel_fraction: float = 0.0, extension: f
     """
     if not all(0 <= p <= 1 for p in (rate, indel_fraction, extension)):
         raise ValueError("rates lie between 0 and 1")
-    kind = df.schema[rec].dataType.simpleString()
+    kind, key = _key(df, rec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         for b in batches:
-            rows = [mutated(s, k & (2**64 - 1), rate, indel_fraction, extension, longest) for k, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            keys = double_hash64_np(b.column(1).to_numpy(zero_copy_only=False).view(np.uint64), seed)[0].tolist()
+            rows = [mutated(s, k, rate, indel_fraction, extension, longest) for k, s in zip(keys, b.column(2).to_pylist())]
             cols = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds)]], ["rec", "seq", "substitutions", "insertions", "deletions", "indel_bases", "cigar"])
 
-    d = df.where(F.col(seq).isNotNull()).select(F.col(rec).alias("rec"), F.xxhash64(F.lit(seed), rec).alias("key"), F.col(seq).alias("seq"))
+    d = df.where(F.col(seq).isNotNull()).select(F.col(rec).alias("rec"), key.alias("key"), F.col(seq).alias("seq"))
     return d.mapInArrow(run, f"rec {kind}, seq string, substitutions bigint, insertions bigint, deletions bigint, indel_bases bigint, cigar string")

@@ -358,6 +358,13 @@ def hash_texts(spark, d):
     return table(spark, d, "orders").select("o_orderkey", hashing.hash_bytes(F.col("o_orderpriority"), 42).alias("h"))
 
 
+@_query(f"WITH src AS (SELECT o_orderkey, o_orderkey::uhugeint * 2654435761::uhugeint AS x FROM orders), {sql.hashed_x86('src', 'x', 42)} SELECT o_orderkey, h32::BIGINT AS h32, g1::BIGINT AS h1, g2::BIGINT AS h2, g3::BIGINT AS h3, g4::BIGINT AS h4 FROM hx")
+def hash_x86(spark, d):
+    x = F.col("o_orderkey") * 2654435761
+    t = table(spark, d, "orders").select("o_orderkey", hashing.hash32(x, 42).alias("h32"), hashing.hash128_x86(x, 42).alias("h"))
+    return t.select("o_orderkey", "h32", "h.h1", "h.h2", "h.h3", "h.h4")
+
+
 _RATE = 0.125
 
 
@@ -734,6 +741,31 @@ def fastq_round_trip(spark, d):
     return fasta.read_fastq(spark, path).select("name", "comment", F.md5("seq").alias("digest"), F.md5("qual").alias("quality"))
 
 
+@_query(f"WITH src AS (SELECT c_custkey AS rec, range AS i, c_custkey::uhugeint * 4294967296::uhugeint + range::uhugeint AS x FROM customer, range(0, 100)), {sql.hashed('src', 'x', 42)} SELECT rec, string_agg(substr('ACGT', (h1 >> 62)::INT + 1, 1), '' ORDER BY i) AS seq FROM hv GROUP BY rec")
+def random_bases(spark, d):
+    """A uniform sequence of 100 bases for each customer: drawn by hash, so SQL can draw it too."""
+    return simulate.random_dna(table(spark, d, "customer"), 100, rec="c_custkey")
+
+
+def _draw_sql(salt: int) -> str:
+    """The draw of position i of a record with the key h1, as a number in [0, 1)."""
+    z = f"((((i::uhugeint * 11400714819323198485::uhugeint) & {sql.M64}) + ((h1 * 11400714819323198485::uhugeint) & {sql.M64}) + {salt * 0xD1342543DE82EF95 % 2**64}::uhugeint) & {sql.M64})"
+    for shift, by in ((30, _R1), (27, _R2)):
+        z = f"((xor({z}, {z} >> {shift}) * {by}) & {sql.M64})"
+    return f"((xor({z}, {z} >> 31) >> 11)::DOUBLE / 9007199254740992)"
+
+
+@_query(f"""WITH src AS (SELECT c_custkey AS rec, range AS i, c_custkey::uhugeint * 4294967296::uhugeint + range::uhugeint AS x FROM customer, range(0, 60)), {sql.hashed('src', 'x', 42)},
+base AS (SELECT rec, i, substr('ACGT', (h1 >> 62)::INT + 1, 1) AS c FROM hv), names AS (SELECT c_custkey AS rec, c_custkey::uhugeint AS y FROM customer), {sql.hashed('names', 'y', 42, 'hk')},
+d AS (SELECT rec, i, c, {_draw_sql(0)} AS hit, {_draw_sql(4)} AS pick FROM base JOIN hk USING (rec)),
+m AS (SELECT rec, i, hit < 0.25 AS s, CASE WHEN hit < 0.25 THEN substr(replace('ACGT', c, ''), floor(pick * 3)::INT + 1, 1) ELSE c END AS c FROM d)
+SELECT rec, string_agg(c, '' ORDER BY i) AS seq, count(*) FILTER (s) AS substitutions FROM m GROUP BY rec""")
+def mutated_bases(spark, d):
+    """Substitutions drawn by hash."""
+    s = simulate.random_dna(table(spark, d, "customer"), 60, rec="c_custkey")
+    return simulate.mutate(s, 0.25).select("rec", "seq", "substitutions")
+
+
 @_query()
 def random_sequences(spark, d):
     """A random sequence per customer, mutated. Random, so rows are compared only."""

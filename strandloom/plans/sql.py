@@ -84,6 +84,31 @@ def hashed_bytes(source: str, text: str, seed: int, name: str = "hb") -> str:
     return ", ".join(steps)
 
 
+def hashed_x86(source: str, x: str, seed: int, name: str = "hx") -> str:
+    """CTEs ending in ``name``: the columns of source, with h32 and the four lanes g1 to g4 for the uhugeint x of 64 bits."""
+    m = "4294967295::uhugeint"
+    n = lambda v: f"{v}::uhugeint"
+    mul = lambda a, b: f"(({a} * {n(b)}) & {m})"
+    rot = lambda a, r: f"((({a} << {r}) & {m}) | ({a} >> {32 - r}))"
+    low, high = f"({x} & {m})", f"({x} >> 32)"
+    steps = [f"SELECT *, {mul(low, 0xCC9E2D51)} AS p, {mul(high, 0xCC9E2D51)} AS q, {mul(low, 0x239B961B)} AS a, {mul(high, 0xAB0E9789)} AS b FROM {source}"]
+    add = lambda cols, **new: steps.append(f"SELECT * EXCLUDE ({cols}), " + ", ".join(f"{v} AS {k}" for k, v in new.items()))
+    add("p, q, a, b", p=mul(rot("p", 15), 0x1B873593), q=mul(rot("q", 15), 0x1B873593), a=mul(rot("a", 15), 0xAB0E9789), b=mul(rot("b", 16), 0x38B34AE5))
+    add("p, a, b", p=f"xor({n(seed)}, p)", a=f"xor(xor({n(seed)}, a), {n(8)})", b=f"xor(xor({n(seed)}, b), {n(8)})", c=n(seed ^ 8))
+    add("p, q", p=f"xor(({rot('p', 13)} * {n(5)} + {n(0xE6546B64)}) & {m}, q)")
+    add("p", p=f"xor(({rot('p', 13)} * {n(5)} + {n(0xE6546B64)}) & {m}, {n(8)})")
+    add("a", a=f"((a + b + c + c) & {m})", d="c")
+    add("b, c, d", b=f"((b + a) & {m})", c=f"((c + a) & {m})", d=f"((d + a) & {m})")
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        add("p, a, b, c, d", **{v: mul(f"xor({v}, {v} >> {shift})", by) for v in "pabcd"})
+    add("a", a=f"((a + b + c + d) & {m})")
+    add("p, a, b, c, d", h32="p", g1="a", g2=f"((b + a) & {m})", g3=f"((c + a) & {m})", g4=f"((d + a) & {m})")
+    out = [f"{name}0 AS ({steps[0]})"]
+    for i, step in enumerate(steps[1:], 1):
+        out.append(f"{name}{i if i < len(steps) - 1 else ''} AS ({step} FROM {name}{i - 1})")
+    return ", ".join(out)
+
+
 def minima(k: int, m: int, seed: int, both_strands: bool = False) -> str:
     """CTEs ending in ``mins``: (rec, seg, kpos, mpos, mmer, h) of each k-mer without a break.
 

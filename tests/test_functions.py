@@ -46,6 +46,16 @@ def test_hash_of_byte_strings(spark):
     assert got == [signed(hashing.murmur128(t, 42)[0]) for t in texts] + [None]
 
 
+def test_x86_hashes(spark):
+    """8-byte keys against the scalar forms; nulls stay."""
+    keys = [0, 1, -1, 2**62 + 12345, -(2**63), 987654321]
+    df = spark.createDataFrame([(k,) for k in keys] + [(None,)], "x long")
+    raw = [k.to_bytes(8, "little", signed=True) for k in keys]
+    got = df.select(hashing.hash32(F.col("x"), 7).alias("a"), hashing.hash128_x86(F.col("x"), 7).alias("b")).collect()
+    assert [r.a for r in got] == [hashing.murmur32(k, 7) for k in raw] + [None]
+    assert [tuple(r.b) for r in got[:-1]] == [hashing.murmur128_x86(k, 7) for k in raw]
+
+
 def test_widths():
     assert bits.bit_width("bigint") == 64 and bits.bit_width("boolean") == 1
     with pytest.raises(TypeError):
