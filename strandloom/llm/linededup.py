@@ -30,6 +30,8 @@ whole sets.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,8 +150,8 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _apart(rows: DataFrame) -> DataFrame:
-    """The (p, band, label) rows of buckets that hold several labels."""
-    several = rows.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    """The (p, band, label) rows of buckets that hold several labels, and more lines than a pivot and its only partner."""
+    several = rows.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2")
     return rows.join(several.select("band"), "band", "left_semi")
 
 
@@ -207,16 +209,19 @@ def _rest(apart: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
 def line_labels(buckets: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, label) of the lines p that have a link; buckets: (p, band), texts: (p, raw)."""
     verified = lambda pairs: materialize(similar(pairs, texts, threshold), "line-links")
-    links = verified(_pivots(buckets))
+    known = lambda pairs, *done: reduce(lambda x, y: x.join(y.select("a", "b"), ["a", "b"], "left_anti"), done, pairs)
+    asked = materialize(_pivots(buckets), "line-pairs")
+    links = verified(asked)
     labels = _merged(None, links)
     apart = materialize(_apart(_labelled(buckets, labels)), "line-apart")
     sketch = materialize(sketches(texts.join(apart.select("p").distinct(), "p", "left_semi")), "line-sketches")
-    more = verified(likely(_hubs(apart, links), sketch, threshold))
+    hubs = materialize(known(_hubs(apart, links), asked), "line-pairs")
+    more = verified(likely(hubs, sketch, threshold))
     labels = _merged(labels, more)
     still = materialize(_apart(_labelled(apart.select("p", "band"), labels)), "line-apart")
-    last = verified(_rest(still, sketch, threshold))
+    last = verified(known(_rest(still, sketch, threshold), asked, hubs))
     labels = _merged(labels, last)
-    discard(sketch, links, apart, more, still, last)
+    discard(asked, sketch, links, apart, hubs, more, still, last)
     return labels
 
 

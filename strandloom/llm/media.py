@@ -202,31 +202,43 @@ def resolve(items: DataFrame, media: DataFrame, hot: DataFrame | None = None) ->
     return refs.join(media, ["digest", "part"], "left").drop("part")
 
 
-def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, html, digest, media): a page per document with its text, and the text as a picture.
+def text_pages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, html): a page per document with its text and, as a figure, the text as a picture."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pages = []
+            for t in b.column(1).to_pylist():
+                raw = (t or "").encode()
+                d = hashlib.sha256(padded(raw)).hexdigest()
+                pages.append(f'<article><p>{html.escape(t or "")}</p><figure><img src="sha256:{d}" alt="text"><figcaption>{len(raw)} bytes</figcaption></figure></article>')
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pages, pa.string())], ["doc_id", "html"])
+
+    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, html string")
+
+
+def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(digest, media) per document: the text as a picture.
 
     media is there for a task's first row of a digest and null for its repeats.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: set[bytes] = set()
         for b in batches:
-            pages, digests, media = [], [], []
-            for t in b.column(1).to_pylist():
-                raw = (t or "").encode()
-                p = padded(raw)
+            digests, media = [], []
+            for t in b.column(0).to_pylist():
+                p = padded((t or "").encode())
                 h = hashlib.sha256(p)
-                d = h.hexdigest()
-                pages.append(f'<article><p>{html.escape(t or "")}</p><figure><img src="sha256:{d}" alt="text"><figcaption>{len(raw)} bytes</figcaption></figure></article>')
-                digests.append(d)
+                digests.append(h.hexdigest())
                 media.append(None if h.digest() in have else encode_png(p))
                 have.add(h.digest())
                 if len(have) > 1 << 20:
                     have.clear()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pages, pa.string()), pa.array(digests, pa.string()), pa.array(media, pa.binary())], ["doc_id", "html", "digest", "media"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], ["digest", "media"])
 
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, html string, digest string, media binary")
+    return docs.select(F.col(text)).mapInArrow(run, "digest string, media binary")
 
 
 def text_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,8 +249,8 @@ def text_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     one row of zeros. Repeated rows come back as often, copies have equal values,
     texts of any length are stored whole, other columns are ignored.
     """
-    stored = materialize(store_texts(docs, doc_id, text), "media-store")
+    stored = materialize(store_texts(docs, text), "media-store")
     media = media_features(stored.where("media is not null").select("digest", "media"))
-    found = resolve(interleave(stored, "doc_id", "html"), media, hot_digests(stored))
+    found = resolve(interleave(text_pages(docs, doc_id, text), "doc_id", "html"), media, hot_digests(stored))
     n: Column = F.regexp_extract("caption", r"^(\d+)", 1).cast("long")
     return found.select(F.col("id").alias("doc_id"), n.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

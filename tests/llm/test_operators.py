@@ -501,7 +501,7 @@ def test_media_pages_hold_whole_texts(docs):
     """The text item of a document's page is its whole text, long ones and mark-up characters included."""
     extra = docs.limit(1).withColumn("text", F.lit("<p>a & b</p> &amp; " + "long " * 1000 + "end"))
     both = docs.union(extra)
-    pages = media.interleave(media.store_texts(both), "doc_id", "html").collect()
+    pages = media.interleave(media.text_pages(both), "doc_id", "html").collect()
     got = Counter((r.id, next((i.text for i in r["items"] if i.kind == "text"), "")) for r in pages)
     assert got == Counter((r.doc_id, " ".join((r.text or "").split())) for r in both.collect())
 
