@@ -62,13 +62,13 @@ class Encoder:
         return np.array(self.ids(text), np.uint32)
 
 
-def cut_positions(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cut_positions(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, gap: int = GAP) -> tuple[np.ndarray, np.ndarray]:
     """Positions in the stream at which a window may end, ascending, and their penalties."""
     soft = np.flatnonzero(ends[ids]) + 1
     pos = np.union1d(soft, doc_ends)
     edges = np.concatenate([[0], pos, [len(ids)]])
-    wide = np.flatnonzero(np.diff(edges) > GAP)
-    hard = [np.arange(edges[i] + GAP, edges[i + 1], GAP) for i in wide]
+    wide = np.flatnonzero(np.diff(edges) > gap)
+    hard = [np.arange(edges[i] + gap, edges[i + 1], gap) for i in wide]
     pos, fresh = np.union1d(pos, np.concatenate(hard) if hard else pos), len(hard)
     cost = np.full(len(pos), SENTENCE_CUT)
     if fresh:
@@ -145,7 +145,7 @@ class Packer:
     def settle(self, last: bool) -> list[tuple]:
         ids = np.concatenate([d[1][d[2] :] for d in self.docs])
         doc_ends = np.cumsum([len(d[1]) - d[2] for d in self.docs])
-        pos, cost = cut_positions(ids, doc_ends, self.encoder.ends)
+        pos, cost = cut_positions(ids, doc_ends, self.encoder.ends, min(GAP, self.length))
         cuts = windows(pos, cost, self.length, last)
         end = int(cuts[-1])
         marks = np.union1d(np.concatenate([[0], cuts]), doc_ends[doc_ends < end])

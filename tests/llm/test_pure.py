@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from strandloom.llm import langid, licenses, lm, media, mixing, packing, quality, simhash, warc
@@ -154,6 +154,7 @@ def test_rules():
 
 @given(st.lists(st.text(st.sampled_from("ab cé.\n!"), max_size=40), max_size=12), st.sampled_from([8, 16]))
 @settings(max_examples=60, deadline=None)
+@example(["a       "], 8)
 def test_packer_keeps_every_token_once(texts, length):
     p = packing.Packer(_encoder(), length, block=64)
     out = [x for i, t in enumerate(texts) for x in p.add(i, t)] + p.finish()
