@@ -93,8 +93,8 @@ def neighbours(values: DataFrame, queries: DataFrame, key: str = "v", at: str =
     ends = v.withColumn("block", block_of(F.col("k"), cuts)).groupBy("block").agg(F.max_by("row", "k").alias("hi"), F.min_by("row", "k").alias("lo"))
     every = both.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("block")).join(ends, "block", "left")
     carry = every.select("block", F.last("hi", True).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("lower"), F.first("lo", True).over(Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)).alias("upper"))
-    w = Window.partitionBy("block").orderBy("k")
-    # Ranges by key keep an equal key out of both sides.
-    both = both.withColumns({"b": F.last("row", True).over(w.rangeBetween(Window.unboundedPreceding, -1)), "a": F.first("row", True).over(w.rangeBetween(1, Window.unboundedFollowing))})
+    # Ranges by key keep an equal key out of both sides. Both frames grow from their start, so a block is read once for each.
+    up, down = (Window.partitionBy("block").orderBy(k).rangeBetween(Window.unboundedPreceding, -1) for k in (F.col("k"), F.col("k").desc()))
+    both = both.withColumns({"b": F.last("row", True).over(up), "a": F.last("row", True).over(down)})
     found = both.where("q is not null").join(F.broadcast(carry), "block")
     return found.select("q.*", F.coalesce("b", "lower").alias("below"), F.coalesce("a", "upper").alias("above"))
