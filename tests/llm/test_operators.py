@@ -532,6 +532,67 @@ def test_language_model(docs, none):
     assert lm.score(none).count() == 0
 
 
+@pytest.mark.parametrize("size", [1 << 30, 4096])
+def test_every_preceding_word_has_its_restaurant(spark, docs, monkeypatch, size):
+    """Scores against plain loops over all pairs of (word before, class) and word; copies and one or many buckets included."""
+    monkeypatch.setattr(lm, "BUCKET_BYTES", size)
+    rows = [(d, t) for d, t, *_ in corpus()]
+    is_out = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    classes = lm.hot_classes(docs.where(lm.remainder(F.col("doc_id"), 7) != 2), "text")
+    buckets = 1 + sum(len((t or "").encode()) for _, t in rows) // size
+    seen, pairs = Counter(), Counter()
+
+    def steps(t):
+        w = lm.tokens(t)
+        return list(zip([None, *w[:-1]], lm.contexts_of(np.array([classes.get(x, -1) for x in w])).tolist(), w))
+
+    for d, t in rows:
+        for u, g, w in steps(t):
+            seen[w] += not is_out(d)
+            pairs[u, g, w] += not is_out(d)
+    h = {w: int(lm.hash_array(np.array([w], object), categorize=False)[0]) for w in seen}
+    number, rank = {}, Counter()
+    for w in sorted(seen, key=lambda w: (-seen[w], h[w])):
+        b = h[w] % buckets
+        number[w] = rank[b] * buckets + b
+        rank[b] += 1
+    words = sorted(w for w in seen if seen[w])
+    assert sum(w not in classes for w in words) > 100
+    matrix = np.zeros((len(words), lm.CONTEXTS), np.int64)
+    at = {w: i for i, w in enumerate(words)}
+    customers, tables = Counter(), Counter()
+    for (u, g, w), n in pairs.items():
+        if n:
+            matrix[at[w], g] += 1
+            customers[u, g] += n
+            tables[u, g] += 1
+    discount = lambda c: float(np.clip((c == 1).sum() / max((c == 1).sum() + 2 * (c == 2).sum(), 1), 0.05, 0.95))
+    d = discount(np.array(list(pairs.values())))
+    s = lm.Seating(len(words), (discount(matrix), discount((matrix > 0).sum(axis=1))), matrix.sum(axis=0).astype(float))
+    state, parent, unknown = s.start(matrix), 0, 0
+    for k in range(lm.BURN_IN + lm.SAMPLES + 1):
+        total = (state[0].sum(axis=0).astype(float), float(state[1].sum()), float(state[2].sum()))
+        if k > lm.BURN_IN:
+            parent = parent + s.predictive(matrix, state, total)[1] / lm.SAMPLES
+            unknown = unknown + s.back_off(total) * s.parent(np.zeros(1), np.zeros(1), total)[0] / lm.SAMPLES
+        state = s.sweep(matrix, np.array([number[w] for w in words]), state, total, k)
+    want = Counter()
+    for doc, t in rows:
+        p = [(max(pairs[u, g, w] - d, 0) + (lm.STRENGTH + d * tables[u, g]) * (parent[at[w], g] if w in at else unknown[g])) / (lm.STRENGTH + customers[u, g]) for u, g, w in steps(t)]
+        want[doc] = sum(map(math.log10, p))
+    for r in lm.score(docs).collect():
+        assert r.score == pytest.approx(want[r.doc_id], rel=1e-3), r.doc_id
+
+
+def test_messages_come_back():
+    """What blocks and buckets send each other is what was sent, empty arrays included."""
+    a = np.array([3, 3, 1 << 40, (1 << 63) + 5], np.uint64)
+    assert lm.summed(lm.steps(a)).tolist() == a.tolist() and lm.expand(lm.squeeze(a[:0])).tolist() == []
+    cell = [("g", "u1"), ("v", "<f4")]
+    cells = np.array([(1, 0.5), (6, -2.0)], cell)
+    assert lm.expand(lm.squeeze(cells), cell).tolist() == cells.tolist()
+
+
 def test_hot_words_are_counted_over_all_blocks(spark):
     """The most frequent word of all is hot, though each partition has 2 * HOT words that are more frequent there."""
     part = lambda name: [(" ".join(f"{name}{i}" for i in range(2 * lm.HOT)),)] * 3 + [("shared shared",)]
