@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
@@ -251,3 +252,27 @@ def test_contexts_and_planes():
     assert lm.contexts_of(np.array([-1, 2, -1, -1, 0, -1])).tolist() == [lm.CLASSES, lm.CLASSES, 2, 2, 2, 0]
     k = np.array([0, 5, 70000])
     assert lm.unpack_tokens(lm.pack_tokens(k, np.array([0, 1, 2]))).tolist() == (k * lm.CONTEXTS + [0, 1, 2]).tolist()
+
+
+def test_parts_have_the_words_of_their_texts(monkeypatch):
+    texts = ["", None, "  A b\tÄ c\x0bD ", "\n\n", "x", "A\x1cB \x85 c d   é\x00z", "q  " * 10, None]
+    for size in (1, 7, 1 << 20):
+        monkeypatch.setattr(lm, "PART_BYTES", size)
+        got = []
+        for words, n in lm.split_words(pa.array(texts)):
+            w = iter(words.to_pylist())
+            got += [[next(w) for _ in range(k)] for k in n]
+            assert next(w, None) is None
+        assert got == [lm.tokens(t)[:-1] for t in texts]
+    assert list(lm.split_words(pa.array([], pa.string()))) == []
+
+
+def test_contexts_end_with_their_text():
+    c = lm.CLASSES
+    assert lm.contexts_of(np.array([-1, 2, -1, 0, -1, -1, -1, 3, 1]), np.array([0, 3, 5])).tolist() == [c, c, 2, c, 0, c, c, c, 3]
+
+
+def test_numbers_of_pairs_equal_unique():
+    a = np.random.default_rng(5).integers(0, 50, 1000).astype(np.uint64) << np.uint64(58)
+    for x in (a, a[:1], a[:0]):
+        assert all(p.tolist() == q.tolist() for p, q in zip(lm.numbered(x), np.unique(x, return_inverse=True)))
