@@ -14,7 +14,9 @@ Components of links keep the first line.
 
 Not all pairs of a bucket are compared, but no link between components is left out:
 
-1. Every line of a bucket is compared with its pivot, the line of least hash.
+1. Every line of a bucket is compared with its pivot, the line of least hash. Pairs that
+   share one bucket only, with other lines in it, seldom link: they wait for step 2, and
+   are left out if the bucket is one component by then.
 2. In buckets that still hold several components, a line of each is compared with the
    most linked line and with PIVOTS others, drawn anew for each bucket.
 3. In buckets that still hold several components, all lines outside the largest of
@@ -47,6 +49,8 @@ WORDS, PIVOTS, BLOCK = 16, 1, 1024
 SALTS = 16
 #: Candidate lines are looked up by a broadcast join up to this many, else by shuffling.
 BROADCAST_LINES = 500_000
+#: Bands whose cells are gathered in one row; divides BANDS.
+TOGETHER = 2
 SPACE = " \t\n\r\x0b\x0c"
 
 
@@ -81,20 +85,26 @@ def band_keys(lines: DataFrame) -> DataFrame:
     """
     n = _shingle_count(F.col("raw"))
     most = F.least(F.lit(1.0), F.lit(float(ROWS * BANDS * EXPECTED)) / n) * float(1 << ORDERED)
-    s = lines.select("p", "q", "raw", most.cast("long").alias("most"), F.explode(F.sequence(F.lit(1), n)).alias("at"))
-    s = s.select("p", "q", "most", F.xxhash64(F.substring(F.col("raw"), F.col("at"), F.lit(K))).alias("h"))
-    v, cell = F.col("h").bitwiseAND(F.lit((1 << ORDERED) - 1)), F.shiftrightunsigned("h", ORDERED) % (ROWS * BANDS)
-    s = s.select("p", "q", "most", v.alias("v"), cell.cast("int").alias("cell")).where("v < most")
-    s = s.select("p", "q", "v", F.floor(F.col("cell") / ROWS).cast("int").alias("b"), (F.col("cell") % ROWS).alias("r"))
-    m = s.groupBy("p", "q", "b").agg(*[F.min(F.when(F.col("r") == r, F.col("v"))).alias(f"m{r}") for r in range(ROWS)])
-    return m.select("p", F.xxhash64("b", *[F.coalesce(f"m{r}", F.lit(-1)) for r in range(ROWS)]).alias("band"))
+    # What is the same for all shingles of a line is computed before they are made, a hash once:
+    # the filter isn't pushed below a column like task, else each hash would be computed there and again above.
+    s = lines.select("p", "q", "raw", n.alias("n"), most.cast("long").alias("most"))
+    s = s.select("p", "q", "raw", "most", F.explode(F.sequence(F.lit(1), "n")).alias("at"))
+    s = s.select("p", "q", "most", F.xxhash64(F.substring(F.col("raw"), F.col("at"), F.lit(K))).alias("h"), F.spark_partition_id().alias("task"))
+    s = s.withColumn("v", F.col("h").bitwiseAND(F.lit((1 << ORDERED) - 1))).where("v < most and task >= 0")
+    cell, width = f"shiftrightunsigned(h, {ORDERED}) % {ROWS * BANDS}", ROWS * TOGETHER
+    s = s.select("p", "q", "v", F.expr(f"cast({cell} div {width} as int)").alias("g"), F.expr(f"cast({cell} % {width} as int)").alias("r"))
+    m = s.groupBy("p", "q", "g").agg(*[F.min(F.when(F.col("r") == r, F.col("v"))).alias(f"m{r}") for r in range(width)])
+
+    def band(k: int) -> Column:
+        cells = [f"m{ROWS * k + r}" for r in range(ROWS)]
+        return F.when(F.coalesce(*cells).isNotNull(), F.xxhash64(F.col("g") * TOGETHER + k, *[F.coalesce(c, F.lit(-1)) for c in cells]))
+
+    return m.select("p", F.explode(F.array(*[band(k) for k in range(TOGETHER)])).alias("band")).where("band is not null")
 
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
     """The (p, band) rows whose band has other lines too."""
-    beside = Window.partitionBy("band").orderBy("p")
-    b = bands.withColumns({"before": F.lag("p").over(beside), "after": F.lead("p").over(beside)})
-    return b.where("before <> p or after <> p").select("p", "band")
+    return bands.withColumn("lines", F.count("*").over(Window.partitionBy("band"))).where("lines > 1").select("p", "band")
 
 
 def sketches(texts: DataFrame) -> DataFrame:
@@ -130,12 +140,14 @@ def similar(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
     one = lambda side: texts.select(F.col("p").alias(side), F.col("raw").alias(f"raw_{side}"))
     j = pairs.join(one("a"), "a").join(one("b"), "b")
     sizes = ["sizes"] if "sizes" in pairs.columns else []
-    sets = lambda c: shingles(c) if sizes else F.array_distinct(shingles(c))
-    # A generator is a barrier: the sets are computed once per pair, not once per use.
-    j = j.select("a", "b", *sizes, F.inline(F.array(F.struct(sets(F.col("raw_a")).alias("sa"), sets(F.col("raw_b")).alias("sb")))))
-    every = F.col("sizes") if sizes else F.size("sa") + F.size("sb")
-    j = j.select("a", "b", F.inline(F.array(F.struct(F.size(F.array_intersect("sa", "sb")).alias("both"), every.alias("all")))))
-    return j.where(F.col("both") >= threshold * (F.col("all") - F.col("both")) - 1e-9).select("a", "b")
+    # A generator is a barrier: the shingles are computed once per pair, not once per use.
+    j = j.select("a", "b", *sizes, F.inline(F.array(F.struct(shingles(F.col("raw_a")).alias("sa"), shingles(F.col("raw_b")).alias("sb")))))
+    both = F.size(F.array_intersect("sa", "sb")).alias("both")
+    if sizes:
+        j = j.select("a", "b", F.inline(F.array(F.struct(both, F.col("sizes"))))).select("a", "b", "both", (F.col("sizes") - F.col("both")).alias("any"))
+    else:  # both functions leave out repeats themselves
+        j = j.select("a", "b", F.inline(F.array(F.struct(both, F.size(F.array_union("sa", "sb")).alias("any")))))
+    return j.where(F.col("both") >= threshold * F.col("any") - 1e-9).select("a", "b")
 
 
 def _pair(a: str, b: str) -> list[Column]:
@@ -170,9 +182,10 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _pivots(b: DataFrame) -> DataFrame:
-    """(a, b): every line of a bucket with the bucket's least."""
-    pivot = b.groupBy("band").agg(F.min("p").alias("pivot"))
-    return b.join(pivot, "band").where("p <> pivot").select(*_pair("p", "pivot")).distinct()
+    """(a, b, first): every line of a bucket with the bucket's least; first: they share several buckets, or one that has no other line."""
+    pivot = b.groupBy("band").agg(F.min("p").alias("pivot"), F.count("*").alias("n"))
+    pairs = b.join(pivot, "band").where("p <> pivot").select(*_pair("p", "pivot"), "n")
+    return pairs.groupBy("a", "b").agg(((F.count("*") > 1) | (F.min("n") <= 2)).alias("first"))
 
 
 def _hubs(apart: DataFrame, links: DataFrame) -> DataFrame:
@@ -208,20 +221,22 @@ def _rest(apart: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
 
 def line_labels(buckets: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, label) of the lines p that have a link; buckets: (p, band), texts: (p, raw)."""
-    verified = lambda pairs: materialize(similar(pairs, texts, threshold), "line-links")
+    verified = lambda pairs, texts: materialize(similar(pairs, texts, threshold), "line-links")
     known = lambda pairs, *done: reduce(lambda x, y: x.join(y.select("a", "b"), ["a", "b"], "left_anti"), done, pairs)
     asked = materialize(_pivots(buckets), "line-pairs")
-    links = verified(asked)
+    links = verified(asked.where("first"), texts)
     labels = _merged(None, links)
     apart = materialize(_apart(_labelled(buckets, labels)), "line-apart")
-    sketch = materialize(sketches(texts.join(apart.select("p").distinct(), "p", "left_semi")), "line-sketches")
-    hubs = materialize(known(_hubs(apart, links), asked), "line-pairs")
-    more = verified(likely(hubs, sketch, threshold))
+    fewer = materialize(texts.join(apart.select("p").distinct(), "p", "left_semi"), "line-texts")
+    sketch = materialize(sketches(fewer), "line-sketches")
+    # A pair left from step 1 that the sketches lack is in no bucket that still holds several components.
+    hubs = materialize(known(_hubs(apart, links), asked).union(asked.where("not first").select("a", "b")), "line-pairs")
+    more = verified(likely(hubs, sketch, threshold), fewer)
     labels = _merged(labels, more)
     still = materialize(_apart(_labelled(apart.select("p", "band"), labels)), "line-apart")
-    last = verified(known(_rest(still, sketch, threshold), asked, hubs))
+    last = verified(known(_rest(still, sketch, threshold), asked, hubs), fewer)
     labels = _merged(labels, last)
-    discard(asked, sketch, links, apart, hubs, more, still, last)
+    discard(asked, fewer, sketch, links, apart, hubs, more, still, last)
     return labels
 
 
@@ -233,12 +248,12 @@ def line_components(occ: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     make as good as impossible, that with the least q alone can have links.
     """
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no", "text_hash")
-    distinct = occ.groupBy("p", "q").agg(F.encode(F.min("form"), "UTF-8").alias("raw"))
+    distinct = occ.groupBy("p", "q").agg(F.min("form").cast("binary").alias("raw"))
     b = materialize(shared_buckets(band_keys(distinct)), "line-buckets")
     wanted = b.select("p").distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
     texts = occ.join(wanted, "p", "left_semi").groupBy("p").agg(F.min(F.struct("q", "form")).alias("t"))
-    texts = materialize(texts.select("p", "t.q", F.encode("t.form", "UTF-8").alias("raw")), "line-texts")
+    texts = materialize(texts.select("p", "t.q", F.col("t.form").cast("binary").alias("raw")), "line-texts")
     labels = line_labels(b, texts.select("p", "raw"), threshold)
     named = texts.select("p", "q").join(labels.select(F.col("node").alias("p"), "label"), "p")
     found = occ.groupBy("p", "q").agg(F.min(place).alias("place"), F.count("*").alias("n"))
@@ -263,7 +278,7 @@ def line_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeat a whole document share places, so each keeps what one would. Null and
     blank texts give no row.
     """
-    occ = materialize(identified(occurrences(docs, doc_id, text)), "line-places", "zstd")
+    occ = materialize(identified(occurrences(docs, doc_id, text)), "line-places", "zstd", **{"parquet.compression.codec.zstd.level": "1"})
     o = occ.drop("form").join(line_components(occ, threshold), ["p", "q"], "left")
     own = F.col("keep").isNull() | ((F.col("keep.line_no") == F.col("line_no")) & F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.text_hash") == F.col("text_hash")))
     return o.select("doc_id", "text_hash", "line_no", F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_doc_id"), F.coalesce("keep.line_no", "line_no").alias("keep_line_no"), own.alias("kept"))

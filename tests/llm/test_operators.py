@@ -290,6 +290,19 @@ def test_line_buckets_are_compared_across_components(spark):
     assert label[2] == label[4] != label[1] == label[3] == label[6] and 5 not in label
 
 
+def test_line_shingles_are_hashed_once(spark):
+    """The plan hashes a shingle in one place, below the filter that leaves out most of them."""
+    lines = spark.createDataFrame([(1, 2, bytearray(b"pack my box with five dozen liquor jugs"))], "p long, q long, raw binary")
+    plan = linededup.band_keys(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(substring(") == 1
+
+
+def test_line_pairs_that_share_one_bucket_wait(spark):
+    """A pair with several buckets, or one of its own, is verified first; others are kept for the sketches, none is lost."""
+    buckets = spark.createDataFrame([(1, 7), (2, 7), (3, 7), (1, 8), (2, 8), (4, 9), (5, 9)], "p long, band long")
+    assert {tuple(r) for r in linededup._pivots(buckets).collect()} == {(1, 2, True), (1, 3, False), (4, 5, True)}
+
+
 def test_line_sketches_never_rule_out_a_link(spark):
     """The bound holds for sets at, above and below the threshold."""
     r = random.Random(3)
