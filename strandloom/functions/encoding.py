@@ -65,3 +65,19 @@ BASES = "".join("ACGT"[i % 4] for i in range(26)) * 2
 def dna_from_text(text: Column) -> Column:
     """A nucleotide sequence from prose, for test data without any."""
     return F.translate(F.translate(F.regexp_replace(text, "[^A-Za-z\n]", ""), LETTERS, BASES), "\n", "N")
+
+
+_CLEAN = bytes({"A": 65, "C": 67, "G": 71, "T": 84, "U": 84}.get(chr(i).upper() if i < 128 else "", 78) for i in range(256))
+_FOLLOWING = bytes(range(0x80, 0xC0))
+_PROSE = bytes(ord(dict(zip(LETTERS, BASES)).get(chr(i), "N")) for i in range(256))
+_DROPPED = bytes(i for i in range(256) if chr(i) not in LETTERS + "\n")
+
+
+def clean_bytes(seq: bytes) -> bytes:
+    """clean over UTF-8, in a kernel: a byte for each character."""
+    return seq.translate(_CLEAN, _FOLLOWING)
+
+
+def prose_bytes(text: bytes) -> bytes:
+    """dna_from_text over UTF-8, in a kernel."""
+    return text.translate(_PROSE, _DROPPED)

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions.encoding import clean_bytes
+from strandloom.operators import minimizers
+
 
 def jaccard(a: DataFrame, b: DataFrame, item: str, multiset: bool = False) -> DataFrame:
     """One row (i, u, n1, n2, jaccard) for two collections of items.
@@ -81,6 +84,25 @@ def record_jaccard(collections: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("a", "b", "i", "u", "n1", "n2", ratio(F.col("i"), F.col("u")).alias("jaccard"))
 
 
+def split_repeated(df: DataFrame, rec: str = "rec") -> tuple[DataFrame, DataFrame | None]:
+    """(rows whose record is in no other row, the other rows or None if there are none); reads the column at once."""
+    many = df.groupBy(rec).agg(F.count("*").alias("n")).where("n > 1").select(F.col(rec).alias("repeated"))
+    if many.isEmpty():
+        return df, None
+    same = F.col(rec).eqNullSafe(F.col("repeated"))
+    return df.join(many, same, "left_anti"), df.join(many, same, "left_semi")
+
+
+def distinct_kmers(df: DataFrame, k: int, canonical: bool = False, rec: str = "rec", seq: str = "seq", read=clean_bytes) -> DataFrame:
+    """(rec, distinct_kmers): in a row's own task, and by a shuffle of k-mers for records with several rows only."""
+    once, several = split_repeated(df.select(F.col(rec).alias("rec"), F.col(seq).alias("seq")))
+    out = minimizers.distinct_in_row(once, k, canonical, read=read)
+    if several is None:
+        return out
+    rest = unique(minimizers.packed_kmers(several, k, canonical, read=read), "rec", "value")
+    return out.unionByName(rest.groupBy("rec").agg(F.count("*").alias("distinct_kmers")))
+
+
 def all_pairs_jaccard(items: DataFrame, group: str, item: str, multiset: bool = False) -> DataFrame:
     """(a, b, i, u, n1, n2, jaccard) of all pairs a < b of groups that share an item.
 

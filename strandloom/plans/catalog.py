@@ -48,6 +48,14 @@ def _dna(spark: SparkSession, d: str, name: str = "documents", rec: str = "doc_i
     return texts.select("rec", encoding.dna_from_text(F.col("text")).alias("seq"))
 
 
+def _texts(spark: SparkSession, d: str, name: str = "documents", rec: str = "doc_id") -> DataFrame:
+    """The same records by their texts, for kernels that read them with ``PROSE``."""
+    return _spread(table(spark, d, name).select(F.col(rec).alias("rec"), F.col("text").alias("seq")))
+
+
+PROSE = {"read": encoding.prose_bytes}
+
+
 def _long(e, name: str):
     return e.cast("bigint").alias(name)
 
@@ -57,29 +65,43 @@ def _long(e, name: str):
 _PER_REC = "count(*) AS n, sum(pos)::BIGINT AS positions, min(kmer) AS least, max(kmer) AS greatest"
 
 
-def _per_record(found: DataFrame) -> DataFrame:
-    text = lambda v: encoding.unpack(v, K)
-    return found.groupBy("rec").agg(F.count("*").alias("n"), _long(F.sum("position"), "positions"), text(F.min("value")).alias("least"), text(F.max("value")).alias("greatest"))
+def _of(name: str):
+    return lambda c: c[name]
+
+
+_COUNT, _POSITIONS, _TOTAL = ("count", None), ("sum", _of("position")), ("sum", _of("value"))
+_LEAST, _GREATEST = ("min", _of("value")), ("max", _of("value"))
+
+
+def _per_record(spark, d, **how) -> DataFrame:
+    text = lambda v: encoding.unpack(F.col(v), K).alias(v)
+    f = _kmers(spark, d, fold={"n": _COUNT, "positions": _POSITIONS, "least": _LEAST, "greatest": _GREATEST}, **how)
+    return f.select("rec", "n", "positions", text("least"), text("greatest"))
 
 
 def _kmers(spark, d, name: str = "documents", rec: str = "doc_id", **how) -> DataFrame:
     """Packed k-mers of a table's texts."""
-    return minimizers.packed_kmers(_dna(spark, d, name, rec), K, **how)
+    return minimizers.packed_kmers(_texts(spark, d, name, rec), K, **how, **PROSE)
+
+
+def _counts(spark, d, name: str = "documents", rec: str = "doc_id") -> DataFrame:
+    """Canonical ones with counts, in parts."""
+    return minimizers.kmer_counts(_texts(spark, d, name, rec), K, canonical=True, **PROSE)
 
 
 @_query(f"WITH dna AS ({sql.dna()}) SELECT rec, {_PER_REC} FROM ({sql.kmers(K)}) GROUP BY rec")
 def kmers_forward(spark, d):
-    return _per_record(_kmers(spark, d))
+    return _per_record(spark, d)
 
 
 @_query(f"WITH dna AS ({sql.dna()}), k AS (SELECT rec, pos, {sql.canonical('kmer')} AS kmer FROM ({sql.kmers(K)})) SELECT rec, {_PER_REC} FROM k GROUP BY rec")
 def kmers_canonical(spark, d):
-    return _per_record(_kmers(spark, d, canonical=True))
+    return _per_record(spark, d, canonical=True)
 
 
 @_query(f"WITH dna AS ({sql.dna()}) SELECT rec, {_PER_REC} FROM ({sql.kmers(K)}) WHERE pos + {K} < n GROUP BY rec")
 def kmers_reference_tail(spark, d):
-    return _per_record(_kmers(spark, d, reference_tail=True))
+    return _per_record(spark, d, reference_tail=True)
 
 
 @_query(f"""WITH dna AS ({sql.dna()}), w AS (SELECT *, lag(kmer) OVER (PARTITION BY rec ORDER BY pos) AS before FROM ({sql.windows(K)})),
@@ -98,7 +120,7 @@ def kmer_spectrum(spark, d):
 
 @_query(f"WITH dna AS ({sql.dna()}) SELECT rec, count(DISTINCT kmer) AS distinct_kmers FROM ({sql.kmers(K)}) GROUP BY rec")
 def kmer_distinct(spark, d):
-    return sets.unique(_kmers(spark, d), "rec", "value").groupBy("rec").agg(F.count("*").alias("distinct_kmers"))
+    return sets.distinct_kmers(_texts(spark, d), K, **PROSE)
 
 
 @_query(f"WITH dna AS ({sql.dna()}), p AS (SELECT rec, {sql.pack('kmer', K)} AS v FROM ({sql.kmers(K)})) SELECT rec, sum(v)::BIGINT AS packed, min(v) AS least, max(v) AS greatest FROM p GROUP BY rec")
