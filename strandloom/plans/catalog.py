@@ -109,8 +109,15 @@ r AS (SELECT rec, pos, CASE WHEN strpos(kmer, 'N') = 0 THEN kmer END AS kmer FRO
 i AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY pos) - 1 AS id FROM r)
 SELECT rec, count(kmer) AS n, count(*) - count(kmer) AS breaks, sum(pos)::BIGINT AS positions, sum(id * (pos % 7))::BIGINT AS ids FROM i GROUP BY rec""")
 def kmers_with_breaks(spark, d):
-    f = kmers.kmers_with_breaks(_dna(spark, d), K)
-    return f.groupBy("rec").agg(F.count("kmer").alias("n"), (F.count("*") - F.count("kmer")).alias("breaks"), _long(F.sum("position"), "positions"), _long(F.sum(F.col("id") * (F.col("position") % 7)), "ids"))
+    once, several = sets.split_repeated(_texts(spark, d))
+    gap = lambda c: c["value"] < 0
+    fold = {"n": ("sum", lambda c: ~gap(c)), "breaks": ("sum", gap), "positions": _POSITIONS, "ids": ("sum", lambda c: c["id"] * (c["position"] % 7))}
+    out = minimizers.packed_with_breaks(once, K, fold=fold, **PROSE)
+    if several is None:
+        return out
+    # Rows of one record are numbered together.
+    f = kmers.with_ids(minimizers.packed_with_breaks(several, K, **PROSE))
+    return out.unionByName(f.groupBy("rec").agg(F.count("value").alias("n"), (F.count("*") - F.count("value")).alias("breaks"), _long(F.sum("position"), "positions"), _long(F.sum(F.col("id") * (F.col("position") % 7)), "ids")))
 
 
 @_query(f"WITH dna AS ({sql.dna()}), k AS (SELECT kmer, count(*) AS multiplicity FROM (SELECT {sql.canonical('kmer')} AS kmer FROM ({sql.kmers(K)})) GROUP BY kmer) SELECT multiplicity, count(*) AS kmers FROM k GROUP BY multiplicity")

@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from strandloom.functions import encoding, hashing
 from strandloom.operators import kmers, minimizers, sets, simulate
 
-NAMED = ["kmer_distinct"]
+NAMED = ["kmer_distinct", "kmers_with_breaks"]
 SHUFFLED = []
 DEALT = []
 
@@ -109,3 +109,19 @@ def test_packed_windows(k):
             assert valid[i] == ("N" not in w)
             if valid[i]:
                 assert int(value[i]) == (min(code(w), code(w[::-1].translate(str.maketrans("ACGT", "TGCA")))) if canonical else code(w))
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 20])
+def test_breaks_equal_strings(spark, chunk):
+    df = spark.createDataFrame(texts(), "rec long, seq string")
+    for canonical in (False, True):
+        want = kmers.kmers_with_breaks(df, 5, canonical=canonical).select("rec", encoding.pack(F.col("kmer")), "position", "id")
+        assert rows(minimizers.packed_with_breaks(df, 5, canonical, chunk=chunk)) == rows(want)
+
+
+def test_break_ids_of_records_with_several_rows(spark, tmp_path):
+    t = [(1, "abcdefghijklmnop\nabcdefghijklm"), (1, "ponmlkjihgfedcba\n"), (2, "aaaaaaaaaaaaaaaaaa\n")]
+    spark.createDataFrame(t, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    f = kmers.kmers_with_breaks(spark.createDataFrame(t, "rec long, text string").select("rec", encoding.dna_from_text(F.col("text")).alias("seq")), 11)
+    want = f.groupBy("rec").agg(F.count("kmer"), F.count("*") - F.count("kmer"), F.sum("position"), F.sum(F.col("id") * (F.col("position") % 7)))
+    assert rows(entry.queries()["kmers_with_breaks"](spark, str(tmp_path))) == rows(want)
