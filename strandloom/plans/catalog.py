@@ -132,8 +132,7 @@ def kmer_distinct(spark, d):
 
 @_query(f"WITH dna AS ({sql.dna()}), p AS (SELECT rec, {sql.pack('kmer', K)} AS v FROM ({sql.kmers(K)})) SELECT rec, sum(v)::BIGINT AS packed, min(v) AS least, max(v) AS greatest FROM p GROUP BY rec")
 def kmer_pack(spark, d):
-    p = kmers.kmers(_dna(spark, d), K).select("rec", encoding.pack(F.col("kmer")).alias("v"))
-    return p.groupBy("rec").agg(F.sum("v").alias("packed"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+    return _kmers(spark, d, fold={"packed": _TOTAL, "least": _LEAST, "greatest": _GREATEST})
 
 
 @_query(f"""WITH dna AS ({sql.dna()}), parts AS (SELECT rec, unnest(string_split(s, 'N')) AS part FROM dna)

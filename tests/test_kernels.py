@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from strandloom.functions import encoding, hashing
 from strandloom.operators import kmers, minimizers, sets, simulate
 
-NAMED = ["kmer_distinct", "kmers_with_breaks"]
+NAMED = ["kmer_distinct", "kmers_with_breaks", "kmer_pack", "kmers_canonical"]
 SHUFFLED = []
 DEALT = []
 
@@ -125,3 +125,13 @@ def test_break_ids_of_records_with_several_rows(spark, tmp_path):
     f = kmers.kmers_with_breaks(spark.createDataFrame(t, "rec long, text string").select("rec", encoding.dna_from_text(F.col("text")).alias("seq")), 11)
     want = f.groupBy("rec").agg(F.count("kmer"), F.count("*") - F.count("kmer"), F.sum("position"), F.sum(F.col("id") * (F.col("position") % 7)))
     assert rows(entry.queries()["kmers_with_breaks"](spark, str(tmp_path))) == rows(want)
+
+
+def test_folds_equal_groups(spark, twice):
+    """Parts of records and rows of a record meet; a sum beyond 64 bits raises."""
+    fold = {"n": ("count", None), "total": ("sum", lambda c: c["value"]), "least": ("min", lambda c: c["value"]), "greatest": ("max", lambda c: c["position"]), "x": ("bit_xor", lambda c: c["value"])}
+    want = minimizers.packed_kmers(twice, 5).groupBy("rec").agg(F.count("*"), F.sum("value"), F.min("value"), F.max("position"), F.bit_xor("value"))
+    for chunk in (9, 1 << 20):
+        assert rows(minimizers.packed_kmers(twice, 5, chunk=chunk, fold=fold)) == rows(want)
+    with pytest.raises(Exception, match="64 bits"):
+        minimizers.packed_kmers(spark.createDataFrame([(1, "T" * 40)], "rec long, seq string"), 31, fold=fold).collect()
