@@ -73,6 +73,7 @@ def break_offsets(df: DataFrame, rec: str = "rec", seq: str = "seq") -> DataFram
     return d.select("rec", (F.col("start") + F.col("i")).cast("bigint").alias("position"), F.col("offset").cast("bigint").alias("offset"))
 
 
-def spectrum(found: DataFrame, kmer: str = "kmer") -> DataFrame:
-    """(multiplicity, kmers): how many distinct k-mers occur how often."""
-    return found.groupBy(kmer).count().groupBy(F.col("count").alias("multiplicity")).agg(F.count("*").alias("kmers"))
+def spectrum(found: DataFrame, kmer: str = "kmer", count: str | None = None) -> DataFrame:
+    """(multiplicity, kmers): how many distinct k-mers occur how often; rows count once, or by a column."""
+    c = found.groupBy(kmer).agg((F.sum(count) if count else F.count("*")).alias("multiplicity"))
+    return c.groupBy("multiplicity").agg(F.count("*").alias("kmers"))

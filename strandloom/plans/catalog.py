@@ -122,7 +122,7 @@ def kmers_with_breaks(spark, d):
 
 @_query(f"WITH dna AS ({sql.dna()}), k AS (SELECT kmer, count(*) AS multiplicity FROM (SELECT {sql.canonical('kmer')} AS kmer FROM ({sql.kmers(K)})) GROUP BY kmer) SELECT multiplicity, count(*) AS kmers FROM k GROUP BY multiplicity")
 def kmer_spectrum(spark, d):
-    return kmers.spectrum(_kmers(spark, d, canonical=True), "value")
+    return kmers.spectrum(_counts(spark, d), "value", "count")
 
 
 @_query(f"WITH dna AS ({sql.dna()}) SELECT rec, count(DISTINCT kmer) AS distinct_kmers FROM ({sql.kmers(K)}) GROUP BY rec")

@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from strandloom.functions import encoding, hashing
 from strandloom.operators import kmers, minimizers, sets, simulate
 
-NAMED = ["kmer_distinct", "kmers_with_breaks", "kmer_pack", "kmers_canonical"]
+NAMED = ["kmer_distinct", "kmers_with_breaks", "kmer_pack", "kmers_canonical", "kmer_spectrum"]
 SHUFFLED = []
 DEALT = []
 
@@ -135,3 +135,11 @@ def test_folds_equal_groups(spark, twice):
         assert rows(minimizers.packed_kmers(twice, 5, chunk=chunk, fold=fold)) == rows(want)
     with pytest.raises(Exception, match="64 bits"):
         minimizers.packed_kmers(spark.createDataFrame([(1, "T" * 40)], "rec long, seq string"), 31, fold=fold).collect()
+
+
+@pytest.mark.parametrize("k", [5, 12])
+def test_counts_equal_groups(spark, twice, k):
+    """In a table of all values, and for more of them sorted."""
+    got = minimizers.kmer_counts(twice, k, canonical=True).groupBy("value").agg(F.sum("count"))
+    assert rows(got) == rows(minimizers.packed_kmers(twice, k, canonical=True).groupBy("value").count())
+    assert rows(kmers.spectrum(minimizers.kmer_counts(twice, k), "value", "count")) == rows(kmers.spectrum(kmers.kmers(twice, k)))
