@@ -769,10 +769,15 @@ def fastq_round_trip(spark, d):
     return fasta.read_fastq(spark, path).select("name", "comment", F.md5("seq").alias("digest"), F.md5("qual").alias("quality"))
 
 
+def _customers(spark, d) -> DataFrame:
+    """Keys of customers, dealt over all cores whatever files and row groups hold them: sequences are much longer than keys."""
+    return table(spark, d, "customer").select("c_custkey").repartition(4 * spark.sparkContext.defaultParallelism)
+
+
 @_query(f"WITH src AS (SELECT c_custkey AS rec, range AS i, c_custkey::uhugeint * 4294967296::uhugeint + range::uhugeint AS x FROM customer, range(0, 100)), {sql.hashed('src', 'x', 42)} SELECT rec, string_agg(substr('ACGT', (h1 >> 62)::INT + 1, 1), '' ORDER BY i) AS seq FROM hv GROUP BY rec")
 def random_bases(spark, d):
     """A uniform sequence of 100 bases for each customer: drawn by hash, so SQL can draw it too."""
-    return simulate.random_dna(table(spark, d, "customer"), 100, rec="c_custkey")
+    return simulate.random_dna(_customers(spark, d), 100, rec="c_custkey")
 
 
 def _draw_sql(salt: int) -> str:
@@ -790,7 +795,7 @@ m AS (SELECT rec, i, hit < 0.25 AS s, CASE WHEN hit < 0.25 THEN substr(replace('
 SELECT rec, string_agg(c, '' ORDER BY i) AS seq, count(*) FILTER (s) AS substitutions FROM m GROUP BY rec""")
 def mutated_bases(spark, d):
     """Substitutions drawn by hash."""
-    s = simulate.random_dna(table(spark, d, "customer"), 60, rec="c_custkey")
+    s = simulate.random_dna(_customers(spark, d), 60, rec="c_custkey")
     return simulate.mutate(s, 0.25).select("rec", "seq", "substitutions")
 
 

@@ -1,5 +1,6 @@
 """Kernels over blocks: what leaves them, records in parts or in several rows, and the same results as one by one."""
 
+import itertools
 import math
 import random
 
@@ -13,7 +14,7 @@ from strandloom.operators import kmers, minimizers, sets, simulate
 
 NAMED = ["kmer_distinct", "kmers_with_breaks", "kmer_pack", "kmers_canonical", "kmer_spectrum"]
 SHUFFLED = []
-DEALT = []
+DEALT = ["mutated_bases"]
 
 
 def nodes(plan):
@@ -143,3 +144,45 @@ def test_counts_equal_groups(spark, twice, k):
     got = minimizers.kmer_counts(twice, k, canonical=True).groupBy("value").agg(F.sum("count"))
     assert rows(got) == rows(minimizers.packed_kmers(twice, k, canonical=True).groupBy("value").count())
     assert rows(kmers.spectrum(minimizers.kmer_counts(twice, k), "value", "count")) == rows(kmers.spectrum(kmers.kmers(twice, k)))
+
+
+def mutated(seq, key, rate, indel_fraction, extension, longest):
+    """One sequence, base by base."""
+
+    def draw(k, i, salt):
+        z = (i * simulate.STEP + k * simulate.STEP + salt * simulate.SALT) % 2**64
+        return (int(hashing.remix_np(np.array([z], np.uint64))[0]) >> 11) / 2**53
+
+    out, ops, at, n, count = "", "", 0, len(seq), {"X": 0, "I": 0, "D": 0}
+    while at < n:
+        if draw(key, at, 0) >= rate:
+            out, ops, at = out + seq[at], ops + "M", at + 1
+            continue
+        if draw(key, at, 1) >= indel_fraction:
+            others = "ACGT".replace(seq[at].upper(), "")
+            out, ops, at = out + others[int(draw(key, at, 4) * len(others))], ops + "X", at + 1
+            count["X"] += 1
+            continue
+        most = n - at if longest is None else min(n - at, longest)
+        more = 0 if extension == 0 else most if extension == 1 else int(math.log(1 - draw(key, at, 3)) / math.log(extension))
+        length = min(most, 1 + more)
+        if draw(key, at, 2) < 0.5:
+            out += "".join("ACGT"[int(draw(key ^ (at + 1) * simulate.TURN, j, 5) * 4)] for j in range(length)) + seq[at]
+            ops, at = ops + "I" * length + "M", at + 1
+            count["I"] += 1
+        else:
+            ops, at = ops + "D" * length, at + length
+            count["D"] += 1
+    cigar = "".join(f"{len(list(g))}{op}" for op, g in itertools.groupby(ops))
+    return out, count["X"], count["I"], count["D"], ops.count("I") - ops.count("D"), cigar
+
+
+@pytest.mark.parametrize("how", [(0.25, 0.0, 0.0, None), (1.0, 0.0, 0.0, None), (0.3, 0.5, 0.6, None), (0.3, 1.0, 1.0, 3), (0.0, 0.5, 0.5, None)])
+def test_mutations_in_blocks_equal_one_by_one(spark, monkeypatch, how):
+    monkeypatch.setattr(simulate, "BLOCK", 100)
+    r = random.Random(1)
+    for letters in ("ACGT", "ACGTacgtN", "ACGTNß"):
+        seqs = ["".join(r.choice(letters) for _ in range(r.choice([0, 1, 30, 150]))) for _ in range(12)]
+        keys = np.array([r.getrandbits(64) for _ in seqs], np.uint64)
+        got = [x for cols in simulate._mutated(keys, seqs, *how) for x in zip(*[c.to_pylist() for c in cols])]
+        assert got == [mutated(s, k, *how) for s, k in zip(seqs, keys.tolist())]
