@@ -802,7 +802,7 @@ def mutated_bases(spark, d):
 @_query()
 def random_sequences(spark, d):
     """A random sequence per customer, mutated. Random, so rows are compared only."""
-    s = simulate.random_dna(table(spark, d, "customer"), 200, rec="c_custkey")
+    s = simulate.random_dna(_customers(spark, d), 200, rec="c_custkey")
     return simulate.mutate(s, 0.05, 0.3, 0.5)
 
 

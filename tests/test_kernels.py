@@ -14,7 +14,7 @@ from strandloom.operators import kmers, minimizers, sets, simulate
 
 NAMED = ["kmer_distinct", "kmers_with_breaks", "kmer_pack", "kmers_canonical", "kmer_spectrum"]
 SHUFFLED = []
-DEALT = ["mutated_bases"]
+DEALT = ["mutated_bases", "random_sequences"]
 
 
 def nodes(plan):
@@ -186,3 +186,13 @@ def test_mutations_in_blocks_equal_one_by_one(spark, monkeypatch, how):
         keys = np.array([r.getrandbits(64) for _ in seqs], np.uint64)
         got = [x for cols in simulate._mutated(keys, seqs, *how) for x in zip(*[c.to_pylist() for c in cols])]
         assert got == [mutated(s, k, *how) for s, k in zip(seqs, keys.tolist())]
+
+
+def test_random_bases_in_blocks(spark):
+    """Null, empty and long sequences among others, keys of both signs."""
+    size = [5, None, 0, -3, 70_000, 7]
+    df = spark.createDataFrame([(i * 1000 - 2000, n) for i, n in enumerate(size)], "rec long, n long").coalesce(1)
+    for rec, n in df.collect():
+        x = np.uint64((rec << 32) % 2**64) + np.arange(max(n or 0, 0), dtype=np.uint64)
+        want = None if n is None else "".join("ACGT"[h] for h in (hashing.double_hash64_np(x, 42)[0] >> np.uint64(62)).tolist())
+        assert simulate.random_dna(df, F.col("n")).where(F.col("rec") == rec).first().seq == want
