@@ -13,12 +13,13 @@ from strandloom.functions.encoding import clean_bytes
 from strandloom.operators import minimizers
 
 
-def jaccard(a: DataFrame, b: DataFrame, item: str, multiset: bool = False) -> DataFrame:
-    """One row (i, u, n1, n2, jaccard) for two collections of items.
+def jaccard(a: DataFrame, b: DataFrame, item: str, multiset: bool = False, count: str | None = None) -> DataFrame:
+    """One row (i, u, n1, n2, jaccard) for two collections of items, each counted once or by a column.
 
     As sets, or as multisets with the sums of lesser and greater counts. Both empty: null.
     """
-    tagged = a.select(F.col(item).alias("x"), F.lit(1).alias("p"), F.lit(0).alias("q")).union(b.select(F.col(item).alias("x"), F.lit(0).alias("p"), F.lit(1).alias("q")))
+    one = F.col(count) if multiset and count else F.lit(1)
+    tagged = a.select(F.col(item).alias("x"), one.alias("p"), F.lit(0).alias("q")).union(b.select(F.col(item).alias("x"), F.lit(0).alias("p"), one.alias("q")))
     if multiset:
         c = tagged.groupBy("x").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     else:

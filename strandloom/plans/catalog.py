@@ -219,17 +219,17 @@ SELECT sum(least(p, q))::BIGINT AS i, sum(greatest(p, q))::BIGINT AS u, sum(p)::
 
 
 def _two(spark, d) -> tuple[DataFrame, DataFrame]:
-    return _kmers(spark, d, canonical=True), _kmers(spark, d, "benchmark", "item_id", canonical=True)
+    return _counts(spark, d), _counts(spark, d, "benchmark", "item_id")
 
 
 @_query(_whole_sql("max"))
 def jaccard_tables(spark, d):
-    return sets.jaccard(*_two(spark, d), "value")
+    return sets.jaccard(*_two(spark, d), "value", count="count")
 
 
 @_query(_whole_sql("sum"))
 def jaccard_tables_multiset(spark, d):
-    return sets.jaccard(*_two(spark, d), "value", multiset=True)
+    return sets.jaccard(*_two(spark, d), "value", multiset=True, count="count")
 
 
 @_query(f"WITH {_TWO}, u AS (SELECT kmer FROM x UNION SELECT kmer FROM y) SELECT substr(kmer, 1, 2) AS prefix, count(*) AS n FROM u GROUP BY 1")

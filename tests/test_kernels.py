@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from strandloom.functions import encoding, hashing
 from strandloom.operators import kmers, minimizers, sets, simulate
 
-NAMED = ["kmer_distinct", "kmers_with_breaks", "kmer_pack", "kmers_canonical", "kmer_spectrum"]
+NAMED = ["kmer_distinct", "kmers_with_breaks", "kmer_pack", "kmers_canonical", "kmer_spectrum", "jaccard_tables"]
 SHUFFLED = []
 DEALT = ["mutated_bases", "random_sequences"]
 
@@ -196,3 +196,11 @@ def test_random_bases_in_blocks(spark):
         x = np.uint64((rec << 32) % 2**64) + np.arange(max(n or 0, 0), dtype=np.uint64)
         want = None if n is None else "".join("ACGT"[h] for h in (hashing.double_hash64_np(x, 42)[0] >> np.uint64(62)).tolist())
         assert simulate.random_dna(df, F.col("n")).where(F.col("rec") == rec).first().seq == want
+
+
+def test_jaccard_of_counted_items(spark):
+    """Parts of counts add up as multisets and count once as sets."""
+    a, b = [("a", 2), ("b", 1), ("b", 1), ("c", 1)], [("a", 1), ("b", 3), ("d", 1)]
+    x, y = (spark.createDataFrame(t, "x string, c long") for t in (a, b))
+    assert tuple(sets.jaccard(x, y, "x", count="c").first()) == (2, 4, 3, 3, 0.5)
+    assert tuple(sets.jaccard(x, y, "x", multiset=True, count="c").first()) == (3, 7, 5, 5, round(3 / 7, 9))
