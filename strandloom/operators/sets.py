@@ -94,6 +94,49 @@ def split_repeated(df: DataFrame, rec: str = "rec") -> tuple[DataFrame, DataFram
     return df.join(many, same, "left_anti"), df.join(many, same, "left_semi")
 
 
+def _overlap(a: np.ndarray, b: np.ndarray, multiset: bool) -> tuple[int, int, int]:
+    """(i, n1, n2) of two collections of k-mers of fewer than 64 bits."""
+    if not multiset:
+        a, b = _ascending_set(a), _ascending_set(b)
+        both = np.sort(np.concatenate([a, b]))
+        return int(np.count_nonzero(both[1:] == both[:-1])), len(a), len(b)
+    one = a.dtype.type(1)
+    s = np.sort(np.concatenate([a << one, (b << one) | one]))
+    last = np.flatnonzero(np.append((s[1:] ^ s[:-1]) > one, True))[: len(s)]
+    more = np.diff(np.cumsum(1 - 2 * (s & one).astype(np.int64))[last], prepend=0)  # in a than in b, of each value
+    return (len(s) - int(np.abs(more).sum())) // 2, len(a), len(b)
+
+
+def _ascending_set(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
+def sequence_jaccard(df: DataFrame, pairs: DataFrame, k: int, canonical: bool = False, multiset: bool = False, rec: str = "rec", seq: str = "seq", read=clean_bytes) -> DataFrame:
+    """(a, b, i, u, n1, n2, jaccard) of the k-mers, k up to 31, of given pairs (a, b) of records.
+
+    Sequences are shuffled, once for each side of their pairs, not their k-mers, which take several
+    times the bytes; they are packed where a pair has met. Texts of a record with several rows are
+    one with line feeds between them, which break. A pair's record without a row is empty.
+    """
+    kind_a, kind_b = (pairs.schema[c].dataType.simpleString() for c in ("a", "b"))
+    once, several = split_repeated(df.select(F.col(rec).alias("rec"), F.col(seq).alias("seq")))
+    if several is not None:
+        once = once.unionByName(several.groupBy("rec").agg(F.concat_ws("\n", F.collect_list("seq")).alias("seq")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = minimizers.kmer_arrays(k, canonical, read)
+        for b in (part for whole in batches for part in (whole.slice(i, 256) for i in range(0, len(whole), 256))):
+            found = [_overlap(x, y, multiset) for x, y in zip(arrays(b.column(2)), arrays(b.column(3)))]
+            out = [pa.array(x, pa.int64()) for x in zip(*found)] if found else [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *out], ["a", "b", "i", "n1", "n2"])
+
+    side = lambda at: once.select(F.col("rec").alias(at), F.col("seq").cast("binary").alias(f"s_{at}"))
+    j = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", "s_a", "s_b")
+    out = j.mapInArrow(run, f"a {kind_a}, b {kind_b}, i bigint, n1 bigint, n2 bigint").withColumn("u", F.col("n1") + F.col("n2") - F.col("i"))
+    return out.select("a", "b", "i", "u", "n1", "n2", ratio(F.col("i"), F.col("u")).alias("jaccard"))
+
+
 def distinct_kmers(df: DataFrame, k: int, canonical: bool = False, rec: str = "rec", seq: str = "seq", read=clean_bytes) -> DataFrame:
     """(rec, distinct_kmers): in a row's own task, and by a shuffle of k-mers for records with several rows only."""
     once, several = split_repeated(df.select(F.col(rec).alias("rec"), F.col(seq).alias("seq")))

@@ -185,7 +185,7 @@ def _neighbours(spark, d) -> DataFrame:
 
 @_query(_jaccard_sql("1"))
 def kmer_jaccard(spark, d):
-    return sets.record_jaccard(minimizers.kmer_sets(_dna(spark, d), K, canonical=True), _neighbours(spark, d))
+    return sets.sequence_jaccard(_texts(spark, d), _neighbours(spark, d), K, canonical=True, **PROSE)
 
 
 @_query(_jaccard_sql("count(*)"))

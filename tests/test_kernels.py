@@ -13,7 +13,7 @@ from strandloom.functions import encoding, hashing
 from strandloom.operators import kmers, minimizers, sets, simulate
 
 NAMED = ["kmer_distinct", "kmers_with_breaks", "kmer_pack", "kmers_canonical", "kmer_spectrum", "jaccard_tables"]
-SHUFFLED = []
+SHUFFLED = ["kmer_jaccard"]
 DEALT = ["mutated_bases", "random_sequences"]
 
 
@@ -204,3 +204,12 @@ def test_jaccard_of_counted_items(spark):
     x, y = (spark.createDataFrame(t, "x string, c long") for t in (a, b))
     assert tuple(sets.jaccard(x, y, "x", count="c").first()) == (2, 4, 3, 3, 0.5)
     assert tuple(sets.jaccard(x, y, "x", multiset=True, count="c").first()) == (3, 7, 5, 5, round(3 / 7, 9))
+
+
+@pytest.mark.parametrize("multiset", [False, True])
+def test_sequence_jaccard_equals_joins(spark, twice, multiset):
+    """Records with several rows, without one, without a k-mer; k of one word and of two."""
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(32)] + [(3, 3), (5, 99), (51, 52), (50, 2)], "a long, b long")
+    for k in (3, 17):
+        want = sets.pair_jaccard(kmers.kmers(twice, k, canonical=True), pairs, "rec", "kmer", multiset)
+        assert rows(sets.sequence_jaccard(twice, pairs, k, canonical=True, multiset=multiset)) == rows(want)
