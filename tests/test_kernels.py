@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from strandloom.functions import encoding, hashing
 from strandloom.operators import kmers, minimizers, sets, simulate
 
-NAMED = ["kmer_distinct", "kmers_with_breaks", "kmer_pack", "kmers_canonical", "kmer_spectrum", "jaccard_tables", "jaccard_tables_multiset"]
+NAMED = ["kmer_distinct", "kmers_with_breaks", "kmer_pack", "kmers_canonical", "kmer_spectrum", "jaccard_tables", "jaccard_tables_multiset", "set_union"]
 SHUFFLED = ["kmer_jaccard"]
 DEALT = ["mutated_bases", "random_sequences"]
 
