@@ -190,7 +190,7 @@ def kmer_jaccard(spark, d):
 
 @_query(_jaccard_sql("count(*)"))
 def kmer_jaccard_multiset(spark, d):
-    return sets.record_jaccard(minimizers.kmer_sets(_dna(spark, d), K, canonical=True, multiset=True), _neighbours(spark, d))
+    return sets.sequence_jaccard(_texts(spark, d), _neighbours(spark, d), K, canonical=True, multiset=True, **PROSE)
 
 
 def _all_pairs_sql(count: str) -> str:

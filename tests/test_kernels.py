@@ -13,7 +13,7 @@ from strandloom.functions import encoding, hashing
 from strandloom.operators import kmers, minimizers, sets, simulate
 
 NAMED = ["kmer_distinct", "kmers_with_breaks", "kmer_pack", "kmers_canonical", "kmer_spectrum", "jaccard_tables", "jaccard_tables_multiset", "set_union"]
-SHUFFLED = ["kmer_jaccard"]
+SHUFFLED = ["kmer_jaccard", "kmer_jaccard_multiset"]
 DEALT = ["mutated_bases", "random_sequences"]
 
 
