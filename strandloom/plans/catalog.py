@@ -462,7 +462,7 @@ def syncmers_open(spark, d):
 
 @_query(f"""WITH {sql.minima(MK, MM, 0)} SELECT mpos - kpos AS "offset", count(*) AS n FROM mins GROUP BY 1""")
 def minimizer_offsets(spark, d):
-    return minimizers.minimizer_offsets(_dna(spark, d), MK, MM).groupBy("offset").agg(F.count("*").alias("n"))
+    return minimizers.offset_counts(_texts(spark, d), MK, MM, **PROSE).groupBy("offset").agg(F.sum("count").alias("n"))
 
 
 def _sampler_sql(dedup: bool) -> str:

@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from strandloom.functions import encoding, hashing
 from strandloom.operators import kmers, minimizers, sets, simulate
 
-NAMED = ["kmer_distinct", "kmers_with_breaks", "kmer_pack", "kmers_canonical", "kmer_spectrum", "jaccard_tables", "jaccard_tables_multiset", "set_union"]
+NAMED = ["kmer_distinct", "kmers_with_breaks", "kmer_pack", "kmers_canonical", "kmer_spectrum", "jaccard_tables", "jaccard_tables_multiset", "set_union", "minimizer_offsets"]
 SHUFFLED = ["kmer_jaccard", "kmer_jaccard_multiset"]
 DEALT = ["mutated_bases", "random_sequences"]
 
@@ -213,3 +213,19 @@ def test_sequence_jaccard_equals_joins(spark, twice, multiset):
     for k in (3, 17):
         want = sets.pair_jaccard(kmers.kmers(twice, k, canonical=True), pairs, "rec", "kmer", multiset)
         assert rows(sets.sequence_jaccard(twice, pairs, k, canonical=True, multiset=multiset)) == rows(want)
+
+
+@pytest.mark.parametrize("chunk", [6, 1 << 20])
+def test_minimizers_in_parts_and_by_tables(spark, monkeypatch, chunk):
+    """Records cut into parts give the same rows, hashes looked up or computed too."""
+    df = spark.createDataFrame(texts(), "rec long, seq string")
+    whole = [rows(f) for f in (minimizers.minimizers(df, 9, 5, canonical=True, chunk=1 << 40), minimizers.minimizer_offsets(df, 9, 5, chunk=1 << 40))]
+    assert whole == [rows(f) for f in (minimizers.minimizers(df, 9, 5, canonical=True, chunk=chunk), minimizers.minimizer_offsets(df, 9, 5, chunk=chunk))]
+    code = minimizers._CODE[np.frombuffer("".join(s or "" for _, s in texts()).encode(), np.uint8)]
+    for k, m in ((9, 5), (6, 6), (4, 1), (12, 3)):
+        tables = minimizers.window_minima(code, k, m, 42, True)
+        with monkeypatch.context() as p:
+            p.setattr(minimizers, "TABLE_M", 0)
+            assert all((x == y).all() for x, y in zip(tables, minimizers.window_minima(code, k, m, 42, True)))
+    got = minimizers.offset_counts(df, 9, 5).groupBy("offset").agg(F.sum("count"))
+    assert rows(got) == rows(minimizers.minimizer_offsets(df, 9, 5).groupBy("offset").count())
