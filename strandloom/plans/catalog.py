@@ -437,8 +437,7 @@ def super_kmer_rows_canonical(spark, d):
 @_query(f"WITH {sql.minima(MK, MM, 0)}, k AS (SELECT rec, pos, {sql.pack(sql.canonical('kmer'), MK)} AS v FROM ({sql.kmers(MK)})) SELECT m.rec, count(*) AS n, sum(v)::BIGINT AS total FROM mins m JOIN k ON k.rec = m.rec AND k.pos = kpos WHERE mpos - kpos IN (0, {MK - MM}) GROUP BY m.rec")
 def syncmer_values(spark, d):
     """Closed syncmers of either strand: the values of canonical k-mers."""
-    s = minimizers.minimizer_offsets(_dna(spark, d), MK, MM, canonical=True).where(F.col("offset").isin(0, MK - MM))
-    return s.groupBy("rec").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return minimizers.syncmers(_texts(spark, d), MK, MM, canonical=True, fold={"n": _COUNT, "total": _TOTAL}, **PROSE)
 
 
 def _syncmer_sql(where: str) -> str:
