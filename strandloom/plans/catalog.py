@@ -445,8 +445,7 @@ def _syncmer_sql(where: str) -> str:
 
 
 def _syncmers(spark, d, *offsets) -> DataFrame:
-    s = minimizers.syncmers(_dna(spark, d), MK, MM, *offsets)
-    return s.groupBy("rec").agg(F.count("*").alias("n"), F.sum("position").alias("positions"), F.sum("offset").alias("offsets"))
+    return minimizers.syncmers(_texts(spark, d), MK, MM, *offsets, fold={"n": _COUNT, "positions": _POSITIONS, "offsets": ("sum", _of("offset"))}, **PROSE)
 
 
 @_query(_syncmer_sql(f"IN (0, {MK - MM})"))
