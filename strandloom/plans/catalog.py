@@ -399,39 +399,38 @@ _RATE = 0.125
 @_query(f"""WITH dna AS ({sql.dna()}), k AS (SELECT rec, pos, {sql.canonical('kmer')} AS kmer FROM ({sql.kmers(K)})), dist AS (SELECT DISTINCT kmer AS d, {sql.pack('kmer', K)}::uhugeint AS x FROM k), {sql.hashed('dist', 'x', 42)}
 SELECT rec, count(*) AS n, sum(x)::BIGINT AS total, sum(pos)::BIGINT AS positions FROM k JOIN hv ON k.kmer = hv.d WHERE h1 < {int(_RATE * 2**64)}::uhugeint GROUP BY rec""")
 def frac_sample(spark, d):
-    s = minimizers.hash_sample(_dna(spark, d), K, _RATE)
-    return s.groupBy("rec").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.sum("position").alias("positions"))
+    return minimizers.hash_sample(_texts(spark, d), K, _RATE, fold={"n": _COUNT, "total": _TOTAL, "positions": _POSITIONS}, **PROSE)
+
+
+_MINIMIZERS = {"n": _COUNT, "total": _TOTAL, "hashes": ("bit_xor", _of("hash")), "positions": _POSITIONS}
+_SUPERS = {"n": _COUNT, "total": ("sum", _of("minimizer")), "offsets": ("sum", _of("mm_pos")), "kmers": ("sum", _of("size")), "starts": ("sum", lambda c: c["size"] * (c["start"] % 5))}
 
 
 @_query(f"""WITH {sql.minima(MK, MM, 42)}, ch AS (SELECT *, lag(mpos) OVER (PARTITION BY rec, seg ORDER BY kpos) AS before FROM mins),
 o AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY kpos) - 1 AS id FROM ch WHERE before IS NULL OR before <> mpos)
 SELECT rec, count(*) AS n, sum({sql.pack('mmer', MM)})::BIGINT AS total, bit_xor({sql.signed('h')}) AS hashes, sum(mpos)::BIGINT AS positions, max(id) AS last_id FROM o GROUP BY rec""")
 def minimizer_rows(spark, d):
-    m = minimizers.minimizers(_dna(spark, d), MK, MM)
-    return m.groupBy("rec").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.bit_xor("hash").alias("hashes"), F.sum("position").alias("positions"), F.max("id").alias("last_id"))
+    return minimizers.minimizers(_texts(spark, d), MK, MM, fold=_MINIMIZERS | {"last_id": ("max", _of("id"))}, **PROSE)
 
 
 @_query(f"""WITH {sql.minima(MK, MM, 42)}, ch AS (SELECT *, CASE WHEN lag(mpos) OVER (PARTITION BY rec, seg ORDER BY kpos) = mpos THEN 0 ELSE 1 END AS c FROM mins),
 r AS (SELECT *, sum(c) OVER (PARTITION BY rec, seg ORDER BY kpos) AS run FROM ch), s AS (SELECT rec, any_value(mmer) AS mmer, min(mpos) - min(kpos) AS mm_pos, count(*) AS size, min(kpos) AS st FROM r GROUP BY rec, seg, run)
 SELECT rec, count(*) AS n, sum({sql.pack('mmer', MM)})::BIGINT AS total, sum(mm_pos)::BIGINT AS offsets, sum(size)::BIGINT AS kmers, sum(size * (st % 5))::BIGINT AS starts FROM s GROUP BY rec""")
 def super_kmer_rows(spark, d):
-    s = minimizers.super_kmers(_dna(spark, d), MK, MM)
-    return s.groupBy("rec").agg(F.count("*").alias("n"), F.sum("minimizer").alias("total"), F.sum("mm_pos").alias("offsets"), F.sum("size").alias("kmers"), F.sum(F.col("size") * (F.col("start") % 5)).alias("starts"))
+    return minimizers.super_kmers(_texts(spark, d), MK, MM, fold=_SUPERS, **PROSE)
 
 
 @_query(f"""WITH {sql.minima(MK, MM, 42, True)}, ch AS (SELECT *, lag(mpos) OVER (PARTITION BY rec, seg ORDER BY kpos) AS before FROM mins)
 SELECT rec, count(*) AS n, sum({sql.pack('mmer', MM)})::BIGINT AS total, bit_xor({sql.signed('h')}) AS hashes, sum(mpos)::BIGINT AS positions FROM ch WHERE before IS NULL OR before <> mpos GROUP BY rec""")
 def minimizer_rows_canonical(spark, d):
-    m = minimizers.minimizers(_dna(spark, d), MK, MM, canonical=True)
-    return m.groupBy("rec").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.bit_xor("hash").alias("hashes"), F.sum("position").alias("positions"))
+    return minimizers.minimizers(_texts(spark, d), MK, MM, canonical=True, fold=_MINIMIZERS, **PROSE)
 
 
 @_query(f"""WITH {sql.minima(MK, MM, 42, True)}, ch AS (SELECT *, CASE WHEN lag(mpos) OVER (PARTITION BY rec, seg ORDER BY kpos) = mpos THEN 0 ELSE 1 END AS c FROM mins),
 r AS (SELECT *, sum(c) OVER (PARTITION BY rec, seg ORDER BY kpos) AS run FROM ch), s AS (SELECT rec, any_value(mmer) AS mmer, min(mpos) - min(kpos) AS mm_pos, count(*) AS size, min(kpos) AS st FROM r GROUP BY rec, seg, run)
 SELECT rec, count(*) AS n, sum({sql.pack('mmer', MM)})::BIGINT AS total, sum(mm_pos)::BIGINT AS offsets, sum(size)::BIGINT AS kmers, sum(size * (st % 5))::BIGINT AS starts FROM s GROUP BY rec""")
 def super_kmer_rows_canonical(spark, d):
-    s = minimizers.super_kmers(_dna(spark, d), MK, MM, canonical=True)
-    return s.groupBy("rec").agg(F.count("*").alias("n"), F.sum("minimizer").alias("total"), F.sum("mm_pos").alias("offsets"), F.sum("size").alias("kmers"), F.sum(F.col("size") * (F.col("start") % 5)).alias("starts"))
+    return minimizers.super_kmers(_texts(spark, d), MK, MM, canonical=True, fold=_SUPERS, **PROSE)
 
 
 @_query(f"WITH {sql.minima(MK, MM, 0)}, k AS (SELECT rec, pos, {sql.pack(sql.canonical('kmer'), MK)} AS v FROM ({sql.kmers(MK)})) SELECT m.rec, count(*) AS n, sum(v)::BIGINT AS total FROM mins m JOIN k ON k.rec = m.rec AND k.pos = kpos WHERE mpos - kpos IN (0, {MK - MM}) GROUP BY m.rec")

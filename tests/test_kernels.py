@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from strandloom.functions import encoding, hashing
 from strandloom.operators import kmers, minimizers, sets, simulate
 
-NAMED = ["kmer_distinct", "kmers_with_breaks", "kmer_pack", "kmers_canonical", "kmer_spectrum", "jaccard_tables", "jaccard_tables_multiset", "set_union", "minimizer_offsets", "syncmer_values", "syncmers_closed", "syncmers_open"]
+NAMED = ["kmer_distinct", "kmers_with_breaks", "kmer_pack", "kmers_canonical", "kmer_spectrum", "jaccard_tables", "jaccard_tables_multiset", "set_union", "minimizer_offsets", "syncmer_values", "syncmers_closed", "syncmers_open", "minimizer_rows_canonical", "minimizer_rows", "super_kmer_rows", "super_kmer_rows_canonical", "frac_sample"]
 SHUFFLED = ["kmer_jaccard", "kmer_jaccard_multiset"]
 DEALT = ["mutated_bases", "random_sequences"]
 
